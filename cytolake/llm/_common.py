@@ -196,5 +196,13 @@ def shard_of(x: np.ndarray, n: int) -> np.ndarray:
     return ((x >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
 
 
+def stretches(values: np.ndarray) -> list[tuple[int, int]]:
+    """(from, to) of each run of equal neighbours."""
+    if not len(values):
+        return []
+    edges = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+    return list(zip(edges, edges[1:], strict=False))
+
+
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in schema], schema=schema)
