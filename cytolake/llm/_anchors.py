@@ -72,10 +72,13 @@ def distinct_sorted(places: np.ndarray) -> np.ndarray:
     return places[np.flatnonzero(np.diff(places, prepend=-1))] if len(places) else places
 
 
-def doc_keys(unit: Words | Bytes) -> Callable[[np.ndarray], np.ndarray]:
+def doc_keys(unit: Words | Bytes, within: bool = False) -> Callable[[np.ndarray], np.ndarray]:
+    """A text's anchors; with within, one that the text itself repeats comes twice, and so counts as shared."""
+
     def keys(data: np.ndarray) -> np.ndarray:
         places, grams = unit.anchors(data)
-        return np.unique(grams[distinct_sorted(places)])
+        found, n = np.unique(grams[distinct_sorted(places)], return_counts=True)
+        return np.repeat(found, np.minimum(n, 2)) if within else found
 
     return keys
 

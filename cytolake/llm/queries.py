@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytolake.llm import mixing, substring_dedup
+from cytolake.llm import mixing, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -52,3 +52,32 @@ WITH w AS (
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+
+@_query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that lie in a 100-byte string that starts earlier go."""
+    cut = suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op7_suffix_dedup"] = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), windows AS (
+  SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 200)) AS s
+  FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 99)) AS i FROM d WHERE length(x) >= 200)
+), firsts AS (SELECT s, min((doc_id, i)) AS first FROM windows GROUP BY s
+), late AS (SELECT doc_id, i FROM windows JOIN firsts USING (s) WHERE (doc_id, i) > first
+), runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (
+    SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+      SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM late))
+  GROUP BY doc_id, run
+), spans AS (
+  SELECT doc_id, count(*) AS n, sum(b - a) AS gone, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM runs GROUP BY doc_id
+)
+SELECT d.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN x ELSE array_to_string(list_transform(range(1, n + 2), lambda k:
+    substr(x, 2 * coalesce(ends[k - 1], 0) + 1, 2 * (coalesce(starts[k], length(x) // 2) - coalesce(ends[k - 1], 0)))), '') END)) AS kept_sha256
+FROM d LEFT JOIN spans USING (doc_id)
+"""
