@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytolake.llm._common import U64, batch, byte_gram_hashes, from40, low40, ngram_hashes, shard_of, stretches, texts_of, window_anchors, word_hashes
+from cytolake.llm._common import U64, batch, byte_gram_hashes, from40, low40, mix, ngram_hashes, shard_of, stretches, texts_of, window_anchors, word_hashes
 
 #: Stands for a null id: after all others.
 NO_ID = 2**63 - 1
@@ -25,7 +25,9 @@ LOW40 = U64((1 << 40) - 1)
 
 _SENT = pa.schema([("shard", pa.int32()), ("done", pa.bool_()), ("ids", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
 _SENT_DDL = "shard int, done boolean, ids binary, counts binary, keys binary"
-_FOUND = pa.schema([("id", pa.int64()), ("keys", pa.binary())])
+_PACKED = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("marks", pa.binary()), ("sizes", pa.binary()), ("blobs", pa.binary())])
+PACKED_DDL = "bucket int, ids binary, marks binary, sizes binary, blobs binary"
+_FOUND = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("found", pa.binary())])
 
 
 def ids_of(column: pa.Array) -> np.ndarray:
@@ -96,8 +98,37 @@ def packed_by_doc(shard: np.ndarray, doc: np.ndarray, keys: np.ndarray, ids: np.
         yield batch(_SENT, shard=a, done=[done] * len(rows), ids=b, counts=c, keys=d)
 
 
+def packed_by_bucket(ids: list[int], marks: list[int], blobs: list[bytes], n_buckets: int) -> pa.Table:
+    """What was found for documents, in one row for each bucket of ids: rows do not multiply with the shards."""
+    own, other = np.array(ids, np.int64), np.array(marks, np.int64)
+    bucket = (mix(own.astype(U64)) % U64(n_buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    rows = []
+    for lo, hi in stretches(bucket[order]):
+        part = order[lo:hi]
+        some = [blobs[k] for k in part.tolist()]
+        rows.append((int(bucket[part[0]]), own[part].tobytes(), other[part].tobytes(), np.array([len(x) for x in some], np.uint32).tobytes(), b"".join(some)))
+    return pa.table(dict(zip(_PACKED.names, zip(*rows, strict=True), strict=True)) if rows else {n: [] for n in _PACKED.names}, schema=_PACKED)
+
+
+def by_document(packed: DataFrame) -> DataFrame:
+    """(id, mark, found): for each document all that was found, one after the other."""
+
+    def unpack(rows: pa.Table) -> pa.Table:
+        found: dict[tuple, list[bytes]] = {}
+        for r in rows.to_pylist():
+            at = 0
+            for i, m, n in zip(np.frombuffer(r["ids"], np.int64).tolist(), np.frombuffer(r["marks"], np.int64).tolist(), np.frombuffer(r["sizes"], np.uint32).tolist(), strict=True):
+                found.setdefault((i, m), []).append(r["blobs"][at : at + n])
+                at += n
+        return pa.table({"id": pa.array([None if i == NO_ID else i for i, _ in found], pa.int64()), "mark": pa.array([m for _, m in found], pa.int64()), "found": pa.array([b"".join(x) for x in found.values()], pa.binary())}, schema=_FOUND)
+
+    return packed.groupBy("bucket").applyInArrow(unpack, "id long, mark long, found binary")
+
+
 def shared_keys(docs: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], n_shards: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, keys): for each document the low 40 bits of those of its keys that another document (or row) has too.
+    """(id, mark, found): for each document the low 40 bits of those of its keys that another document (or row) has
+    too, five bytes each; mark is 0.
 
     keys_of gives a text's distinct 64-bit keys. Documents without such keys give no row; null texts have none.
     Different keys with the same low 40 bits in one shard count as shared: callers use the answer as a filter only."""
@@ -151,20 +182,19 @@ def shared_keys(docs: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], n_
                 i, c = i[distinct_sorted(doc)], np.bincount(doc, minlength=len(i))
                 c = c[c > 0]
             raw, ends = low40(k), np.cumsum(c) * 5
-            out_ids.append(i)
+            out_ids += i.tolist()
             out_keys += [raw[e - 5 * n : e] for n, e in zip(c.tolist(), ends.tolist(), strict=True)]
-        found = np.concatenate(out_ids) if out_ids else np.zeros(0, np.int64)
-        return pa.table({"id": pa.array(found, pa.int64(), mask=found == NO_ID), "keys": pa.array(out_keys, pa.binary())}, schema=_FOUND)
+        return packed_by_bucket(out_ids, [0] * len(out_ids), out_keys, n_shards)
 
     sent = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(send, _SENT_DDL)
-    return sent.groupBy("shard").applyInArrow(meet, "id long, keys binary")
+    return by_document(sent.groupBy("shard").applyInArrow(meet, PACKED_DDL))
 
 
-def joined(docs: DataFrame, found: DataFrame, how: str, id_column: str = "doc_id") -> DataFrame:
-    """docs with a column found: the list of binaries that found (id, then one binary column) holds for its id."""
-    lists = found.groupBy("id").agg(F.collect_list(found.columns[1]).alias("found"))
-    d, f = docs.alias("d"), lists.alias("f")
-    return d.join(f, F.col(f"d.{id_column}").cast("long").eqNullSafe(F.col("f.id")), how).select("d.*", "f.found")
+def joined(docs: DataFrame, found: DataFrame, how: str, marked: bool = False) -> DataFrame:
+    """docs (doc_id, text, mark, ...) with what was found for their id, or for their id and mark."""
+    d, f = docs.alias("d"), found.alias("f")
+    on = F.col("d.doc_id").cast("long").eqNullSafe(F.col("f.id"))
+    return d.join(f, on & (F.coalesce(F.col("d.mark"), F.lit(0)) == F.col("f.mark")) if marked else on, how).select("d.*", "f.found")
 
 
 def in_keys(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:

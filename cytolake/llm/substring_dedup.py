@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytolake.llm._anchors import NO_ID, Words, doc_keys, ids_of, in_keys, joined, shared_keys
+from cytolake.llm._anchors import PACKED_DDL, Words, by_document, doc_keys, ids_of, in_keys, joined, packed_by_bucket, shared_keys
 from cytolake.llm._common import U64, batch, from40, mix, ngram_hashes, shard_of, stored, stretches, texts_of, word_hashes
 
 _OTHER = U64(0xA0761D6478BD642F)
@@ -32,7 +32,6 @@ _SENT = pa.schema([("shard", pa.int32()), ("id", pa.binary()), ("mark", pa.binar
 _SENT_DDL = "shard int, id binary, mark binary, runs binary, anchors binary, windows binary"
 #: What one task sends of a document: windows pos .. pos + n - 1 share one anchor.
 _PIECE = np.dtype([("doc", "<u4"), ("pos", "<u4"), ("n", "<u4")])
-_FOUND = pa.schema([("id", pa.int64()), ("runs", pa.binary())])
 
 
 def factors(runs: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
@@ -101,13 +100,13 @@ def _firsts(key: np.ndarray, anchor: np.ndarray, ids: np.ndarray, pos: np.ndarra
 
 
 def duplicate_runs(docs: DataFrame, window: int = 13, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, runs): for each document its windows that also start in a document with a smaller id, as packed RUNs.
-    A run starts with eight bytes that tell apart texts under the same id (xxhash64 of the text)."""
+    """(id, mark, found): for each document its windows that also start in a document with a smaller id, as packed
+    RUNs; mark (xxhash64 of the text) tells apart texts under the same id."""
     unit = Words(window)
     spark = docs.sparkSession
     n_shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    suspects = joined(docs, shared_keys(docs, doc_keys(unit), n_shards), "inner").withColumn("mark", F.xxhash64("text"))
+    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
+    suspects = joined(docs, shared_keys(docs, doc_keys(unit), n_shards), "inner")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = [], 0
@@ -117,7 +116,7 @@ def duplicate_runs(docs: DataFrame, window: int = 13, id_column: str = "doc_id",
                     continue
                 words = word_hashes(data)[2]
                 places, grams = unit.of_units(words)
-                keys = np.unique(from40(b"".join(found.as_py())))
+                keys = np.unique(from40(found.as_py()))
                 hit = np.flatnonzero(in_keys(grams[places], keys)) if len(places) else places
                 if len(hit):
                     block.append((i, mark, hit, places[hit], grams[places[hit]], ngram_hashes(words, window, _OTHER)[hit]))
@@ -167,7 +166,7 @@ def duplicate_runs(docs: DataFrame, window: int = 13, id_column: str = "doc_id",
         for r in rows.to_pylist():
             i, m = np.frombuffer(r["id"], np.int64), np.frombuffer(r["mark"], np.int64)
             if r["windows"] is None:
-                out.append((int(i[0]), r["mark"] + r["runs"]))
+                out.append((int(i[0]), int(m[0]), r["runs"]))
                 continue
             piece = np.frombuffer(r["runs"], _PIECE)
             size = piece["n"].astype(np.int64)
@@ -184,10 +183,10 @@ def duplicate_runs(docs: DataFrame, window: int = 13, id_column: str = "doc_id",
             later = np.flatnonzero(ids[doc] > ids[doc[first]])
             later = later[np.lexsort((pos[later], doc[later]))]
             runs, of = _runs(doc[later], pos[later], ids[doc[first[later]]], pos[first[later]])
-            out += [(int(ids[of[lo]]), marks[of[lo]].tobytes() + runs[lo:hi].tobytes()) for lo, hi in stretches(of)]
-        return pa.table({"id": pa.array([None if i == NO_ID else i for i, _ in out], pa.int64()), "runs": pa.array([x for _, x in out], pa.binary())}, schema=_FOUND)
+            out += [(int(ids[of[lo]]), int(marks[of[lo]]), runs[lo:hi].tobytes()) for lo, hi in stretches(of)]
+        return packed_by_bucket([x[0] for x in out], [x[1] for x in out], [x[2] for x in out], n_shards)
 
-    return suspects.mapInArrow(send, _SENT_DDL).groupBy("shard").applyInArrow(look_up, "id long, runs binary")
+    return by_document(suspects.mapInArrow(send, _SENT_DDL).groupBy("shard").applyInArrow(look_up, PACKED_DDL))
 
 
 def dedup(docs: DataFrame, window: int = 13, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -198,20 +197,19 @@ def dedup(docs: DataFrame, window: int = 13, id_column: str = "doc_id", text: st
     id; windows are judged on the input. Null and empty texts have no words and keep an empty text. Rows with the same
     id never remove each other's words. A null id counts as larger than all others. Other columns are ignored."""
     found = stored(duplicate_runs(docs, window, id_column, text), "rlz-runs")
-    rows = joined(docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")), found, "left").withColumn("mark", F.xxhash64("text"))
+    rows = joined(docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark")), found, "left", marked=True)
     struct = pa.struct([("start", pa.int32()), ("words", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())])
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             n, gone, kept, parse = [], [], [], []
-            for mark, data, found in zip(part.column("mark").to_numpy(), texts_of(part.column("text")), part.column("found"), strict=True):
+            for data, found in zip(texts_of(part.column("text")), part.column("found"), strict=True):
                 raw = data.tobytes() if data is not None else b""
                 words = raw.split()  # bytes.split() splits at exactly the six bytes
-                runs = [np.frombuffer(x, RUN, offset=8) for x in found.as_py() or () if np.frombuffer(x, np.int64, 1)[0] == mark]
                 n.append(len(words))
-                if runs:
-                    runs = np.concatenate(runs)
+                runs = np.frombuffer(found.as_py() or b"", RUN)
+                if len(runs):
                     off = covered(runs, len(words), window)
                     gone.append(int(off.sum()))
                     kept.append(b" ".join([w for w, o in zip(words, off.tolist(), strict=True) if not o]))
@@ -225,4 +223,4 @@ def dedup(docs: DataFrame, window: int = 13, id_column: str = "doc_id", text: st
             offsets = pa.array(np.r_[0, np.cumsum([len(p) for p in parse])].astype(np.int32))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.ListArray.from_arrays(offsets, inner)], names=["doc_id", "n_words", "n_removed", "kept", "factors"])
 
-    return rows.select("doc_id", "text", "found", "mark").mapInArrow(cut, f"doc_id {id_type}, n_words long, n_removed long, kept string, factors array<struct<start:int,words:int,ref_doc:long,ref_start:int>>")
+    return rows.select("doc_id", "text", "found").mapInArrow(cut, f"doc_id {id_type}, n_words long, n_removed long, kept string, factors array<struct<start:int,words:int,ref_doc:long,ref_start:int>>")

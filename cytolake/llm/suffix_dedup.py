@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytolake.llm._anchors import NO_ID, Bytes, doc_keys, ids_of, in_keys, joined, shared_keys
+from cytolake.llm._anchors import PACKED_DDL, Bytes, by_document, doc_keys, ids_of, in_keys, joined, packed_by_bucket, shared_keys
 from cytolake.llm._common import batch, from40, mix, shard_of, stored, stretches, texts_of
 
 #: ``n`` windows from byte ``start`` on.
@@ -29,7 +29,6 @@ SORT_ROWS = 200_000
 
 _SENT = pa.schema([("shard", pa.int32()), ("id", pa.binary()), ("mark", pa.binary()), ("runs", pa.binary()), ("text", pa.binary())])
 _SENT_DDL = "shard int, id binary, mark binary, runs binary, text binary"
-_FOUND = pa.schema([("id", pa.int64()), ("runs", pa.binary())])
 
 
 # ---------------------------------------------------------------- two-stage suffix sorting
@@ -163,12 +162,12 @@ def _merged(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def duplicate_runs(docs: DataFrame, window: int = 100, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, runs): for each document its windows that also start earlier, as packed RUNs after eight bytes that tell
-    apart texts under the same id (xxhash64 of the text)."""
+    """(id, mark, found): for each document its windows that also start earlier, as packed RUNs; mark (xxhash64 of the
+    text) tells apart texts under the same id."""
     unit = Bytes(window, min(32, window))
     n_shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    suspects = joined(docs, shared_keys(docs, doc_keys(unit, within=True), n_shards), "inner").withColumn("mark", F.xxhash64("text"))
+    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
+    suspects = joined(docs, shared_keys(docs, doc_keys(unit, within=True), n_shards), "inner")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[bytes, tuple] = {}
@@ -195,7 +194,7 @@ def duplicate_runs(docs: DataFrame, window: int = 100, id_column: str = "doc_id"
                 places, grams = unit.anchors(data)
                 if not len(places):
                     continue
-                hit = np.flatnonzero(in_keys(grams[places], np.unique(from40(b"".join(found.as_py())))))
+                hit = np.flatnonzero(in_keys(grams[places], np.unique(from40(found.as_py()))))
                 if not len(hit):
                     continue
                 new = np.flatnonzero(np.r_[True, (np.diff(hit) != 1) | (np.diff(places[hit]) != 0)])
@@ -222,7 +221,7 @@ def duplicate_runs(docs: DataFrame, window: int = 100, id_column: str = "doc_id"
         for r in rows.to_pylist():
             ids, marks = np.frombuffer(r["id"], np.int64), np.frombuffer(r["mark"], np.int64)
             if r["text"] is None:
-                out.append((int(ids[0]), r["mark"] + r["runs"]))
+                out.append((int(ids[0]), int(marks[0]), r["runs"]))
                 continue
             at, text, ids, marks = 0, r["text"], ids.tolist(), marks.tolist()
             for d, s, k, size, a in np.frombuffer(r["runs"], _PIECE).tolist():
@@ -245,10 +244,10 @@ def duplicate_runs(docs: DataFrame, window: int = 100, id_column: str = "doc_id"
             where = np.flatnonzero(late)
             for lo, hi in stretches(np.cumsum(edge[where] | np.r_[True, np.diff(where) != 1])) if len(where) else []:
                 settled.setdefault(pieces[of[where[lo]]][0][:2], []).append((int(start[where[lo]]), hi - lo))
-        out += [(i, np.int64(m).tobytes() + _merged(*np.array(r, np.int64).T).tobytes()) for (i, m), r in settled.items()]
-        return pa.table({"id": pa.array([None if i == NO_ID else i for i, _ in out], pa.int64()), "runs": pa.array([x for _, x in out], pa.binary())}, schema=_FOUND)
+        out += [(i, m, _merged(*np.array(r, np.int64).T).tobytes()) for (i, m), r in settled.items()]
+        return packed_by_bucket([x[0] for x in out], [x[1] for x in out], [x[2] for x in out], n_shards)
 
-    return suspects.mapInArrow(send, _SENT_DDL).groupBy("shard").applyInArrow(sort, "id long, runs binary")
+    return by_document(suspects.mapInArrow(send, _SENT_DDL).groupBy("shard").applyInArrow(sort, PACKED_DDL))
 
 
 def spans_of(runs: np.ndarray, size: int, window: int) -> np.ndarray:
@@ -282,18 +281,18 @@ def dedup(docs: DataFrame, window: int = 100, id_column: str = "doc_id", text: s
     characters. Null and empty texts have no bytes. A null id comes after all others; different texts under one id
     count as two documents, in order of a hash; repeated rows count as one document and get the same result."""
     found = stored(duplicate_runs(docs, window, id_column, text), "suffix-runs")
-    columns = [F.col(id_column).alias("doc_id"), F.col(text).alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep]]
-    rows = joined(docs.select(*columns), found, "left").withColumn("mark", F.xxhash64("text"))
+    columns = [F.col(id_column).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"), *[F.col(c).alias(f"keep_{c}") for c in keep]]
+    rows = joined(docs.select(*columns), found, "left", marked=True)
     kept_types = [(f"keep_{c}", rows.schema[f"keep_{c}"].dataType.simpleString()) for c in keep]
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             n, gone, many, kept, where = [], [], [], [], []
-            for mark, data, found in zip(part.column("mark").to_numpy(), texts_of(part.column("text")), part.column("found"), strict=True):
+            for data, found in zip(texts_of(part.column("text")), part.column("found"), strict=True):
                 data = data if data is not None else np.zeros(0, np.uint8)
-                runs = [np.frombuffer(x, RUN, offset=8) for x in found.as_py() or () if np.frombuffer(x, np.int64, 1)[0] == mark]
-                spans = spans_of(np.concatenate(runs), len(data), window) if runs else np.zeros((0, 2), np.int64)
+                runs = np.frombuffer(found.as_py() or b"", RUN)
+                spans = spans_of(runs, len(data), window) if len(runs) else np.zeros((0, 2), np.int64)
                 if characters and len(spans):
                     spans = whole_characters(data, spans)
                 raw, at, out = data.tobytes(), 0, []
@@ -312,5 +311,5 @@ def dedup(docs: DataFrame, window: int = 100, id_column: str = "doc_id", text: s
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(many, pa.int64()), pa.array(kept, pa.binary()), pa.ListArray.from_arrays(offsets, inner), *[part.column(c) for c, _ in kept_types]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans", *[c for c, _ in kept_types]])
 
     ddl = f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>" + "".join(f", `{c}` {t}" for c, t in kept_types)
-    out = rows.select("doc_id", "text", "found", "mark", *[f"`{c}`" for c, _ in kept_types]).mapInArrow(cut, ddl)
+    out = rows.select("doc_id", "text", "found", *[f"`{c}`" for c, _ in kept_types]).mapInArrow(cut, ddl)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans", *[F.col(f"`keep_{c}`").alias(c) for c in keep])
