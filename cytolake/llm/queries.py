@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytolake.llm import mixing, substring_dedup, suffix_dedup
+from cytolake.llm import mixing, mtree, prefix_forest, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -81,3 +81,27 @@ SELECT d.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT
     substr(x, 2 * coalesce(ends[k - 1], 0) + 1, 2 * (coalesce(starts[k], length(x) // 2) - coalesce(ends[k - 1], 0)))), '') END)) AS kept_sha256
 FROM d LEFT JOIN spans USING (doc_id)
 """
+
+
+@_query
+def op2_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every hundredth one, approximately."""
+    return prefix_forest.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op6_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest integer inner products of every twentieth vector."""
+    return mtree.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+SQL["op6_mtree_topk"] = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(NOT isfinite(x), true))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
+"""
