@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytolake.llm import byte_bpe, mixing, mtree, prefix_forest, substring_dedup, suffix_dedup, token_counts
+from cytolake.llm import byte_bpe, mixing, mtree, prefix_forest, quality, substring_dedup, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -121,3 +121,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from labels outside the held-out fifth."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.filter(~quality.held_out("doc_id", 5, 0)))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", quality.held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
