@@ -191,6 +191,33 @@ def from40(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(U64)
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Non-negative numbers in as many bytes as they need: seven bits a byte, the high bit says that another follows."""
+    numbers = numbers.astype(U64)
+    size, bound = np.ones(len(numbers), np.int64), U64(128)
+    while bound and (more := numbers >= bound).any():
+        size += more
+        bound = bound << U64(7) if bound < U64(1 << 57) else U64(0)
+    at = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint8)
+    for k in range(int(size.max(initial=0))):
+        has = size > k
+        out[at[has] + k] = (numbers[has] >> U64(7 * k) & U64(127)) | np.where(size[has] > k + 1, U64(128), U64(0))
+    return out.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    data = np.frombuffer(raw, np.uint8)
+    ends = np.flatnonzero(data < 128)
+    starts = np.r_[0, ends[:-1] + 1] if len(ends) else ends
+    size = ends - starts
+    out = (data[starts] & 127).astype(np.int64)
+    for k in range(1, int(size.max(initial=0)) + 1):
+        has = size >= k
+        out[has] |= (data[starts[has] + k] & 127).astype(np.int64) << 7 * k
+    return out
+
+
 def shard_of(x: np.ndarray, n: int) -> np.ndarray:
     """0 to n - 1 from the upper 32 bits, so that the low 40 bits still tell keys of a shard apart."""
     return ((x >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytolake.llm._common import stored, stretches
+from cytolake.llm._common import packed, stored, stretches, unpacked
 
 #: A block ends at so many distinct words or bytes of text.
 BLOCK_WORDS, BLOCK_BYTES = 200_000, 12 << 20
@@ -78,30 +78,6 @@ def _encode_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in live if p is not None]
 
 
-def packed(codes: np.ndarray) -> bytes:
-    """Numbers below 2**21 in one to three bytes each: seven bits a byte, the high bit says that another follows."""
-    more, most = codes >= 128, codes >= 16384
-    size = 1 + more.astype(np.int64) + most
-    at = np.cumsum(size) - size
-    out = np.empty(int(size.sum()), np.uint8)
-    out[at] = (codes & 127) | (more.astype(codes.dtype) << 7)
-    out[at[more] + 1] = ((codes[more] >> 7) & 127) | (most[more].astype(codes.dtype) << 7)
-    out[at[most] + 2] = codes[most] >> 14
-    return out.tobytes()
-
-
-def unpacked(raw: bytes) -> np.ndarray:
-    data = np.frombuffer(raw, np.uint8)
-    ends = np.flatnonzero(data < 128)
-    starts = np.r_[0, ends[:-1] + 1] if len(ends) else ends
-    size = ends - starts
-    out = (data[starts] & 127).astype(np.int64)
-    for k in (1, 2):
-        has = size >= k
-        out[has] |= (data[starts[has] + k] & 127).astype(np.int64) << 7 * k
-    return out
-
-
 class _Codes(dict):
     def __missing__(self, word):
         self[word] = code = len(self)
