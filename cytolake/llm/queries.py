@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytolake.llm import byte_bpe, mixing, mtree, ngram_join, prefix_forest, quality, substring_dedup, suffix_dedup, token_counts
+from cytolake.llm import byte_bpe, kneser_ney, mixing, mtree, ngram_join, prefix_forest, quality, substring_dedup, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -158,3 +158,11 @@ WITH RECURSIVE w AS (
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c, w.doc_id) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN component USING (doc_id)
 """
+
+
+@_query
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under a bigram model and under unigrams, learned from six sevenths."""
+    held_out = quality.held_out("doc_id", 7, 2)
+    scored = kneser_ney.score(_table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
