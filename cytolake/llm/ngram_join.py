@@ -101,14 +101,21 @@ def trie_links(pivot: np.ndarray, pivot_size: int, lists: list[np.ndarray], size
 # ---------------------------------------------------------------- stages
 
 def described(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, node) of every row."""
+    """(doc_id, n, node, row, ...) of every row: its id, the size and fingerprint of its set, a number of its own, and
+    the columns after doc_id and text. The number is settled once the result is stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
             sets = [shingles(t, k) for t in texts_of(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n", "node"])
+            own = [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary()), pa.array(np.arange(row, row + b.num_rows), pa.int64())]
+            row += b.num_rows
+            yield pa.RecordBatch.from_arrays([*own, *b.columns[2:]], names=["doc_id", "n", "node", "row", *b.schema.names[2:]])
 
-    return docs.mapInArrow(run, "doc_id long, n long, node binary")
+    ddl = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[2:])
+    return docs.mapInArrow(run, f"doc_id long, n long, node binary, row long{ddl}")
 
 
 def ordered(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -219,22 +226,24 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 75, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles (size of its set), component_id (the smallest id reachable by links).
+def join(docs: DataFrame, k: int = 5, percent: int = 75, id_column: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, n_shingles (size of its set), component_id (the smallest id reachable by links)
+    and chosen (true for one row of each component, of the smallest id), then the columns named in keep.
 
     Words are lower-cased (A-Z); a set holds the distinct k-word shingles, with fewer words the whole sequence as one.
     Two sets link when 100 * overlap >= percent * union. Null and empty texts have an empty set, link with nothing and
     have their own id as component. Repeated rows and equal sets are linked. Null ids come after all others: a
     component of null ids only has a null id. Other columns are ignored."""
     own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    extra = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
 
     def prefix(data: np.ndarray) -> np.ndarray:
         s = shingles(data, k)
         return s[: len(s) - need(len(s), percent) + 1] if len(s) else s
 
     n_shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    every = stored(described(own, k), "join-nodes")
-    nodes = every.filter("node is not null").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"))
+    every = stored(described(extra, k), "join-nodes")
+    nodes = every.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "row")).alias("lead")).withColumn("first", F.col("lead.id"))
     partners = shared_keys(own, prefix, n_shards, with_keys=False).select(F.coalesce("id", F.lit(NO_ID)).alias("first"))
     chosen = nodes.select("first").distinct().join(partners, "first", "left_semi")
     some = own.join(chosen, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("first"), "left_semi").select("text")
@@ -265,6 +274,9 @@ def join(docs: DataFrame, k: int = 5, percent: int = 75, id_column: str = "doc_i
         labels = components(links.union(more))
 
     label = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    of_label = label.groupBy("label").agg(F.min("first").alias("component"))
-    named = label.join(of_label, "label").select("node", F.when(F.col("component") != NO_ID, F.col("component")).alias("component"))
-    return every.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    of_label = label.groupBy("label").agg(F.min("lead").alias("top"))
+    named = label.join(of_label, "label").select("node", "top")
+    out = every.join(named, "node", "left")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).when(F.col("top.id") != NO_ID, F.col("top.id"))
+    chosen = F.col("node").isNull() | (F.col("row") == F.col("top.row"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), chosen.alias("chosen"), *[F.col(f"`keep_{c}`").alias(c) for c in keep])

@@ -135,7 +135,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingles have a Jaccard similarity of 0.75 or more."""
-    return ngram_join.join(_table(spark, sf_dir, "documents"))
+    return ngram_join.join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 SQL["op8_ngram_join"] = r"""
