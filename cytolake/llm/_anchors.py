@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytolake.llm._common import U64, batch, byte_gram_hashes, from40, low40, mix, ngram_hashes, shard_of, stretches, texts_of, window_anchors, word_hashes
+from cytolake.llm._common import U64, batch, byte_gram_hashes, from40, low40, mix, ngram_hashes, packed_bytes, shard_of, stretches, texts_of, unpacked_bytes, window_anchors, word_hashes
 
 #: Stands for a null id: after all others.
 NO_ID = 2**63 - 1
@@ -126,9 +126,9 @@ def by_document(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(unpack, "id long, mark long, found binary")
 
 
-def shared_keys(docs: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], n_shards: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def shared_keys(docs: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], n_shards: int, id_column: str = "doc_id", text: str = "text", with_keys: bool = True) -> DataFrame:
     """(id, mark, found): for each document the low 40 bits of those of its keys that another document (or row) has
-    too, five bytes each; mark is 0.
+    too, five bytes each; mark is 0. Without with_keys, found is empty: only the documents count.
 
     keys_of gives a text's distinct 64-bit keys. Documents without such keys give no row; null texts have none.
     Different keys with the same low 40 bits in one shard count as shared: callers use the answer as a filter only."""
@@ -183,16 +183,36 @@ def shared_keys(docs: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], n_
                 c = c[c > 0]
             raw, ends = low40(k), np.cumsum(c) * 5
             out_ids += i.tolist()
-            out_keys += [raw[e - 5 * n : e] for n, e in zip(c.tolist(), ends.tolist(), strict=True)]
+            out_keys += [raw[e - 5 * n : e] for n, e in zip(c.tolist(), ends.tolist(), strict=True)] if with_keys else [b""] * len(i)
         return packed_by_bucket(out_ids, [0] * len(out_ids), out_keys, n_shards)
 
     sent = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(send, _SENT_DDL)
     return by_document(sent.groupBy("shard").applyInArrow(meet, PACKED_DDL))
 
 
+def packed_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with its text as packed_bytes, for a shuffle of whole texts: half of what the shuffle's own codec makes of
+    them. Null stays null."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            at = part.schema.names.index(text)
+            out = [None if t is None else packed_bytes(t.tobytes()) for t in texts_of(part.column(at))]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()) if k == at else c for k, c in enumerate(part.columns)], names=part.schema.names)
+
+    ddl = ", ".join(f"`{f.name}` {'binary' if f.name == text else f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(pack, ddl)
+
+
+def unpacked_texts(column: pa.Array) -> Iterator[np.ndarray | None]:
+    for value in column:
+        value = value.as_py()
+        yield None if value is None else np.frombuffer(unpacked_bytes(value), np.uint8)
+
+
 def joined(docs: DataFrame, found: DataFrame, how: str, marked: bool = False) -> DataFrame:
-    """docs (doc_id, text, mark, ...) with what was found for their id, or for their id and mark."""
-    d, f = docs.alias("d"), found.alias("f")
+    """docs (doc_id, text, mark, ...) with packed texts, and what was found for their id, or for their id and mark."""
+    d, f = packed_texts(docs).alias("d"), found.alias("f")
     on = F.col("d.doc_id").cast("long").eqNullSafe(F.col("f.id"))
     return d.join(f, on & (F.coalesce(F.col("d.mark"), F.lit(0)) == F.col("f.mark")) if marked else on, how).select("d.*", "f.found")
 

@@ -218,6 +218,15 @@ def unpacked(raw: bytes) -> np.ndarray:
     return out
 
 
+def packed_bytes(raw: bytes | memoryview) -> bytes:
+    """Its size in eight bytes, then zstd."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked_bytes(raw: bytes) -> bytes:
+    return pa.decompress(memoryview(raw)[8:], decompressed_size=int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+
+
 def shard_of(x: np.ndarray, n: int) -> np.ndarray:
     """0 to n - 1 from the upper 32 bits, so that the low 40 bits still tell keys of a shard apart."""
     return ((x >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cytolake.llm._anchors import NO_ID, ids_of
-from cytolake.llm._common import U64, lowered, mix, packed, shard_of, stored, stretches, texts_of, unpacked, word_hashes
+from cytolake.llm._common import U64, lowered, mix, packed, packed_bytes, shard_of, stored, stretches, texts_of, unpacked, unpacked_bytes, word_hashes
 
 BLOCK_BYTES = 10 << 20
 END, START = U64(0xE0D), U64(0x57A27)  # hashes of the end token and of the mark before a text
@@ -38,20 +38,12 @@ _BLOCK_DDL = "block long, ids binary, train binary, sizes binary, codes binary,
 _LOW32 = U64(0xFFFFFFFF)
 
 
-def squeezed(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def expanded(raw: bytes) -> bytes:
-    return pa.decompress(memoryview(raw)[8:], decompressed_size=int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
-
-
 class Block:
     """The documents of a block, and their bigrams in order of shard and hash."""
 
     def __init__(self, row: dict, n_shards: int):
         self.ids, self.train = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["train"], bool)
-        self.sizes, self.codes = unpacked(row["sizes"]), unpacked(expanded(row["codes"]))
+        self.sizes, self.codes = unpacked(row["sizes"]), unpacked(unpacked_bytes(row["codes"]))
         self.words = np.r_[np.frombuffer(row["words"], U64), START]
         self.in_training = np.repeat(self.train, self.sizes)
         self.before = np.r_[0, self.codes[:-1]]
@@ -130,7 +122,7 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text: str =
             order = np.argsort(-n, kind="stable")
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
-            values = (block, np.array(ids, np.int64).tobytes(), np.array(flags, bool).tobytes(), packed(np.array([len(h) for h in hashes])), squeezed(packed(rank[codes])), words[order].tobytes())
+            values = (block, np.array(ids, np.int64).tobytes(), np.array(flags, bool).tobytes(), packed(np.array([len(h) for h in hashes])), packed_bytes(packed(rank[codes])), words[order].tobytes())
             return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *[pa.array([v], pa.binary()) for v in values[1:]]], names=_BLOCK)
 
         for b in batches:
@@ -214,7 +206,7 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text: str =
         distinct, at = np.unique(np.concatenate(words), return_inverse=True)
         total = np.stack([np.bincount(at, weights=v, minlength=len(distinct)) for v in values]).astype(np.int64)
         ends = np.cumsum([len(w) for w in words])
-        back = [squeezed(packed(total[:, at[e - len(w) : e]].ravel())) for e, w in zip(ends, words, strict=True)]
+        back = [packed_bytes(packed(total[:, at[e - len(w) : e]].ravel())) for e, w in zip(ends, words, strict=True)]
         real = distinct != START
         of = np.bincount(np.minimum(total[4], 5), minlength=6)
         n = len(words)
@@ -240,7 +232,7 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text: str =
             _, place = block.places()
             sorted_words = np.argsort(block.words, kind="stable")
             values = np.empty((5, len(block.words)), np.int64)
-            values[:, sorted_words] = np.concatenate([unpacked(expanded(r["a"])).reshape(5, -1) for r in sorted(other.to_pylist(), key=lambda r: r["shard"])], axis=1)
+            values[:, sorted_words] = np.concatenate([unpacked(unpacked_bytes(r["a"])).reshape(5, -1) for r in sorted(other.to_pylist(), key=lambda r: r["shard"])], axis=1)
             known, one, two, more, ends = values
             low = (ends - small[np.minimum(ends, 3)]) / max(kinds, 1) + spare / (v + 1)
             rest = np.where(known > 0, (big[1] * one + big[2] * two + big[3] * more) / np.maximum(known, 1), 1.0)

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytolake.llm._anchors import PACKED_DDL, Words, by_document, doc_keys, ids_of, in_keys, joined, packed_by_bucket, shared_keys
-from cytolake.llm._common import U64, batch, from40, mix, ngram_hashes, shard_of, stored, stretches, texts_of, word_hashes
+from cytolake.llm._anchors import PACKED_DDL, Words, by_document, doc_keys, ids_of, in_keys, joined, packed_by_bucket, shared_keys, unpacked_texts
+from cytolake.llm._common import U64, batch, from40, mix, ngram_hashes, shard_of, stored, stretches, word_hashes
 
 _OTHER = U64(0xA0761D6478BD642F)
 #: Part of a factor: ``n`` windows from word ``pos`` on, that also start in document ``doc`` from word ``at`` on.
@@ -111,7 +111,7 @@ def duplicate_runs(docs: DataFrame, window: int = 13, id_column: str = "doc_id",
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = [], 0
         for part in batches:
-            for i, mark, data, found in zip(ids_of(part.column("doc_id")), part.column("mark").to_numpy(), texts_of(part.column("text")), part.column("found"), strict=True):
+            for i, mark, data, found in zip(ids_of(part.column("doc_id")), part.column("mark").to_numpy(), unpacked_texts(part.column("text")), part.column("found"), strict=True):
                 if data is None:
                     continue
                 words = word_hashes(data)[2]
@@ -204,7 +204,7 @@ def dedup(docs: DataFrame, window: int = 13, id_column: str = "doc_id", text: st
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             n, gone, kept, parse = [], [], [], []
-            for data, found in zip(texts_of(part.column("text")), part.column("found"), strict=True):
+            for data, found in zip(unpacked_texts(part.column("text")), part.column("found"), strict=True):
                 raw = data.tobytes() if data is not None else b""
                 words = raw.split()  # bytes.split() splits at exactly the six bytes
                 n.append(len(words))

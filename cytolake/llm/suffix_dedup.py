@@ -17,15 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytolake.llm._anchors import PACKED_DDL, Bytes, by_document, doc_keys, ids_of, in_keys, joined, packed_by_bucket, shared_keys
-from cytolake.llm._common import batch, from40, mix, shard_of, stored, stretches, texts_of
+from cytolake.llm._anchors import PACKED_DDL, Bytes, by_document, doc_keys, ids_of, in_keys, joined, packed_by_bucket, shared_keys, unpacked_texts
+from cytolake.llm._common import batch, from40, mix, packed_bytes, shard_of, stored, stretches, unpacked_bytes
 
 #: ``n`` windows from byte ``start`` on.
 RUN = np.dtype([("start", "<u4"), ("n", "<u4")])
 _PIECE = np.dtype([("doc", "<u4"), ("start", "<u4"), ("n", "<u4"), ("size", "<u4"), ("anchor", "<u4")])
 BLOCK_BYTES = 24 << 20
+#: Text that is suffix-sorted at a time (an anchor's pieces stay together).
+BATCH_BYTES = 4 << 20
 #: Suffixes whose bytes are laid out side by side for one direct sort.
-SORT_ROWS = 200_000
+SORT_ROWS = 100_000
 
 _SENT = pa.schema([("shard", pa.int32()), ("id", pa.binary()), ("mark", pa.binary()), ("runs", pa.binary()), ("text", pa.binary())])
 _SENT_DDL = "shard int, id binary, mark binary, runs binary, text binary"
@@ -39,8 +41,11 @@ def ascending(text: np.ndarray, last: np.ndarray) -> np.ndarray:
     after = np.empty_like(text)
     after[:-1], after[-1:] = text[1:], 0
     after[last] = 0
-    differs = np.flatnonzero(after != text)
-    return (after > text)[differs[np.searchsorted(differs, np.arange(len(text)))]] if len(text) else np.zeros(0, bool)
+    up = after > text
+    same = np.flatnonzero(after == text)  # decided by the first place after the run of equal bytes
+    for_run = np.flatnonzero(np.diff(same, append=-1) != 1)
+    up[same] = np.repeat(up[same[for_run] + 1], np.diff(for_run, prepend=-1))
+    return up
 
 
 def _directly(text: np.ndarray, ends: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -165,7 +170,7 @@ def duplicate_runs(docs: DataFrame, window: int = 100, id_column: str = "doc_id"
     """(id, mark, found): for each document its windows that also start earlier, as packed RUNs; mark (xxhash64 of the
     text) tells apart texts under the same id."""
     unit = Bytes(window, min(32, window))
-    n_shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_shards = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
     suspects = joined(docs, shared_keys(docs, doc_keys(unit, within=True), n_shards), "inner")
 
@@ -183,12 +188,12 @@ def duplicate_runs(docs: DataFrame, window: int = 100, id_column: str = "doc_id"
                 docs = {d: k for k, d in enumerate(dict.fromkeys(v[:2] for _, v in part))}
                 head = np.array([(docs[v[:2]], v[2], v[3], len(t), v[5]) for t, v in part], _PIECE)
                 ids = np.array(list(docs), np.int64)
-                rows.append((int(shard[lo]), ids[:, 0].tobytes(), ids[:, 1].tobytes(), head.tobytes(), b"".join(t for t, _ in part)))
+                rows.append((int(shard[lo]), ids[:, 0].tobytes(), ids[:, 1].tobytes(), head.tobytes(), packed_bytes(b"".join(t for t, _ in part))))
             if rows:
                 yield batch(_SENT, **dict(zip(_SENT.names, zip(*rows, strict=True), strict=True)))
 
         for part in batches:
-            for i, mark, data, found in zip(ids_of(part.column("doc_id")).tolist(), part.column("mark").to_pylist(), texts_of(part.column("text")), part.column("found"), strict=True):
+            for i, mark, data, found in zip(ids_of(part.column("doc_id")).tolist(), part.column("mark").to_pylist(), unpacked_texts(part.column("text")), part.column("found"), strict=True):
                 if data is None:
                     continue
                 places, grams = unit.anchors(data)
@@ -218,14 +223,15 @@ def duplicate_runs(docs: DataFrame, window: int = 100, id_column: str = "doc_id"
 
     def sort(rows: pa.Table) -> pa.Table:
         out, own, settled = [], {}, {}
-        for r in rows.to_pylist():
+        for k in range(len(rows)):
+            r = rows.slice(k, 1).to_pylist()[0]
             ids, marks = np.frombuffer(r["id"], np.int64), np.frombuffer(r["mark"], np.int64)
             if r["text"] is None:
                 out.append((int(ids[0]), int(marks[0]), r["runs"]))
                 continue
-            at, text, ids, marks = 0, r["text"], ids.tolist(), marks.tolist()
-            for d, s, k, size, a in np.frombuffer(r["runs"], _PIECE).tolist():
-                t, v = text[at : at + size], (ids[d], marks[d], s, k, a)
+            at, text, ids, marks = 0, unpacked_bytes(r["text"]), ids.tolist(), marks.tolist()
+            for d, s, n, size, a in np.frombuffer(r["runs"], _PIECE).tolist():
+                t, v = text[at : at + size], (ids[d], marks[d], s, n, a)
                 at += size
                 w = own.setdefault(t, v)
                 if w is not v and w[:3] != v[:3]:
@@ -234,8 +240,19 @@ def duplicate_runs(docs: DataFrame, window: int = 100, id_column: str = "doc_id"
         by_anchor: dict[bytes, list] = {}
         for t, v in own.items():
             by_anchor.setdefault(t[v[4] : v[4] + unit.gram], []).append((v, t))
-        pieces = sorted((p for group in by_anchor.values() if len(group) > 1 for p in group), key=lambda p: p[0][:3])
-        if pieces:
+        del own
+        # equal windows have equal anchors: whole anchors make up batches of bounded size
+        many, batches, held = [g for g in by_anchor.values() if len(g) > 1], [[]], 0
+        del by_anchor
+        for group in many:
+            if held > BATCH_BYTES:
+                batches.append([])
+                held = 0
+            batches[-1] += group
+            held += sum(len(t) for _, t in group)
+        del many
+        while batches and batches[-1]:
+            pieces = sorted(batches.pop(), key=lambda p: p[0][:3])
             n = np.array([v[3] for v, _ in pieces], np.int64)
             late = repeats([t for _, t in pieces], n, window)
             edge = np.zeros(len(late), bool)
@@ -289,7 +306,7 @@ def dedup(docs: DataFrame, window: int = 100, id_column: str = "doc_id", text: s
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             n, gone, many, kept, where = [], [], [], [], []
-            for data, found in zip(texts_of(part.column("text")), part.column("found"), strict=True):
+            for data, found in zip(unpacked_texts(part.column("text")), part.column("found"), strict=True):
                 data = data if data is not None else np.zeros(0, np.uint8)
                 runs = np.frombuffer(found.as_py() or b"", RUN)
                 spans = spans_of(runs, len(data), window) if len(runs) else np.zeros((0, 2), np.int64)
