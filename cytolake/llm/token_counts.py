@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct words whose counts a worker remembers; past it, it starts anew. Bounds memory, not results.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
 
 def byte_letters() -> list[str]:
@@ -34,6 +34,16 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in visible else chr(next(other)) for b in range(256)]
 
 
+class _Totals(dict):
+    """The tokens of whole words; a new word is counted at all its prefixes first."""
+
+    def __init__(self, counter: PrefixCounts):
+        self.counter = counter
+
+    def __missing__(self, word: str) -> int:
+        return int(self.counter.counts(word)[-1])
+
+
 class PrefixCounts:
     """Counts for every prefix of words under one vocabulary."""
 
@@ -43,13 +53,20 @@ class PrefixCounts:
         self.end = model["end_of_word_suffix"]
         self.vocab = model["vocab"]
         self.ranks = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): r for r, m in enumerate(model["merges"])}
-        self.longest = max(map(len, self.vocab))
+        inner = [t for t in self.vocab if not (t.endswith(self.end) and len(t) > len(self.end))]
+        final = [t[: -len(self.end)] for t in self.vocab if t.endswith(self.end) and len(t) > len(self.end)]
+        # what tokens can end in: longer candidates than these are not tried
+        self.inner_tails = {t[k:] for t in inner for k in range(len(t))}
+        self.final_tails = {t[k:] for t in final for k in range(len(t))}
+        self.inner, self.final = set(inner), set(final)
         self.special = [t["content"] for t in spec["added_tokens"] if t["special"]]
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.letters = {b: c for b, c in enumerate(byte_letters())}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.final_pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes | np.ndarray] = {}
+        self.totals = _Totals(self)
 
     def merged(self, units: list[str]) -> list[str]:
         """Byte-pair merges by rank, leftmost first."""
@@ -66,40 +83,44 @@ class PrefixCounts:
             return [*body[:-1], body[-1] + self.end]
         return list(token)
 
-    def adjoin(self, left: str, right: str) -> bool:
-        """May the two be neighbours in an encoding?"""
-        pair = (left, right)
-        found = self.pairs.get(pair)
-        if found is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            found = self.pairs[pair] = self.merged(self.units(left) + self.units(right)) == ([left, right] if left else [right])
+    def adjoin(self, left: str, right: str, final: bool) -> bool:
+        """May right follow left in an encoding? final: right ends the word. An empty left: may right stand alone?"""
+        pairs = self.final_pairs if final else self.pairs
+        if len(pairs) > 1_000_000:
+            pairs.clear()
+        token = right + self.end if final else right
+        found = pairs[left, right] = self.merged([*left, *self.units(token)]) == ([left, token] if left else [token])
         return found
 
     def word(self, word: str) -> list[int]:
         """The exact number of tokens of each prefix of a word, by characters."""
         raw = word.encode()
         text = "".join(map(self.letters.__getitem__, raw))
-        n, vocab, adjoin, longest, end = len(text), self.vocab, self.adjoin, self.longest, self.end
+        n, pairs, final_pairs, adjoin = len(text), self.pairs.get, self.final_pairs.get, self.adjoin
+        inner, final, inner_tails, final_tails = self.inner, self.final, self.inner_tails, self.final_tails
         last, count, out = [""] * (n + 1), [0] * (n + 1), []
         for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
+            if i == n or raw[i] & 0xC0 != 0x80:  # a character ends here: the count of the text cut here
+                for j in range(i - 1, -1, -1):
+                    t = text[j:i]
+                    if t not in final_tails:
+                        break
+                    if t in final and (j == 0 or last[j]):
+                        fits = final_pairs((last[j], t))
+                        if adjoin(last[j], t, True) if fits is None else fits:
+                            out.append(count[j] + 1)
+                            break
+            for j in range(i - 1, -1, -1):  # the last token if the word goes on
                 t = text[j:i]
-                if t in vocab and (j == 0 and self.whole(t) or j and last[j] and adjoin(last[j], t)):
-                    last[i], count[i] = t, count[j] + 1
+                if t not in inner_tails:
                     break
-            if i == n or raw[i] & 0xC0 != 0x80:  # a character ends here
-                for j in range(max(0, i - longest), i):
-                    t = text[j:i] + end
-                    if t in vocab and (j == 0 and self.whole(t) or j and last[j] and adjoin(last[j], t)):
-                        out.append(count[j] + 1)
+                if t in inner and (j == 0 or last[j]):
+                    fits = pairs((last[j], t))
+                    if adjoin(last[j], t, False) if fits is None else fits:
+                        last[i], count[i] = t, count[j] + 1
                         break
         return out
 
-    def whole(self, token: str) -> bool:
-        """Does merging a token's own text give the token?"""
-        return self.adjoin("", token) if len(token) > 1 else True
-
     def normal(self, text: str) -> str:
         # per character, as the library does: no final sigma
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
@@ -109,10 +130,12 @@ class PrefixCounts:
         if found is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
+                self.totals.clear()
             values = self.word(word)
             found = bytes(values) if len(values) < 256 else np.array(values, np.int64)
             if len(values) < 256:
                 self.known[word] = found
+                self.totals[word] = values[-1]
         return found
 
     def total(self, text: str) -> int:
@@ -122,10 +145,8 @@ class PrefixCounts:
             if k % 2:
                 n += 1
             elif part:
-                known, counts = self.known, self.counts
-                for w in self.words.findall(self.normal(part)):
-                    n += (known.get(w) or counts(w))[-1]
-        return int(n)
+                n += sum(map(self.totals.__getitem__, self.words.findall(self.normal(part))))
+        return n
 
     def prefixes(self, text: str) -> tuple[list[int], list[int]]:
         """(ends, counts): at each character end inside a word or special string of the normalised text, the tokens so
