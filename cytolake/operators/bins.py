@@ -38,8 +38,8 @@ def discretised(sites: DataFrame, n: int, agg: str = "mean") -> DataFrame:
     length = F.col("_last") + 1 - F.col("_first")
     rows = sites.join(extent, "chr")
     target = lambda i: F.round(F.col("_first") + i * length / n)
-    # the bin by arithmetic, corrected by one for rounding: no list of targets per row
-    guess = F.least(F.floor((F.col("position") - F.col("_first")) * n / length).cast("long"), F.lit(n - 1))
+    # the last target at or below the position by arithmetic, corrected by one for rounding: no list per row
+    guess = F.least(F.ceil((F.col("position") - F.col("_first") + 0.5) * n / length).cast("long") - 1, F.lit(n - 1))
     up = (guess < n - 1) & (F.col("position") >= target(guess + 1))
     down = (guess > 0) & (F.col("position") < target(guess))
     rows = rows.withColumn("bin", guess + F.when(up, 1).otherwise(0) - F.when(down, 1).otherwise(0))

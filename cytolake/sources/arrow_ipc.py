@@ -4,6 +4,9 @@
     spark.read.format("arrow_ipc").load(path)
     sites.write.format("arrow_ipc").option("compression", "lz4").mode("append").save(folder)
 
+Where spark.sql.python.filterPushdown.enabled is true, option("pushdown", "true") takes comparisons of chr and position
+into the reader.
+
 Files are opened by path on driver and workers: the folder is one that all of them see."""
 
 from __future__ import annotations
@@ -38,18 +41,9 @@ class Batch(InputPartition):
 
 
 class Reader(DataSourceReader):
-    """Simple comparisons of chr and position are taken over: rows that fail them do not leave Python."""
-
     def __init__(self, path: str):
         self.path, self.tests = path, []
 
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and f.attribute in (("chr",), ("position",)):
-                self.tests.append((f.attribute[0], {EqualTo: "==", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}[type(f)], f.value))
-            else:
-                yield f
-
     def partitions(self) -> list[InputPartition]:
         out = []
         for p in files(self.path):
@@ -69,6 +63,17 @@ class Reader(DataSourceReader):
             yield b
 
 
+class FilteringReader(Reader):
+    """Simple comparisons of chr and position are taken over: rows that fail them do not leave Python."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and f.attribute in (("chr",), ("position",)):
+                self.tests.append((f.attribute[0], {EqualTo: "==", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}[type(f)], f.value))
+            else:
+                yield f
+
+
 @dataclass
 class Written(WriterCommitMessage):
     path: str
@@ -105,7 +110,7 @@ class ArrowIPC(DataSource):
         return SITE
 
     def reader(self, schema: StructType) -> Reader:
-        return Reader(self.options["path"])
+        return (FilteringReader if self.options.get("pushdown", "false") == "true" else Reader)(self.options["path"])
 
     def writer(self, schema: StructType, overwrite: bool) -> Writer:
         codec = self.options.get("compression", "none")

@@ -114,7 +114,8 @@ def write_report(sites: DataFrame, path: str, kind: str, codec: str | None = Non
 
         def headed(batches):
             yield pa.RecordBatch.from_arrays([pa.array(["track type=bedGraph"])], names=["value"])
-            yield from batches
+            for b in batches:  # one schema: a column without nulls has another
+                yield pa.RecordBatch.from_arrays(b.columns, names=["value"])
 
         lines = lines.mapInArrow(headed, "value string")
     if found in ("", "gzip", "bzip2", "lz4"):
