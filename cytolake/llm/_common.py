@@ -220,7 +220,7 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 def packed_bytes(raw: bytes | memoryview) -> bytes:
     """Its size in eight bytes, then zstd."""
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(raw, asbytes=True)
 
 
 def unpacked_bytes(raw: bytes) -> bytes:

@@ -11,6 +11,7 @@ Decoding joins ids with the table of token bytes, which has as many rows as the
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +20,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytolake.llm._common import packed, stored, stretches, unpacked
+from cytolake.llm._common import packed, packed_bytes, stored, stretches, unpacked, unpacked_bytes
 
-#: A block ends at so many distinct words or bytes of text.
-BLOCK_WORDS, BLOCK_BYTES = 200_000, 12 << 20
+#: A block ends at so many distinct words or characters of text. Large blocks send fewer words in all.
+BLOCK_WORDS, BLOCK_BYTES = 500_000, 24 << 20
 
-_BLOCK = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("row", pa.int32()), ("data", pa.binary()), ("sizes", pa.binary())])
-_BLOCK_DDL = "block long, shard int, row int, data binary, sizes binary"
+_BLOCK_DDL = "block long, shard int, data binary, sizes binary"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -78,6 +78,25 @@ def _encode_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in live if p is not None]
 
 
+def packed_codes(codes: np.ndarray) -> bytes:
+    """Codes below 2**22 in one to three bytes; first, second and third bytes apart, which zstd packs better."""
+    second, third = codes >= 128, codes >= 16384
+    a = (codes & 127 | second.astype(np.int64) << 7).astype(np.uint8)
+    b = (codes[second] >> 7 & 127 | third[second].astype(np.int64) << 7).astype(np.uint8)
+    c = (codes[third] >> 14).astype(np.uint8)
+    return np.array([len(a), len(b)], np.int64).tobytes() + packed_bytes(b"".join((a.tobytes(), b.tobytes(), c.tobytes())))
+
+
+def unpacked_codes(raw: bytes) -> np.ndarray:
+    n, m = np.frombuffer(raw, np.int64, 2).tolist()
+    data = np.frombuffer(unpacked_bytes(raw[16:]), np.uint8).astype(np.int64)
+    out, b = data[:n] & 127, data[n : n + m]
+    second = np.flatnonzero(data[:n] > 127)
+    out[second] |= (b & 127) << 7
+    out[second[b > 127]] |= data[n + m :] << 14
+    return out
+
+
 class _Codes(dict):
     def __missing__(self, word):
         self[word] = code = len(self)
@@ -91,7 +110,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc
     are ignored. ranks_path is read by the driver; the ranks (one row for each token of the vocabulary) go to the
     workers."""
     spark = docs.sparkSession
-    ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
+    known_ranks = read_ranks(ranks_path)
+    kind = np.uint16 if max(known_ranks.values()) < 1 << 16 else np.uint32
+    ranks = spark.sparkContext.broadcast(known_ranks)
     n_shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -103,27 +124,31 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc
         block, size, codes, out, ids = TaskContext.get().partitionId() << 32, 0, _Codes(), [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
+            sizes = np.array([len(x) for x in out], np.int64)
+            every = np.concatenate(out)
+            order = np.argsort(-np.bincount(every, minlength=len(codes)), kind="stable")  # frequent words get short codes
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
             words = list(codes)
-            for lo in range(0, len(out), 2000):
-                part = out[lo : lo + 2000]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array([-1] * len(part), pa.int32()), pa.array(range(lo, lo + len(part)), pa.int32()), pa.array(part, pa.binary()), pa.nulls(len(part), pa.binary()), pa.array(ids[lo : lo + 2000], part_type)], names=[*_BLOCK.names, "doc_id"])
-            if words:
-                raw = [w.encode() for w in words]
-                lengths = np.array([len(w) for w in raw], np.uint32)
-                shard = np.array([_word_hash(w) % n_shards for w in raw], np.int64)
-                order = np.argsort(shard, kind="stable")
-                for lo, hi in stretches(shard[order]):
-                    own = order[lo:hi]
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([int(shard[own[0]])], pa.int32()), pa.array([0], pa.int32()), pa.array([b"".join([raw[k] for k in own.tolist()])], pa.binary()), pa.array([np.stack([own.astype(np.uint32), lengths[own]]).tobytes()], pa.binary()), pa.nulls(1, part_type)], names=[*_BLOCK.names, "doc_id"])
-
-        part_type = None
+            raw = [words[k].encode() for k in order.tolist()]
+            lengths = np.array([len(w) for w in raw], np.int64)
+            shard = np.array([zlib.crc32(w) % n_shards for w in raw], np.int64)  # Python's own hash differs between processes
+            by = np.argsort(shard, kind="stable")
+            rows = [(block, -1, packed_codes(rank[every]), packed(sizes), ids)]
+            for lo, hi in stretches(shard[by]):
+                own = by[lo:hi]
+                rows.append((block, int(shard[own[0]]), packed_bytes(b"".join([raw[k] for k in own.tolist()])), packed(np.r_[np.diff(own, prepend=0), lengths[own]]), None))
+            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(id_arrow)), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "shard", "data", "sizes", "ids"])
+
+        id_arrow = None
         for part in batches:
-            part_type = part.column(0).type
-            for k, value in enumerate(part.column(1)):
+            id_arrow = part.column(0).type
+            for i, value in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 value = value.as_py() or ""
                 words = find(value)
-                out.append(packed(np.fromiter(map(codes.__getitem__, words), np.int64, len(words))))
-                ids.append(part.column(0)[k].as_py())
+                out.append(np.fromiter(map(codes.__getitem__, words), np.int64, len(words)))
+                ids.append(i)
                 size += len(value)
                 if len(codes) >= BLOCK_WORDS or size >= BLOCK_BYTES:
                     yield from flush()
@@ -131,54 +156,53 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc
         if out:
             yield from flush()
 
-    blocks = stored(rows.mapInArrow(split, f"{_BLOCK_DDL}, doc_id {id_type}"), "bpe-blocks")
+    blocks = stored(rows.mapInArrow(split, f"{_BLOCK_DDL}, ids array<{id_type}>"), "bpe-blocks")
 
     def encode_words(rows: pa.Table) -> pa.Table:
         table, known, out = ranks.value, {}, []
         for k in range(len(rows)):
             r = rows.slice(k, 1).to_pylist()[0]
-            own, lengths = np.frombuffer(r["sizes"], np.uint32).reshape(2, -1)
-            ids, at = [], 0
+            own, lengths = unpacked(r["sizes"]).reshape(2, -1)
+            raw, ids, at = unpacked_bytes(r["data"]), [], 0
             for n in lengths.tolist():
-                word = r["data"][at : at + n]
+                word = raw[at : at + n]
                 at += n
                 found = known.get(word)
                 if found is None:
-                    found = known[word] = np.array(encode_word(word, table), np.uint32)
+                    found = known[word] = np.array(encode_word(word, table), kind)
                 ids.append(found)
-            out.append((r["block"], np.concatenate(ids).tobytes(), np.stack([own, np.array([len(x) for x in ids], np.uint32)]).tobytes()))
+            out.append((r["block"], packed_bytes(np.concatenate(ids).tobytes()), packed(np.r_[own, [len(x) for x in ids]])))
         return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "data": pa.array([x[1] for x in out], pa.binary()), "sizes": pa.array([x[2] for x in out], pa.binary())})
 
     answers = blocks.filter("shard >= 0").select("shard", "block", "data", "sizes").groupBy("shard").applyInArrow(encode_words, "block long, data binary, sizes binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        counts, parts = [], []
-        if len(right):
-            own, sizes = np.concatenate([np.frombuffer(x, np.uint32).reshape(2, -1) for x in right.column("sizes").to_pylist()], axis=1).astype(np.int64)
-            flat = np.concatenate([np.frombuffer(x, np.uint32) for x in right.column("data").to_pylist()]).astype(np.int32)
-            start, size = np.empty(len(own), np.int64), np.empty(len(own), np.int64)
-            start[own], size[own] = np.cumsum(sizes) - sizes, sizes
-        for raw in left.column("data"):
-            codes = unpacked(raw.as_py())
-            n = size[codes] if len(codes) else codes
-            total = int(n.sum())
-            counts.append(total)
-            if total:
-                parts.append(flat[np.repeat(start[codes] - (np.cumsum(n) - n), n) + np.arange(total)])
-        offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
-        return pa.table({"doc_id": left.column("doc_id"), "ids": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32()))})
-
-    documents = blocks.filter("shard < 0").select("block", "doc_id", "data")
+        owns, sizes, flats = [], [], []
+        for r in right.select(["data", "sizes"]).to_pylist():
+            own, n = unpacked(r["sizes"]).reshape(2, -1)
+            owns.append(np.cumsum(own))
+            sizes.append(n)
+            flats.append(np.frombuffer(unpacked_bytes(r["data"]), kind).astype(np.int32))
+        own, sizes, flat = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (owns, sizes, flats))
+        start, size = np.empty(len(own), np.int64), np.empty(len(own), np.int64)
+        start[own], size[own] = np.cumsum(sizes) - sizes, sizes
+        tables = []
+        for row in range(len(left)):
+            codes, lengths = unpacked_codes(left.column("data")[row].as_py()), unpacked(left.column("sizes")[row].as_py())
+            n = size[codes]
+            edges = np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum(lengths)]]
+            parts = []
+            for lo in range(0, len(codes), 1 << 19):
+                c, m = codes[lo : lo + (1 << 19)], n[lo : lo + (1 << 19)]
+                parts.append(flat[np.repeat(start[c] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))])
+            tokens = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32())
+            tables.append(pa.table({"doc_id": left.column("ids")[row].values, "ids": pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), tokens)}))
+        return pa.concat_tables(tables)
+
+    documents = blocks.filter("shard < 0").select("block", "data", "sizes", "ids")
     return documents.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, f"doc_id {id_type}, ids array<int>")
 
 
-def _word_hash(word: bytes) -> int:
-    """A repeatable hash: Python's own differs between processes."""
-    import zlib
-
-    return zlib.crc32(word)
-
-
 def decode(tokens: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
     """tokens with a column decoded (binary): the bytes of the ids, joined with the table of token bytes.
 
