@@ -1,15 +1,21 @@
 """N-gram Jaccard join with prefix trees.
 
 1. Equal sets are one: a set's 128-bit fingerprint is its node, and its documents are members of the node.
-2. Prefix filter: sets in order of hash, a set can only link where one of its first n - ceil(t n) + 1 elements is among
-   another's. Only these hashes travel; documents without a partner are done, which most are.
+2. Prefix filter: sets in order of hash, the first l elements that two linked sets share are among the first
+   n - ceil(t n) + l of each, for any l. With l an eighth of the set, only such prefixes travel, as hashes, and a set
+   of which too few elements turn up in other prefixes is done, which most are.
 3. The remaining sets get a global order of elements, rare before frequent (by powers of two of the number of sets
    that hold them, then by hash). Elements that no other set holds cannot match; a set with too many of them is done.
-4. Sets that share an element of their new prefix are compared: first with two pivots of the element's group, then,
-   between sets that these links leave in different components, with each other (length and position filters apply).
-   A comparison of a pivot with many sets walks a trie of the sets: sorted lists, whose common prefixes share their
-   partial overlap; a subtree is left as soon as its overlap and remaining lengths cannot reach the threshold.
+4. Sets that share an element of their new prefix form its group. Each is compared with two pivots of the group: the
+   one that shares most of itself, and one by hash. A comparison of a pivot with many sets walks a trie of the sets:
+   sorted lists, whose common prefixes share their partial overlap; a subtree is left as soon as its overlap and
+   remaining lengths cannot reach the threshold.
 5. Components of the links by smallest label, with pointer jumping.
+6. In groups whose sets are still in different components, pairs are bounded by 2048-bit parity sketches (the bits in
+   which two sketches differ are at most the elements in which the sets do), and of the pairs that may link, a few for
+   each set and component are compared in the tries, the nearest first. This repeats with more pairs, without those
+   already compared, until no group has a pair left that may join two components. So no link is missed, and the pairs
+   of a group are not written out.
 
 Links inside a component that follow from others are not enumerated: the result needs components, and a group of g
 near copies has g * g links.
@@ -24,10 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytolake.llm._anchors import NO_ID, ids_of, shared_keys
+from cytolake.llm._anchors import NO_ID, packed_texts, shared_keys, unpacked_texts
 from cytolake.llm._common import U64, batch, from40, low40, lowered, mix, ngram_hashes, shard_of, stored, stretches, texts_of, word_hashes
 
 BLOCK_KEYS = 1_000_000
+#: The prefix filter asks for shared elements in number of this part of a set.
+PART = 8
+#: Of the groups, every so many-th is searched before all are.
+SOME_KEYS = 16
+#: Members of a group that meet in one task; larger groups meet block by block.
+GROUP_ROWS = 8192
+WORDS = 32  # of a sketch
+#: Pairs for each set and component in a round of the search; a round later so many times as many.
+TRIES = 16
 #: Sets compared with one pivot in one group.
 PIVOT_ROWS = 2048
 _KEYS = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("node", pa.binary()), ("n", pa.int32()), ("data", pa.binary()), ("counts", pa.binary())])
@@ -56,6 +71,42 @@ def need(n: int, percent: int) -> int:
     return (percent * n + 99) // 100
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """The parity of the number of elements that fall on each of 2048 bits."""
+    bits = np.bincount((mix(hashes ^ U64(0x5851F42D4C957F2D)) >> U64(53)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(bits.astype(bool)).tobytes()
+
+
+def joining_pairs(sketches: np.ndarray, n: np.ndarray, labels: np.ndarray, block: np.ndarray, barred: set, percent: int, tries: int) -> list[tuple[int, int]]:
+    """Pairs (of rows) that may link and would join two labels, up to tries for each row and label, those with the
+    nearest sketches first. block: rows of 0 meet rows of 1; if all are 0 they meet each other. barred holds pairs of
+    rows that do not link. Labels whose pair is well inside the bound count as joined from then on: if they turn out
+    not to be, the next round sees their other pairs."""
+    labels = np.unique(labels, return_inverse=True)[1]
+    size = np.bincount(labels)
+    out = []
+    # the largest component only answers: every pair has a side in another
+    for i in np.flatnonzero(labels != size.argmax()):
+        other = np.flatnonzero(labels != labels[i])
+        if block.any():
+            other = other[block[other] != block[i]]
+        other = other[(100 * n[other] >= percent * n[i]) & (100 * n[i] >= percent * n[other])]
+        apart = (100 + percent) * np.bitwise_count(sketches[other] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+        most = (100 - percent) * (n[other] + n[i])
+        near = np.flatnonzero(apart <= most)
+        used: dict[int, int] = {}
+        for k in near[np.argsort(apart[near] / np.maximum(most[near], 1), kind="stable")].tolist():
+            j = int(other[k])
+            label = int(labels[j])
+            if label == labels[i] or used.get(label, 0) >= tries or (min(i, j), max(i, j)) in barred:
+                continue
+            out.append((int(i), j))
+            used[label] = used.get(label, 0) + 1
+            if 10 * apart[k] <= 8 * most[k]:
+                labels[labels == label] = labels[i]
+    return out
+
+
 # ---------------------------------------------------------------- the trie
 
 def trie_links(pivot: np.ndarray, pivot_size: int, lists: list[np.ndarray], sizes: list[int], percent: int) -> list[int]:
@@ -119,7 +170,7 @@ def described(docs: DataFrame, k: int) -> DataFrame:
 
 
 def ordered(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, n, codes, prefix): the sets of docs in the global order; only sets that can link."""
+    """(node, n, codes, prefix, sketch): the sets of docs in the global order; only sets that can link."""
     n_shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +190,7 @@ def ordered(docs: DataFrame, k: int, percent: int) -> DataFrame:
             yield batch(_KEYS, block=[block] * len(rows), shard=a, node=pa.nulls(len(rows), pa.binary()), n=[0] * len(rows), data=b, counts=c)
 
         for b in batches:
-            for t in texts_of(b.column("text")):
+            for t in unpacked_texts(b.column("text")):
                 s = shingles(t, k)
                 if len(s):
                     nodes.append(fingerprint(s))
@@ -179,12 +230,12 @@ def ordered(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 first = len(s) - need(len(s), percent) + 1
                 if alone < first:
                     codes = np.sort((own << U64(58) | s >> U64(6))[own > 0])
-                    out.append((node, len(s), codes.tobytes(), codes[: first - alone].view(np.int64).tolist()))
-        a, b, c, d = zip(*out, strict=True) if out else ((), (), (), ())
-        return pa.table({"node": pa.array(a, pa.binary()), "n": pa.array(b, pa.int32()), "codes": pa.array(c, pa.binary()), "prefix": pa.array(d, pa.list_(pa.int64()))})
+                    out.append((node, len(s), codes.tobytes(), codes[: first - alone].view(np.int64).tolist(), sketch(s)))
+        a, b, c, d, e = zip(*out, strict=True) if out else ((), (), (), (), ())
+        return pa.table({"node": pa.array(a, pa.binary()), "n": pa.array(b, pa.int32()), "codes": pa.array(c, pa.binary()), "prefix": pa.array(d, pa.list_(pa.int64())), "sketch": pa.array(e, pa.binary())})
 
     sets = blocks.filter("shard < 0").select("block", "node", "data")
-    return sets.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(put_in_order, "node binary, n int, codes binary, prefix array<long>")
+    return sets.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(put_in_order, "node binary, n int, codes binary, prefix array<long>, sketch binary")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -208,6 +259,44 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return leaves.groupBy("bucket").cogroup(pivots.groupBy("home")).applyInArrow(compare, "a binary, b binary")
 
 
+def candidates(members: DataFrame, sets: DataFrame, labels: DataFrame, compared: DataFrame, percent: int, tries: int) -> DataFrame:
+    """(key, a, b): pairs of a group's members (key, node) that may link, join two components, and are not compared
+    yet. A group without pairs never has any again: components only grow."""
+    n_buckets = 2 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = members.join(labels, "node")
+    groups = t.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count("*").alias("_n")).filter("_x <> _y")
+    groups = groups.select("key", F.ceil(F.col("_n") / GROUP_ROWS).cast("int").alias("blocks"))
+    t = t.join(groups, "key")
+    # compared pairs that did not join their components
+    x, y = labels.select(F.col("node").alias("a"), F.col("label").alias("x")), labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
+    apart = compared.join(x, "a").join(y, "b").filter("x <> y").select("a", "b")
+    done = apart.union(apart.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("met"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    t = t.join(sets.select("node", "n", "sketch"), "node").join(done, "node", "left")
+    t = t.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    t = t.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    rows = t.select(F.pmod(F.xxhash64("key", "low", "high"), F.lit(n_buckets)).alias("bucket"), "key", "low", "high", "own", "node", "n", "label", "sketch", "met")
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("key", "ascending"), ("low", "ascending"), ("high", "ascending"), ("node", "ascending")])
+        key = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("key", "low", "high")])
+        edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), len(rows)]
+        out = set()
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            part = rows.slice(lo, hi - lo)
+            nodes = part.column("node").to_pylist()
+            place = {x: k for k, x in enumerate(nodes)}
+            barred = {(min(k, place[m]), max(k, place[m])) for k, met in enumerate(part.column("met").to_pylist()) for m in met or () if m in place}
+            block = (part.column("own").to_numpy() != key[1, lo]).astype(np.int64)
+            sketches = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint64).reshape(-1, WORDS)
+            labels = np.array([x.hex() for x in part.column("label").to_pylist()])
+            for i, j in joining_pairs(sketches, part.column("n").to_numpy().astype(np.int64), labels, block, barred, percent, tries):
+                out.add((int(key[0, lo]), min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+        return pa.table({c: pa.array([x[k] for x in out], t) for k, (c, t) in enumerate((("key", pa.int64()), ("a", pa.binary()), ("b", pa.binary())))})
+
+    return rows.groupBy("bucket").applyInArrow(run, "key long, a binary, b binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of links (a, b): the smallest node that it reaches.
 
@@ -226,6 +315,17 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after links (a, b) joined some of them."""
+    x, y = labels.select(F.col("node").alias("a"), F.col("label").alias("x")), labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
+    joins = stored(links.join(x, "a").join(y, "b").filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "join-joins")
+    if joins.isEmpty():
+        return labels
+    new = components(joins).select(F.col("node").alias("old"), F.col("label").alias("new"))
+    left, right = labels.alias("l"), new.alias("n")
+    return stored(left.join(right, F.col("l.label") == F.col("n.old"), "left").select("l.node", F.coalesce("n.new", "l.label").alias("label")), "join-relabelled")
+
+
 def join(docs: DataFrame, k: int = 5, percent: int = 75, id_column: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, n_shingles (size of its set), component_id (the smallest id reachable by links)
     and chosen (true for one row of each component, of the smallest id), then the columns named in keep.
@@ -239,39 +339,39 @@ def join(docs: DataFrame, k: int = 5, percent: int = 75, id_column: str = "doc_i
 
     def prefix(data: np.ndarray) -> np.ndarray:
         s = shingles(data, k)
-        return s[: len(s) - need(len(s), percent) + 1] if len(s) else s
+        return s[: len(s) - need(len(s), percent) + max(1, len(s) // PART)] if len(s) else s
 
     n_shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = stored(described(extra, k), "join-nodes")
-    nodes = every.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "row")).alias("lead")).withColumn("first", F.col("lead.id"))
-    partners = shared_keys(own, prefix, n_shards, with_keys=False).select(F.coalesce("id", F.lit(NO_ID)).alias("first"))
-    chosen = nodes.select("first").distinct().join(partners, "first", "left_semi")
-    some = own.join(chosen, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("first"), "left_semi").select("text")
+    nodes = every.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "row")).alias("lead"), F.first("n").alias("n")).withColumn("first", F.col("lead.id"))
+    # a linked set has need(n) elements at least, and so shares the first need(n) / PART of its common elements
+    enough = F.greatest(F.lit(1), F.floor(F.floor((percent * F.col("n") + 99) / 100) / PART))
+    partners = shared_keys(own, prefix, n_shards).select(F.coalesce("id", F.lit(NO_ID)).alias("first"), (F.length("found") / 5).alias("hits"))
+    chosen = nodes.groupBy("first").agg(F.min("n").alias("n")).join(partners, "first").filter(F.col("hits") >= enough).select("first")
+    some = packed_texts(own).join(chosen, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("first"), "left_semi").select("text")
     sets = stored(ordered(some, k, percent).dropDuplicates(["node"]), "join-ordered")
 
-    members = sets.select("node", "n", F.posexplode("prefix").alias("place", "key"), F.size("prefix").alias("length"), (F.length("codes") / 8).cast("int").alias("held"))
+    members = sets.select("node", "n", "sketch", F.explode("prefix").alias("key"), (F.length("codes") / 8 / F.col("n")).alias("share"))
     close = lambda x, y: (100 * x >= percent * y) & (100 * y >= percent * x)
-    pivots = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high")).filter("low.node <> high.node")
+    pivots = members.groupBy("key").agg(F.max(F.struct("share", "node", "n")).alias("best"), F.min(F.struct("node", "n")).alias("low"), F.count("*").alias("_n")).filter("_n > 1")
     m = members.join(pivots, "key")
-    stars = m.select(F.explode(F.array("low", "high")).alias("p"), "node", "n").filter((F.col("p.node") != F.col("node")) & close(F.col("p.n"), F.col("n")))
-    stars = stored(stars.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct(), "join-stars")
-    links = stored(linked(stars, sets, percent), "join-found")
-    labels = components(links)
-
-    # what is left: groups whose sets the pivots did not bring into one component
-    t = stored(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "join-members")
-    open_keys = t.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    t = t.join(open_keys, "key")
-    x, y = t.alias("x"), t.alias("y")
-    follow = lambda s: F.col(f"{s}.held") - F.col(f"{s}.place")  # noqa: E731  elements from this one on
-    least = (F.col("x.n") + F.col("y.n")) * percent / (100 + percent)
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & close(F.col("x.n"), F.col("y.n")) & (F.least("x.held", "y.held") >= least))
-    # the first element that both share decides: later ones have less to follow
-    rest = rest.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.max(F.least(follow("x"), follow("y"))).alias("most"), F.first(least).alias("least")).filter("most >= least").select("a", "b")
-    rest = rest.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    more = stored(linked(rest, sets, percent), "join-more")
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    pivot = F.explode(F.array(*[F.struct(F.col(f"{p}.node").alias("node"), F.col(f"{p}.n").alias("n")) for p in ("best", "low")]))
+    stars = m.select(pivot.alias("p"), "node", "n").filter((F.col("p.node") != F.col("node")) & close(F.col("p.n"), F.col("n")))
+    compared = stored(stars.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct(), "join-stars")
+    labels = relabelled(sets.select("node", F.col("node").alias("label")), linked(compared, sets, percent))
+    # groups share most of their pairs: a part of the groups first, then all until none has a pair left
+    members, tries, every_group = members.select("key", "node"), TRIES, False
+    active = members.filter(F.pmod(F.col("key"), F.lit(SOME_KEYS)) == 0)
+    while True:
+        found = stored(candidates(active, sets, labels, compared, percent, tries), "join-candidates")
+        if not found.isEmpty():
+            pairs = stored(found.select("a", "b").distinct(), "join-pairs")
+            labels = relabelled(labels, linked(pairs, sets, percent))
+            compared = compared.unionByName(pairs)
+        elif every_group:
+            break
+        active = members.join(found.select("key").distinct(), "key", "left_semi") if every_group else members
+        every_group, tries = True, tries * TRIES
 
     label = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     of_label = label.groupBy("label").agg(F.min("lead").alias("top"))

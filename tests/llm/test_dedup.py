@@ -167,7 +167,7 @@ def test_joining_pairs_bound_and_connect(sets, percent):
     sketches = np.frombuffer(b"".join(map(ngram_join.sketch, hashes)), np.uint64).reshape(-1, ngram_join.WORDS)
     n, m = np.array([len(s) for s in sets]), len(sets)
     labels, barred = np.arange(m), set()
-    while pairs := ngram_join.joining_pairs(sketches, n, labels.copy(), np.zeros(m, np.int64), barred, percent):
+    while pairs := ngram_join.joining_pairs(sketches, n, labels.copy(), np.zeros(m, np.int64), barred, percent, 1):
         for i, j in pairs:
             barred.add((min(i, j), max(i, j)))
             if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
