@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from cytolake.functions.scalar import nan
 
 
+#: Letters of a sequence that are looked at in one row.
+PIECE = 8192
+
+
 def _entry(position: Column, strand: bool, context: bool | None) -> Column:
     return F.struct(position.cast("long").alias("position"), F.lit(strand).alias("strand"), F.lit(context).cast("boolean").alias("context"))
 
@@ -20,11 +24,13 @@ def scanned(genome: DataFrame, reference: bool = True, start: int = 1) -> DataFr
     strands gets its context. The last pair of a sequence that ends in CG counts in both; sequences under three
     letters give nothing."""
     seq = F.translate(F.col("sequence"), "cg", "CG")
-    rows = genome.select("chr", seq.alias("q")).filter(F.length("q") > 2)
-    # the end needs no window of its own: pad with a letter that is H, and drop what falls there
-    rows = rows.select("chr", F.posexplode(F.split("q", "")).alias("i", "x"), "q")
-    window = F.substring("q", F.col("i") + 1, 3)
-    rows = rows.filter(F.col("x") != "").select("chr", (F.col("i") + start).alias("p"), F.substring(window, 1, 1).alias("a"), F.substring(window, 2, 1).alias("b"), F.substring(window, 3, 1).alias("c"))
+    # pieces of PIECE letters that know the two letters after them: no window looks up a place in a whole chromosome
+    pieces = F.regexp_extract_all("q", F.lit(f"(?s)(?=(.{{1,{PIECE + 2}}})).{{1,{PIECE}}}"), F.lit(1))
+    rows = genome.select("chr", seq.alias("q")).filter(F.length("q") > 2).select("chr", F.posexplode(pieces).alias("k", "piece"))
+    letters = F.split("piece", "")
+    rows = rows.select("chr", "k", letters.alias("x"), F.slice(letters, 2, PIECE + 2).alias("y"), F.slice(letters, 3, PIECE + 2).alias("z"))
+    rows = rows.select("chr", "k", F.posexplode(F.arrays_zip("x", "y", "z")).alias("i", "w")).filter((F.col("w.x") != "") & (F.col("i") < PIECE))
+    rows = rows.select("chr", (F.col("k") * F.lit(PIECE).cast("long") + F.col("i") + start).alias("p"), F.col("w.x").alias("a"), F.coalesce("w.y", F.lit("")).alias("b"), F.coalesce("w.z", F.lit("")).alias("c"))
     p, a, b, c = F.col("p"), F.col("a"), F.col("b"), F.col("c")
     whole, pair = c != "", (c == "") & (b != "")
     none = F.array().cast("array<struct<position:long,strand:boolean,context:boolean>>")
