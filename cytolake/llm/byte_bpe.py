@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from cytolake.llm._common import packed, packed_bytes, stored, stretches, unpacked, unpacked_bytes
 
 #: A block ends at so many distinct words or characters of text. Large blocks send fewer words in all.
-BLOCK_WORDS, BLOCK_BYTES = 500_000, 24 << 20
+BLOCK_WORDS, BLOCK_BYTES = 500_000, 28 << 20
 
 _BLOCK_DDL = "block long, shard int, data binary, sizes binary"
 
@@ -81,19 +81,19 @@ def _encode_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
 def packed_codes(codes: np.ndarray) -> bytes:
     """Codes below 2**22 in one to three bytes; first, second and third bytes apart, which zstd packs better."""
     second, third = codes >= 128, codes >= 16384
-    a = (codes & 127 | second.astype(np.int64) << 7).astype(np.uint8)
-    b = (codes[second] >> 7 & 127 | third[second].astype(np.int64) << 7).astype(np.uint8)
+    a = (codes & 127).astype(np.uint8) | second.astype(np.uint8) << 7
+    b = (codes[second] >> 7 & 127).astype(np.uint8) | third[second].astype(np.uint8) << 7
     c = (codes[third] >> 14).astype(np.uint8)
-    return np.array([len(a), len(b)], np.int64).tobytes() + packed_bytes(b"".join((a.tobytes(), b.tobytes(), c.tobytes())))
+    return np.array([len(a), len(b)], np.int64).tobytes() + packed_bytes(b"".join((a.tobytes(), b.tobytes(), c.tobytes())), 9)
 
 
 def unpacked_codes(raw: bytes) -> np.ndarray:
     n, m = np.frombuffer(raw, np.int64, 2).tolist()
-    data = np.frombuffer(unpacked_bytes(raw[16:]), np.uint8).astype(np.int64)
-    out, b = data[:n] & 127, data[n : n + m]
+    data = np.frombuffer(unpacked_bytes(raw[16:]), np.uint8)
+    out, b = (data[:n] & 127).astype(np.int32), data[n : n + m]
     second = np.flatnonzero(data[:n] > 127)
-    out[second] |= (b & 127) << 7
-    out[second[b > 127]] |= data[n + m :] << 14
+    out[second] |= (b & 127).astype(np.int32) << 7
+    out[second[b > 127]] |= data[n + m :].astype(np.int32) << 14
     return out
 
 
@@ -127,7 +127,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc
             sizes = np.array([len(x) for x in out], np.int64)
             every = np.concatenate(out)
             order = np.argsort(-np.bincount(every, minlength=len(codes)), kind="stable")  # frequent words get short codes
-            rank = np.empty(len(order), np.int64)
+            rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order))
             words = list(codes)
             raw = [words[k].encode() for k in order.tolist()]
@@ -137,7 +137,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc
             rows = [(block, -1, packed_codes(rank[every]), packed(sizes), ids)]
             for lo, hi in stretches(shard[by]):
                 own = by[lo:hi]
-                rows.append((block, int(shard[own[0]]), packed_bytes(b"".join([raw[k] for k in own.tolist()])), packed(np.r_[np.diff(own, prepend=0), lengths[own]]), None))
+                rows.append((block, int(shard[own[0]]), packed_bytes(b"".join([raw[k] for k in own.tolist()]), 9), packed(np.r_[np.diff(own, prepend=0), lengths[own]]), None))
             columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(id_arrow)), strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=["block", "shard", "data", "sizes", "ids"])
 
@@ -147,7 +147,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc
             for i, value in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 value = value.as_py() or ""
                 words = find(value)
-                out.append(np.fromiter(map(codes.__getitem__, words), np.int64, len(words)))
+                out.append(np.fromiter(map(codes.__getitem__, words), np.int32, len(words)))
                 ids.append(i)
                 size += len(value)
                 if len(codes) >= BLOCK_WORDS or size >= BLOCK_BYTES:
@@ -171,7 +171,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc
                 if found is None:
                     found = known[word] = np.array(encode_word(word, table), kind)
                 ids.append(found)
-            out.append((r["block"], packed_bytes(np.concatenate(ids).tobytes()), packed(np.r_[own, [len(x) for x in ids]])))
+            out.append((r["block"], packed_bytes(np.concatenate(ids).tobytes(), 9), packed(np.r_[own, [len(x) for x in ids]])))
         return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "data": pa.array([x[1] for x in out], pa.binary()), "sizes": pa.array([x[2] for x in out], pa.binary())})
 
     answers = blocks.filter("shard >= 0").select("shard", "block", "data", "sizes").groupBy("shard").applyInArrow(encode_words, "block long, data binary, sizes binary")
@@ -184,19 +184,23 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc
             sizes.append(n)
             flats.append(np.frombuffer(unpacked_bytes(r["data"]), kind).astype(np.int32))
         own, sizes, flat = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (owns, sizes, flats))
-        start, size = np.empty(len(own), np.int64), np.empty(len(own), np.int64)
+        start, size = np.empty(len(own), np.int64), np.empty(len(own), np.int32)
         start[own], size[own] = np.cumsum(sizes) - sizes, sizes
         tables = []
         for row in range(len(left)):
             codes, lengths = unpacked_codes(left.column("data")[row].as_py()), unpacked(left.column("sizes")[row].as_py())
             n = size[codes]
-            edges = np.r_[0, np.cumsum(n)][np.r_[0, np.cumsum(lengths)]]
-            parts = []
+            tokens = np.empty(int(n.sum()), np.int32)
+            edges, at = np.zeros(len(lengths) + 1, np.int32), 0
+            ends = np.cumsum(lengths)
+            for k, (lo, hi) in enumerate(zip(ends - lengths, ends, strict=True)):
+                edges[k + 1] = edges[k] + n[lo:hi].sum()
             for lo in range(0, len(codes), 1 << 19):
                 c, m = codes[lo : lo + (1 << 19)], n[lo : lo + (1 << 19)]
-                parts.append(flat[np.repeat(start[c] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))])
-            tokens = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32())
-            tables.append(pa.table({"doc_id": left.column("ids")[row].values, "ids": pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), tokens)}))
+                some = int(m.sum())
+                tokens[at : at + some] = flat[np.repeat(start[c] - (np.cumsum(m) - m), m) + np.arange(some)]
+                at += some
+            tables.append(pa.table({"doc_id": left.column("ids")[row].values, "ids": pa.ListArray.from_arrays(pa.array(edges), pa.array(tokens))}))
         return pa.concat_tables(tables)
 
     documents = blocks.filter("shard < 0").select("block", "data", "sizes", "ids")
