@@ -303,9 +303,8 @@ def components(links: DataFrame) -> DataFrame:
     Each round takes the smallest label among neighbours, then the label's label; a table is written each round, so a
     lost executor costs one round. Rounds grow with the logarithm of a component's width."""
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "join-links")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label"))
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "join-labels")
     while True:
-        labels = stored(labels, "join-labels")
         near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
