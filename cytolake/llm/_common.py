@@ -6,6 +6,7 @@ ASCII, so splitting bytes and splitting characters give the same words.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,6 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Paths of stored tables while collected() is open.
+_collecting: list[list[str]] = []
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage and survives lost executors.
 
@@ -35,11 +40,31 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    for paths in _collecting:
+        paths.append(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths of the tables stored inside."""
+    paths: list[str] = []
+    _collecting.append(paths)
+    try:
+        yield paths
+    finally:
+        _collecting.remove(paths)
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for path in paths:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def shards(spark: SparkSession) -> int:
     """Parts of a hash range: a few for each shuffle partition, so that parts even out."""
     return 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -218,9 +243,9 @@ def unpacked(raw: bytes) -> np.ndarray:
     return out
 
 
-def packed_bytes(raw: bytes | memoryview) -> bytes:
+def packed_bytes(raw: bytes | memoryview, level: int = 3) -> bytes:
     """Its size in eight bytes, then zstd."""
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(raw, asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", level).compress(raw, asbytes=True)
 
 
 def unpacked_bytes(raw: bytes) -> bytes:
