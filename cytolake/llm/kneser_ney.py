@@ -8,8 +8,8 @@ block owns each bigram of the training text). From the owned ones they derive wh
 bigrams it starts that were seen once, twice or more often, and how many it ends. These travel by word, are summed, and
 return to the blocks, which score their documents.
 
-A hash has 32 bits within its shard, and shards grow in number with the data: about one lookup in 4000 of an unseen
-bigram finds another's count. Words have 64 bits.
+A hash has 32 bits within its shard, and shards grow in number with the data: with a million types in a shard, one
+lookup in some 4000 of an unseen bigram is expected to find another's count. Words have 64 bits.
 
 p(w | v) = max(c(vw) - D(c(vw)), 0) / c(v) + (D1 N1(v) + D2 N2(v) + D3 N3(v)) / c(v) * p(w)
 p(w)     = max(N(w) - E(N(w)), 0) / N + (E1 M1 + E2 M2 + E3 M3) / N / (V + 1)
