@@ -8,8 +8,9 @@ block owns each bigram of the training text). From the owned ones they derive wh
 bigrams it starts that were seen once, twice or more often, and how many it ends. These travel by word, are summed, and
 return to the blocks, which score their documents.
 
-A hash has 32 bits within its shard, and shards grow in number with the data: with a million types in a shard, one
-lookup in some 4000 of an unseen bigram is expected to find another's count. Words have 64 bits.
+A bigram is known by 63 bits of a hash, whatever the number of shards: among 10**9 types, 0.05 pairs are expected to
+share one, and one lookup in 10**10 of an unseen bigram to find another's count. Words have 64 bits. No bigram counts
+more often than either of its words.
 
 p(w | v) = max(c(vw) - D(c(vw)), 0) / c(v) + (D1 N1(v) + D2 N2(v) + D3 N3(v)) / c(v) * p(w)
 p(w)     = max(N(w) - E(N(w)), 0) / N + (E1 M1 + E2 M2 + E3 M3) / N / (V + 1)
@@ -35,11 +36,10 @@ BLOCK_BYTES = 10 << 20
 END, START = U64(0xE0D), U64(0x57A27)  # hashes of the end token and of the mark before a text
 _BLOCK = ["block", "ids", "train", "sizes", "codes", "words"]
 _BLOCK_DDL = "block long, ids binary, train binary, sizes binary, codes binary, words binary"
-_LOW32 = U64(0xFFFFFFFF)
 
 
 class Block:
-    """The documents of a block, and their bigrams in order of shard and hash."""
+    """The documents of a block, and their bigrams in order of their hashes, which is that of shards too."""
 
     def __init__(self, row: dict, n_shards: int):
         self.ids, self.train = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["train"], bool)
@@ -48,8 +48,8 @@ class Block:
         self.in_training = np.repeat(self.train, self.sizes)
         self.before = np.r_[0, self.codes[:-1]]
         self.before[np.cumsum(self.sizes) - self.sizes] = len(self.words) - 1
-        keys = mix(self.words[self.before] * U64(0x9E3779B97F4A7C15) + self.words[self.codes])
-        self.tags = shard_of(keys, n_shards).astype(U64) << U64(32) | keys & _LOW32
+        self.n_shards = n_shards
+        self.tags = mix(self.words[self.before] * U64(0x9E3779B97F4A7C15) + self.words[self.codes]) >> U64(1)
 
     def bigrams(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct tags and how often each occurs in training documents."""
@@ -58,6 +58,9 @@ class Block:
         heads = np.flatnonzero(np.r_[True, tags[1:] != tags[:-1]])
         return tags[heads], np.add.reduceat((both & U64(1)).astype(np.int64), heads)
 
+    def shards(self, tags: np.ndarray) -> np.ndarray:
+        return shard_of(tags << U64(1), self.n_shards)
+
     def places(self) -> tuple[np.ndarray, np.ndarray]:
         """For each distinct tag one token that has it; for each token its tag's place."""
         order = np.argsort(self.tags, kind="stable")
@@ -73,14 +76,14 @@ class MappedArrays:
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         self.n = len(keys)
         if not self.n:
-            self.keys = self.counts = np.zeros(0, np.uint32)
+            self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.uint32)
             return
         with tempfile.TemporaryFile() as f:  # goes with the last handle, also when the worker is killed
-            keys.astype(np.uint32).tofile(f)
+            keys.astype(np.int64).tofile(f)
             np.minimum(counts, 2**32 - 1).astype(np.uint32).tofile(f)
             f.flush()
-            both = np.memmap(f, np.uint32, "r", shape=(2, self.n))
-        self.keys, self.counts = both[0], both[1]
+            both = np.memmap(f, np.uint32, "r", shape=(3 * self.n,))
+        self.keys, self.counts = both[: 2 * self.n].view(np.int64), both[2 * self.n :]
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, count) of each key; count 0 where there is none."""
@@ -143,8 +146,10 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text: str =
         for b in batches:
             for k in range(b.num_rows):
                 row = b.slice(k, 1).to_pylist()[0]
-                tags, n = Block(row, n_shards).bigrams()
-                out = [(int(tags[lo] >> U64(32)), packed(np.diff((tags[lo:hi] & _LOW32).astype(np.int64), prepend=0)), packed(n[lo:hi])) for lo, hi in stretches(tags >> U64(32))]
+                block = Block(row, n_shards)
+                tags, n = block.bigrams()
+                shard = block.shards(tags)
+                out = [(int(shard[lo]), packed(np.diff(tags[lo:hi].astype(np.int64), prepend=0)), packed(n[lo:hi])) for lo, hi in stretches(shard)]
                 s, keys, counts = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array([row["block"]] * len(s), pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["shard", "block", "keys", "counts"])
 
@@ -236,7 +241,7 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text: str =
             known, one, two, more, ends = values
             low = (ends - small[np.minimum(ends, 3)]) / max(kinds, 1) + spare / (v + 1)
             rest = np.where(known > 0, (big[1] * one + big[2] * two + big[3] * more) / np.maximum(known, 1), 1.0)
-            both = counts[place]
+            both = np.minimum(counts[place], np.minimum(known[block.before], known[block.codes]))
             p = np.where(known[block.before] > 0, (both - big[np.minimum(both, 3)]) / np.maximum(known[block.before], 1), 0.0) + rest[block.before] * low[block.codes]
             c = known[block.codes]
             at = np.cumsum(block.sizes) - block.sizes

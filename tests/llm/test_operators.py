@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cytolake.llm import byte_bpe, kneser_ney, mixing, mtree, prefix_forest, quality, token_counts
+from cytolake.llm._common import mix, shard_of, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TABLES = "/root/testdata/sf0.001"
@@ -306,6 +307,24 @@ def test_mapped_arrays():
     assert kneser_ney.MappedArrays(np.zeros(0), np.zeros(0)).find(np.array([5]))[1].tolist() == [0]
 
 
+def test_bigrams_whose_hashes_agree_in_32_bits_of_a_shard(spark, make):
+    names = [f"w{k}" for k in range(1500)]
+    words = np.concatenate([word_hashes(np.frombuffer(w.encode(), np.uint8))[2] for w in names])
+    n_shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = mix((words * np.uint64(0x9E3779B97F4A7C15))[:, None] + words).ravel()
+    tags = shard_of(keys, n_shards).astype(np.uint64) << np.uint64(32) | keys & np.uint64(0xFFFFFFFF)
+    order = np.argsort(tags, kind="stable")
+    pairs = [[*divmod(int(order[k]), 1500), *divmod(int(order[k + 1]), 1500)] for k in np.flatnonzero(tags[order][1:] == tags[order][:-1])]
+    a, b, c, d = (names[k] for k in next(p for p in pairs if len(set(p)) == 4))
+
+    def scores(a, b, c, d):
+        texts = [*[f"{a} {b}"] * 6, f"{c} {c} {a} {b} {b}", f"{d} {d} {c}", f"{b} {d} {a}", f"{c} {d}", f"{a} {d} {c} {d}"]
+        rows = kneser_ney.score(make([(k, t, None) for k, t in enumerate(texts)]), F.col("doc_id") < 9).collect()
+        return {r["doc_id"]: r["score"] for r in rows}
+
+    assert scores(a, b, c, d) == pytest.approx(scores("one", "two", "three", "four"), abs=1e-9)
+
+
 # ---------------------------------------------------------------- quality
 
 def test_classifier_on_held_out_labels(spark):
