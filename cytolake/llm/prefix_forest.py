@@ -6,7 +6,9 @@ then all trees ascend together, one bit at a time, until the stretches hold enou
 them are the candidates, whose true distances decide. How far to ascend depends on the data: dense places stop at long
 prefixes, sparse ones at short ones.
 
-The stop is a share of the shard's rows, counted with repeats over the trees. On vectors without structure (isotropic,
+The stop is a share of the shard's rows, counted with repeats over the trees. Copies of the query, alike in all bits,
+do not count, as they would use it up in every tree; and a query whose candidates are fewer than k distinct rows, its
+own apart, ascends on until they are k or all. On vectors without structure (isotropic,
 64 dimensions) near and far differ little, and a recall of 0.9 needs many candidates: see the README for figures.
 """
 
@@ -46,19 +48,30 @@ class Forest:
         drop = (self.bits - level).astype(np.int64)
         return [(np.searchsorted(s, c >> drop << drop), np.searchsorted(s, (c >> drop) + 1 << drop)) for c, (s, _) in zip(codes, self.trees, strict=True)]
 
-    def candidates(self, q: np.ndarray, enough: int) -> np.ndarray:
-        """A row of flags over the vectors for each query."""
+    def flags(self, codes: list[np.ndarray], level: np.ndarray) -> np.ndarray:
+        """The vectors in any of a query's stretches."""
+        out = np.zeros((len(level), len(self.x)), bool)
+        for (a, b), (_, order) in zip(self.stretches(codes, level), self.trees, strict=True):
+            for i, (lo, hi) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+                out[i, order[lo:hi]] = True
+        return out
+
+    def candidates(self, q: np.ndarray, enough: int, own: np.ndarray, k: int) -> np.ndarray:
+        """A row of flags over the vectors for each query; own flags the rows that are the query's and no candidates."""
         codes = [self.code(q, p) for p in self.planes]
+        alike = sum(b - a for a, b in self.stretches(codes, np.full(len(q), self.bits, np.int64)))
+        enough = enough + np.maximum(alike - len(self.trees), 0)
         # the largest level at which the trees together hold enough: counts only grow on the way up
         low, high = np.zeros(len(q), np.int64), np.full(len(q), self.bits, np.int64)
         while (low < high).any():
             middle = (low + high + 1) // 2
             held = sum(b - a for a, b in self.stretches(codes, middle))
             low, high = np.where(held >= enough, middle, low), np.where(held >= enough, high, middle - 1)
-        flags = np.zeros((len(q), len(self.x)), bool)
-        for (a, b), (_, order) in zip(self.stretches(codes, low), self.trees, strict=True):
-            for i, (lo, hi) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-                flags[i, order[lo:hi]] = True
+        flags = self.flags(codes, low) & ~own
+        need = np.minimum(k, len(self.x) - own.sum(axis=1))
+        while len(short := np.flatnonzero(flags.sum(axis=1) < need)):
+            low[short] -= 1  # level 0 holds every vector
+            flags[short] = self.flags([c[short] for c in codes], low[short]) & ~own[short]
         return flags
 
 
@@ -67,8 +80,7 @@ def _find(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: in
     places, rows, scores = [], [], []
     for lo in range(0, len(q), 512):
         part, own = q[lo : lo + 512], qids[lo : lo + 512]
-        flags = forest.candidates(part, max(LEAST, int(SHARE * len(x))))
-        flags[ids[None, :] == own[:, None]] = False
+        flags = forest.candidates(part, max(LEAST, int(SHARE * len(x))), ids[None, :] == own[:, None], k)
         s = forest.scale
         a, b = part / s, x / s
         norms = np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b)

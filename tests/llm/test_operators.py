@@ -162,6 +162,29 @@ def test_recall_on_the_table(spark):
     assert hits >= 0.9 * n
 
 
+@pytest.mark.parametrize("copies", [8, 9, 10, 30])
+def test_copies_do_not_use_up_the_ascent(copies):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 16))
+    x[:copies] = x[0]
+    place, row, score = prefix_forest._find(np.arange(500), x, np.arange(copies), x[:copies], 10)
+    for q in range(copies):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        best = [i for i in np.lexsort((np.arange(500), d)) if i != q][:10]
+        found = row[place == q].tolist()
+        assert len(found) == 10 and found[: copies - 1] == best[: copies - 1] and len(set(found) & set(best)) >= 9
+
+
+def test_candidates_are_at_least_k_or_all():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2000, 16))
+    x[:9] = x[0] + 1e-9 * rng.normal(size=(9, 16))
+    place, _, _ = prefix_forest._find(np.arange(2000), x, np.arange(12), x[:12], 1500)
+    assert np.bincount(place).tolist() == [1500] * 12
+    place, row, _ = prefix_forest._find(np.arange(12), x[:12], np.arange(12), x[:12], 20)
+    assert np.bincount(place).tolist() == [11] * 12 and (place != row).all()
+
+
 def test_empty_searches(spark):
     none = spark.createDataFrame([], VEC)
     assert mtree.top_k(none).count() == prefix_forest.neighbours(none).count() == 0
