@@ -79,21 +79,24 @@ def _encode_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
 
 
 def packed_codes(codes: np.ndarray) -> bytes:
-    """Codes below 2**22 in one to three bytes; first, second and third bytes apart, which zstd packs better."""
-    second, third = codes >= 128, codes >= 16384
+    """Codes in one to four bytes; first, second, third and fourth bytes apart, which zstd packs better."""
+    if codes.max(initial=0) >= 1 << 29:  # more distinct words than a text of 2 GB, the most that Spark holds, is likely to have
+        raise ValueError("a block of over 2**29 distinct words")
+    second, third, fourth = codes >= 128, codes >= 16384, codes >= 1 << 21
     a = (codes & 127).astype(np.uint8) | second.astype(np.uint8) << 7
     b = (codes[second] >> 7 & 127).astype(np.uint8) | third[second].astype(np.uint8) << 7
-    c = (codes[third] >> 14).astype(np.uint8)
-    return np.array([len(a), len(b)], np.int64).tobytes() + packed_bytes(b"".join((a.tobytes(), b.tobytes(), c.tobytes())), 9)
+    c = (codes[third] >> 14 & 127).astype(np.uint8) | fourth[third].astype(np.uint8) << 7
+    d = (codes[fourth] >> 21).astype(np.uint8)
+    return np.array([len(a), len(b), len(c)], np.int64).tobytes() + packed_bytes(b"".join((a.tobytes(), b.tobytes(), c.tobytes(), d.tobytes())), 9)
 
 
 def unpacked_codes(raw: bytes) -> np.ndarray:
-    n, m = np.frombuffer(raw, np.int64, 2).tolist()
-    data = np.frombuffer(unpacked_bytes(raw[16:]), np.uint8)
-    out, b = (data[:n] & 127).astype(np.int32), data[n : n + m]
-    second = np.flatnonzero(data[:n] > 127)
+    a, b, c, d = np.split(np.frombuffer(unpacked_bytes(raw[24:]), np.uint8), np.cumsum(np.frombuffer(raw, np.int64, 3)))
+    out, second = (a & 127).astype(np.int32), np.flatnonzero(a > 127)
     out[second] |= (b & 127).astype(np.int32) << 7
-    out[second[b > 127]] |= data[n + m :].astype(np.int32) << 14
+    third = second[b > 127]
+    out[third] |= (c & 127).astype(np.int32) << 14
+    out[third[c > 127]] |= d.astype(np.int32) << 21
     return out
 
 

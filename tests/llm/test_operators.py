@@ -280,6 +280,13 @@ def test_code_planes(values):
     assert (byte_bpe.unpacked_codes(byte_bpe.packed_codes(codes)) == codes).all()
 
 
+def test_code_planes_of_a_block_with_many_words():
+    codes = np.array([0, 127, 128, 2**14 - 1, 2**14, 2**21 - 1, 2**21, 2**22 - 1, 2**22, 2**22 + 5, 2**29 - 1, 3], np.int32)
+    assert (byte_bpe.unpacked_codes(byte_bpe.packed_codes(codes)) == codes).all()
+    with pytest.raises(ValueError, match="distinct words"):
+        byte_bpe.packed_codes(np.array([2**29], np.int32))
+
+
 # ---------------------------------------------------------------- LM scores
 
 def test_kneser_ney(make, corpus):
