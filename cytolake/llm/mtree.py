@@ -22,8 +22,8 @@ from cytolake.llm._vectors import search, valid
 
 PAGE = 256
 SHARD_ROWS = 8192
-#: Components up to this size give scores that float64 and the packed keys hold exactly (64 dimensions and more).
-EXACT = 1 << 16
+#: float64 holds every integer up to this: vectors whose squared norms stay within it have exact inner products.
+EXACT = 2.0**53
 
 
 class MTree:
@@ -60,8 +60,8 @@ class MTree:
         to_route = np.sqrt(np.maximum(square[:, None] - 2 * q @ self.route.T, 0.0))
         bound = np.maximum(np.maximum(to_route - self.outer, self.inner - to_route), 0.0)
         turn = np.argsort(bound, axis=1, kind="stable")
-        none = np.iinfo(np.int64).min
-        best = np.full((len(q), k), none, np.int64)  # score << 24 | (2**24 - 1 - row)
+        none = -np.iinfo(np.int64).max
+        best, place = np.full((len(q), k), none, np.int64), np.full((len(q), k), -1, np.int64)  # scores and their rows
         reach = np.full(len(q), np.inf)
         for step in range(turn.shape[1]):
             leaf = turn[:, step]
@@ -77,21 +77,25 @@ class MTree:
                 rows = self.entries[page][a:b]
                 if not len(rows):
                     continue
-                keys = (np.rint(q[g] @ self.x[rows].T).astype(np.int64) << 24) | (0xFFFFFF - rows)
+                scores = np.rint(q[g] @ self.x[rows].T).astype(np.int64)
                 own = (rows >= skip[g, 0, None]) & (rows < skip[g, 1, None])
-                keys[own] = none
-                both = np.concatenate([best[g], keys], axis=1)
-                best[g] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+                scores[own] = none
+                both = np.concatenate([best[g], scores], axis=1)
+                where = np.concatenate([place[g], np.broadcast_to(rows, scores.shape)], axis=1)
+                first = np.lexsort((where, -both), axis=1)[:, :k]
+                best[g], place[g] = np.take_along_axis(both, first, 1), np.take_along_axis(where, first, 1)
             kth = best.min(axis=1)
-            reach = np.where(kth == none, np.inf, np.sqrt(np.maximum(square - 2.0 * (kth >> 24), 0.0)))
+            reach = np.where(kth == none, np.inf, np.sqrt(np.maximum(square - 2.0 * kth, 0.0)))
         query, column = np.nonzero(best != none)
-        keys = best[query, column]
-        return query, 0xFFFFFF - (keys & 0xFFFFFF), keys >> 24
+        return query, place[query, column], best[query, column]
 
 
 def _find(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     skip = np.c_[np.searchsorted(ids, qids), np.searchsorted(ids, qids, "right")]
-    if max(np.abs(x).max(initial=0), np.abs(q).max(initial=0)) <= EXACT and len(x) < 1 << 24 and x.shape[1] <= 128:
+    # any partial sum of products is at most the product of the norms (with room for the rounding of these)
+    with np.errstate(over="ignore"):
+        most = max(np.einsum("ij,ij->i", m, m).max(initial=0.0) for m in (x, q))
+    if most <= 0.999 * EXACT:
         query, rows, scores = MTree(x).top(q, skip, k)
         return query, ids[rows], scores
     return _find_large(ids, x, qids, q, k)

@@ -117,6 +117,19 @@ def test_exact_top_k_of_large_components(spark):
     assert {r["query_id"] for r in got} == {0, 20} and all(abs(r["score"]) <= 2**63 for r in got)
 
 
+@pytest.mark.parametrize("width, size", [(768, 64), (130, 1), (8, 1 << 20)])
+def test_the_tree_serves_wide_and_large_vectors(monkeypatch, width, size):
+    monkeypatch.setattr(mtree, "_find_large", None)
+    x = np.floor(np.random.default_rng(8).normal(size=(700, width)) * size)
+    x[40:70] = x[40]  # ties
+    place, row, score = mtree._find(np.arange(700), x, np.arange(0, 700, 20), x[::20], 20)
+    whole = x.astype(np.int64)
+    for i in range(35):
+        s = whole @ whole[20 * i]
+        best = sorted((-int(s[j]), j) for j in range(700) if j != 20 * i)[:20]
+        assert sorted(zip((-score[place == i]).tolist(), row[place == i].tolist())) == best
+
+
 def test_small_pages_prune_nothing_away():
     rng = np.random.default_rng(3)
     x = np.floor(rng.normal(size=(500, 6)) * 64)
