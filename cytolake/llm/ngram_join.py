@@ -14,11 +14,12 @@
 6. In groups whose sets are still in different components, pairs are bounded by 2048-bit parity sketches (the bits in
    which two sketches differ are at most the elements in which the sets do), and of the pairs that may link, a few for
    each set and component are compared in the tries, the nearest first. This repeats with more pairs, without those
-   already compared, until no group has a pair left that may join two components. So no link is missed, and the pairs
-   of a group are not written out.
+   already compared, until no group has a pair left that may join two components. So no link between components is
+   missed, and the pairs of a group are not written out.
 
-Links inside a component that follow from others are not enumerated: the result needs components, and a group of g
-near copies has g * g links.
+The operator finds components, not all links. Which pairs inside a component link, and how many links a document has,
+stays unknown: Jaccard links are not transitive, so they do not follow from the links found. A group of g near copies
+has g * g links.
 """
 
 from __future__ import annotations
