@@ -7,6 +7,7 @@ ASCII, so splitting bytes and splitting characters give the same words.
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: One piece of text that the kernels handle at a time, in bytes; arrays of eight bytes a character follow from it.
@@ -21,9 +23,12 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a temporary one if all runs in one
+    process (master local); on a cluster an error, as executors would write to disks of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="cytolake-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -36,7 +41,7 @@ _collecting: list[list[str]] = []
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The files go when the application ends."""
+    The files go when the application ends, or when the caller says so (see collected and removed)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
@@ -65,9 +70,19 @@ def removed(spark: SparkSession, paths: list[str]) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def shards(spark: SparkSession) -> int:
-    """Parts of a hash range: a few for each shuffle partition, so that parts even out."""
-    return 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Text that one shard of a hash range serves.
+SHARD_BYTES = 32 << 20
+
+
+def shards_for(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -> int:
+    """How many shards serve the texts of docs: they grow in number with the data, not in size."""
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_bytes))
+
+
+def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """df dealt over n tasks by keys; what groups by the same keys next needs no other shuffle."""
+    return df.repartition(n, *keys)
 
 
 # ---------------------------------------------------------------- hashing

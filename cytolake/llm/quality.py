@@ -23,8 +23,8 @@ DIM, BUCKETS, NONZERO, REACH = 32, 1 << 15, 4, 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 60, 64, 4e-3, 1e-4
 #: The bound of the labelled sample: so many documents fit the classifier, whatever the size of the corpus.
 SAMPLE = 12_000
-#: Tasks that sum word vectors over the sample; each sends one table of BUCKETS x DIM to the driver.
-SAMPLE_TASKS = 12
+#: Tasks that sum word vectors over the sample, and ranges of buckets whose sums meet.
+SAMPLE_TASKS, RANGES = 12, 8
 
 # kinds of bytes: a token is a run of one kind; white space is none
 _KIND = np.full(256, 3, np.uint8)
@@ -149,21 +149,30 @@ def fit(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, seed: int = 3) -> Mod
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """Fit on at most ``sample`` labelled documents, those with the smallest hash of their id; labels (id, 0 or 1) that
-    are null are left out, ids labelled twice count once (the smaller label)."""
+    are null are left out, ids labelled twice count once (the smaller label), and so do documents that repeat an id
+    (the text with the smallest hash)."""
     some = labels.select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
     some = some.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
     d = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")).alias("d")
     # the sample's ids are bounded by the parameter
-    rows = stored(d.join(F.broadcast(some).alias("s"), F.col("d.doc_id") == F.col("s.id")).select("id", "y", "text"), "quality-sample")
+    rows = d.join(F.broadcast(some).alias("s"), F.col("d.doc_id") == F.col("s.id")).select("id", "y", "text")
+    rows = stored(rows.groupBy("id").agg(F.first("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text")), "quality-sample")
     index = index_vectors()
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = sum((contexts(texts_of(b.column("text")), index) for b in batches), np.zeros((BUCKETS, DIM), np.float32))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+        parts = [x.tobytes() for x in np.split(total, RANGES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array(parts, pa.binary())], names=["range", "sums"])
 
+    def added(part: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in part.column("sums").to_pylist())
+        return pa.table({"range": part.column("range")[:1], "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    ranged = rows.repartition(SAMPLE_TASKS).mapInArrow(sums, "range int, sums binary").groupBy("range").applyInArrow(added, "range int, sums binary")
     total = index.copy()
-    for r in rows.coalesce(SAMPLE_TASKS).mapInArrow(sums, "sums binary").toLocalIterator():
-        total += np.frombuffer(r["sums"], np.float32).reshape(BUCKETS, DIM)
+    for r in ranged.collect():  # one table of a fixed size
+        lo = r["range"] * (BUCKETS // RANGES)
+        total[lo : lo + BUCKETS // RANGES] += np.frombuffer(r["sums"], np.float32).reshape(-1, DIM)
     vectors = unit(total)
     shipped = docs.sparkSession.sparkContext.broadcast(vectors)  # BUCKETS x DIM: a fixed size
 
@@ -173,7 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column: s
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array(x, pa.binary())], names=["id", "y", "x"])
 
     found = rows.mapInArrow(features, f"id {rows.schema['id'].dataType.simpleString()}, y int, x binary").collect()
-    found = sorted(found, key=lambda r: (r["id"], r["x"]))[: 2 * sample]  # repeated ids: still bounded
+    shipped.unpersist()
+    found.sort(key=lambda r: r["id"])  # one row for each id of the sample
     x = np.array([np.frombuffer(r["x"]) for r in found]).reshape(len(found), 2 * DIM + 1)
     return fit(x, np.array([r["y"] for r in found], np.float64), vectors)
 
