@@ -1,6 +1,6 @@
 """Searches of a stated set of query vectors against all vectors, in blocks.
 
-Vectors are dealt by a hash of their id into shards of about ``shard_rows``; queries into blocks. Each pair of a shard
+Vectors are dealt by a hash into shards of at most about ``shard_rows``; queries into blocks. Each pair of a shard
 and a block is one task that builds its index and answers; a last step keeps each query's best over all shards."""
 
 from __future__ import annotations
@@ -23,9 +23,10 @@ def valid(df: DataFrame, id_column: str, vector: str) -> DataFrame:
     return df.select(F.col(id_column).cast("long").alias("id"), v.cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
 
 
-def matrix(column: pa.ChunkedArray, width: int = 0) -> np.ndarray:
+def matrix(column: pa.Array | pa.ChunkedArray, width: int = 0) -> np.ndarray:
     """Rows of equal width; shorter vectors end in zeros."""
-    column = column.combine_chunks()
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     n = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, np.int64)
     width = max(width, int(n.max(initial=0)))
@@ -36,11 +37,22 @@ def matrix(column: pa.ChunkedArray, width: int = 0) -> np.ndarray:
     return out
 
 
-def search(vectors: DataFrame, queries: DataFrame, find: Search, k: int, largest: bool, score: str, shard_rows: int, block_rows: int = 4096) -> DataFrame:
+#: Bytes of vectors that one task holds, about.
+SHARD_BYTES = 64 << 20
+
+
+def rows_for(most: int, width: int | None) -> int:
+    """Rows of a shard: at most so many, fewer if vectors are wide."""
+    return max(1, min(most, SHARD_BYTES // (8 * max(1, width or 1))))
+
+
+def search(vectors: DataFrame, queries: DataFrame, find: Search, k: int, largest: bool, score: str, shard_rows: int, block_rows: int = 16384) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best, ties to the smaller id. vectors and queries are (id, v).
 
     find(ids, vectors, query ids, query vectors, k) answers for one shard: places of queries, ids found, scores."""
-    n, nq = vectors.count(), queries.count()
+    size = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
+    n, nq = size["n"], queries.count()
+    shard_rows = rows_for(shard_rows, size["width"])
     n_shards, n_blocks = max(1, -(-n // shard_rows)), max(1, -(-nq // block_rows))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     data = vectors.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(n_shards)).cast("int").alias("shard"), every(n_blocks).alias("block"))
@@ -60,5 +72,10 @@ def search(vectors: DataFrame, queries: DataFrame, find: Search, k: int, largest
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], kind)})
 
     near = data.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(answer, f"query_id long, vec_id long, score {score}")
+    return best_of(near, k, largest)
+
+
+def best_of(found: DataFrame, k: int, largest: bool) -> DataFrame:
+    """(query_id, rank, vec_id, score): each query's k best, ties to the smaller id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score") if largest else F.asc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
