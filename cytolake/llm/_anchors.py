@@ -4,6 +4,10 @@ Every window (13 words, 100 bytes) chooses an anchor: the gram inside it with th
 equal anchors, so a window whose anchor occurs once in the corpus occurs once itself. Anchors are a small part of all
 positions (2 of w + 1), and only their hashes travel. Each task reduces its documents' anchors to distinct ones before
 the shuffle, so an anchor reaches its shard once for each block of documents, however common it is.
+
+What meets by anchor next may be many different windows around one common anchor. The anchors that most blocks hold,
+HOT_KEYS at most, are known after this step, and callers deal their windows finer than by anchor. Every task decides
+by the same list, so equal windows still meet; which anchors are listed changes where windows meet, never the result.
 """
 
 from __future__ import annotations
@@ -15,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytolake.llm._common import U64, batch, byte_gram_hashes, from40, low40, mix, ngram_hashes, packed_bytes, shard_of, stretches, texts_of, unpacked_bytes, window_anchors, word_hashes
+from cytolake.llm._common import U64, batch, byte_gram_hashes, dealt, from40, low40, mix, ngram_hashes, packed_bytes, shard_of, stored, stretches, texts_of, unpacked_bytes, window_anchors, word_hashes
 
 #: Stands for a null id: after all others.
 NO_ID = 2**63 - 1
 #: Keys that a task gathers before it sends them on.
 BLOCK_KEYS = 1_000_000
+#: The anchors that are dealt finer: those in the most blocks, in HOT_BLOCKS at least.
+HOT_KEYS, HOT_OF_SHARD, HOT_BLOCKS = 4096, 16, 16
 LOW40 = U64((1 << 40) - 1)
 
 _SENT = pa.schema([("shard", pa.int32()), ("done", pa.bool_()), ("ids", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
@@ -111,7 +117,7 @@ def packed_by_bucket(ids: list[int], marks: list[int], blobs: list[bytes], n_buc
     return pa.table(dict(zip(_PACKED.names, zip(*rows, strict=True), strict=True)) if rows else {n: [] for n in _PACKED.names}, schema=_PACKED)
 
 
-def by_document(packed: DataFrame) -> DataFrame:
+def by_document(packed: DataFrame, n_buckets: int) -> DataFrame:
     """(id, mark, found): for each document all that was found, one after the other."""
 
     def unpack(rows: pa.Table) -> pa.Table:
@@ -123,12 +129,12 @@ def by_document(packed: DataFrame) -> DataFrame:
                 at += n
         return pa.table({"id": pa.array([None if i == NO_ID else i for i, _ in found], pa.int64()), "mark": pa.array([m for _, m in found], pa.int64()), "found": pa.array([b"".join(x) for x in found.values()], pa.binary())}, schema=_FOUND)
 
-    return packed.groupBy("bucket").applyInArrow(unpack, "id long, mark long, found binary")
+    return dealt(packed, n_buckets, "bucket").groupBy("bucket").applyInArrow(unpack, "id long, mark long, found binary")
 
 
-def shared_keys(docs: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], n_shards: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def shared_keys(docs: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], n_shards: int, id_column: str = "doc_id", text: str = "text") -> tuple[DataFrame, np.ndarray]:
     """(id, mark, found): for each document the low 40 bits of those of its keys that another document (or row) has
-    too, five bytes each; mark is 0.
+    too, five bytes each; mark is 0. And the low 40 bits of the keys that the most blocks hold, ascending.
 
     keys_of gives a text's distinct 64-bit keys. Documents without such keys give no row; null texts have none.
     Different keys with the same low 40 bits in one shard count as shared: callers use the answer as a filter only."""
@@ -171,7 +177,11 @@ def shared_keys(docs: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], n_
         keys = [from40(x) for x in rows.column("keys").to_pylist()]
         every = np.concatenate([k for k, d in zip(keys, done, strict=True) if not d] or [np.zeros(0, U64)])
         every.sort()
-        shared = np.unique(every[1:][every[1:] == every[:-1]])
+        heads = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
+        blocks = np.diff(heads, append=len(every))
+        shared, blocks = every[heads[blocks > 1]], blocks[blocks > 1]
+        common = np.argsort(-blocks, kind="stable")[:HOT_OF_SHARD]
+        common = common[blocks[common] >= HOT_BLOCKS]
         out_ids, out_keys = [], []
         for i, c, k, d in zip(ids, counts, keys, done, strict=True):
             if not d:
@@ -184,10 +194,14 @@ def shared_keys(docs: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], n_
             raw, ends = low40(k), np.cumsum(c) * 5
             out_ids += i.tolist()
             out_keys += [raw[e - 5 * n : e] for n, e in zip(c.tolist(), ends.tolist(), strict=True)]
-        return packed_by_bucket(out_ids, [0] * len(out_ids), out_keys, n_shards)
+        out = packed_by_bucket(out_ids, [0] * len(out_ids), out_keys, n_shards)
+        hot = pa.table({"hot": pa.array(shared[common].astype(np.int64)), "blocks": pa.array(blocks[common], pa.int64())})
+        return pa.concat_tables([out, hot], promote_options="default")
 
     sent = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(send, _SENT_DDL)
-    return by_document(sent.groupBy("shard").applyInArrow(meet, PACKED_DDL))
+    packed = stored(dealt(sent, n_shards, "shard").groupBy("shard").applyInArrow(meet, f"{PACKED_DDL}, hot long, blocks long"), "shared-keys")
+    hot = packed.filter("hot is not null").orderBy(F.desc("blocks"), "hot").limit(HOT_KEYS).select("hot").collect()
+    return by_document(packed.filter("bucket is not null").drop("hot", "blocks"), n_shards), np.unique(np.array([r["hot"] for r in hot], np.int64).astype(U64))
 
 
 def packed_texts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -219,6 +233,8 @@ def joined(docs: DataFrame, found: DataFrame, how: str, marked: bool = False) ->
 
 def in_keys(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether the low 40 bits of each hash are among keys (sorted)."""
+    if not len(keys):
+        return np.zeros(len(hashes), bool)
     low = hashes & LOW40
     at = np.minimum(np.searchsorted(keys, low), len(keys) - 1)
     return keys[at] == low

@@ -60,7 +60,7 @@ def collected() -> Iterator[list[str]]:
     try:
         yield paths
     finally:
-        _collecting.remove(paths)
+        _collecting[:] = [p for p in _collecting if p is not paths]
 
 
 def removed(spark: SparkSession, paths: list[str]) -> None:
@@ -80,9 +80,9 @@ def shards_for(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYT
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_bytes))
 
 
-def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
-    """df dealt over n tasks by keys; what groups by the same keys next needs no other shuffle."""
-    return df.repartition(n, *keys)
+def dealt(df: DataFrame, n: int, key: str) -> DataFrame:
+    """df in n tasks, one for each value of key (0 to n - 1); grouping by key then needs no other shuffle."""
+    return df.repartitionById(n, F.col(key))
 
 
 # ---------------------------------------------------------------- hashing

@@ -346,7 +346,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 75, id_column: str = "doc_i
     nodes = every.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "row")).alias("lead"), F.first("n").alias("n")).withColumn("first", F.col("lead.id"))
     # a linked set has need(n) elements at least, and so shares the first need(n) / PART of its common elements
     enough = F.greatest(F.lit(1), F.floor(F.floor((percent * F.col("n") + 99) / 100) / PART))
-    partners = shared_keys(own, prefix, n_shards).select(F.coalesce("id", F.lit(NO_ID)).alias("first"), (F.length("found") / 5).alias("hits"))
+    partners = shared_keys(own, prefix, n_shards)[0].select(F.coalesce("id", F.lit(NO_ID)).alias("first"), (F.length("found") / 5).alias("hits"))
     chosen = nodes.groupBy("first").agg(F.min("n").alias("n")).join(partners, "first").filter(F.col("hits") >= enough).select("first")
     some = packed_texts(own).join(chosen, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("first"), "left_semi").select("text")
     sets = stored(ordered(some, k, percent).dropDuplicates(["node"]), "join-ordered")

@@ -2,13 +2,18 @@
 
 The corpus is parsed relative to itself: the reference of a document is all text of documents with smaller ids, cut
 into blocks that are indexed by the content of their windows, so that a block holds every occurrence of its windows
-and a document meets only those blocks that can match. A lookup gives a window's first occurrence; a factor
-(start, words, reference document, reference start) is followed greedily as long as the next window continues in the
-same reference. Windows that straddle a factor's end are looked up like all others, so none is missed there. Factors
-of at least ``window`` words become duplicate spans.
+and a document meets exactly those blocks that can match.
 
-A block's windows are 64-bit hashes under 64-bit anchors; both must agree. Tasks resolve repeats among their own
-documents first and send each distinct window once.
+A document is factored greedily against a block: the index gives the first occurrence of a window of ``window`` words
+in a document with a smaller id, and the factor follows that occurrence word by word as long as both agree. After its
+end, the window that straddles the factor's boundary is looked up next: it may continue in another reference. Factors of
+different blocks that continue each other are joined and parsed once more over the whole document, and the words of
+its factors, all of ``window`` words at least, are its duplicate spans. Every window that also starts in a document with
+a smaller id lies in a factor, since the parse passes over a window only when it is inside a factor or not in the index.
+
+A block's windows are 64-bit hashes under 64-bit anchors; both must agree. Tasks factor their own documents against
+each other first and send only windows outside of these factors. Windows around an anchor that very many blocks hold are
+dealt by their own hash (see _anchors), so a common phrase with many different contexts spreads over all shards.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytolake.llm._anchors import PACKED_DDL, Words, by_document, doc_keys, ids_of, in_keys, joined, packed_by_bucket, shared_keys, unpacked_texts
-from cytolake.llm._common import U64, batch, from40, mix, ngram_hashes, shard_of, stored, stretches, word_hashes
+from cytolake.llm._common import U64, _BASE, _inverse, batch, collected, dealt, from40, mix, ngram_hashes, powers, removed, shard_of, shards_for, stored, stretches, word_hashes
 
 _OTHER = U64(0xA0761D6478BD642F)
 #: Part of a factor: ``n`` windows from word ``pos`` on, that also start in document ``doc`` from word ``at`` on.
@@ -71,24 +76,15 @@ def merged(runs: np.ndarray) -> np.ndarray:
     return out
 
 
-def covered(runs: np.ndarray, n_words: int, window: int) -> np.ndarray:
-    """Which words lie in a duplicate window."""
+def covered(parse: list[tuple[int, int, int, int]], n_words: int) -> np.ndarray:
+    """Which words lie in a factor."""
     step = np.zeros(n_words + 1, np.int32)
-    np.add.at(step, runs["pos"], 1)
-    np.add.at(step, runs["pos"].astype(np.int64) + runs["n"] + (window - 1), -1)
+    for start, words, _, _ in parse:
+        step[start] += 1
+        step[start + words] -= 1
     return np.cumsum(step[:n_words]) > 0
 
 
-def _runs(doc: np.ndarray, pos: np.ndarray, ref: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows in order of (doc, pos) as runs, and each run's doc."""
-    if not len(doc):
-        return np.zeros(0, RUN), doc
-    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1) | (ref[1:] != ref[:-1]) | (at[1:] != at[:-1] + 1)])
-    out = np.zeros(len(new), RUN)
-    out["pos"], out["n"], out["doc"], out["at"] = pos[new], np.diff(new, append=len(doc)), ref[new], at[new]
-    return out, doc[new]
-
-
 def _firsts(key: np.ndarray, anchor: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """For each window, the index of its first occurrence by (id, pos)."""
     order = np.lexsort((pos, ids, key))
@@ -99,14 +95,61 @@ def _firsts(key: np.ndarray, anchor: np.ndarray, ids: np.ndarray, pos: np.ndarra
     return first
 
 
+def parsed(ids: np.ndarray, doc: np.ndarray, pos: np.ndarray, key: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The greedy factors of documents against the block that they make up: the window at which each begins, how many
+    windows it has, and the window of the block that it begins with in its reference.
+
+    Windows come by (doc, pos); ids are of the documents; first is the index: of each window its first occurrence.
+    All documents are parsed side by side, a factor at a time."""
+    n = len(key)
+    none = np.zeros(0, np.int64)
+    heads = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)]) if n else none
+    ends = np.repeat(np.append(heads[1:], n), np.diff(heads, append=n)) if n else none  # of the text around each window
+    hit = np.flatnonzero(ids[doc] > ids[doc[first]])
+    after = np.append(hit, n)  # the next window with an earlier occurrence: after[searchsorted(hit, place)]
+    total = np.zeros(n + 1, U64)
+    np.cumsum(mix(key) * powers(_BASE, n), out=total[1:])
+    back = powers(_inverse(_BASE), n + 1)
+
+    def alike(a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return (total[a + length] - total[a]) * back[a] == (total[b + length] - total[b]) * back[b]
+
+    out = [(none, none, none)]
+    at = after[np.searchsorted(hit, heads)]
+    last = ends[heads] if n else none
+    at, last = at[at < last], last[at < last]
+    while len(at):
+        ref = first[at]
+        low, high = np.ones(len(at), np.int64), np.minimum(last - at, ends[ref] - ref)
+        while (low < high).any():  # how far the reference agrees
+            middle = (low + high + 1) // 2
+            good = alike(at, ref, middle)
+            low, high = np.where(good, middle, low), np.where(good, high, middle - 1)
+        out.append((at, low, ref))
+        at = after[np.searchsorted(hit, at + low)]  # from the first window across the factor's end
+        at, last = at[at < last], last[at < last]
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _as_runs(ids: np.ndarray, doc: np.ndarray, pos: np.ndarray, factors: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    """Of each document with factors, its place and packed RUNs."""
+    start, n, ref = factors
+    order = np.argsort(start, kind="stable")
+    start, n, ref = start[order], n[order], ref[order]
+    runs = np.zeros(len(start), RUN)
+    runs["pos"], runs["n"], runs["doc"], runs["at"] = pos[start], n, ids[doc[ref]], pos[ref]
+    for lo, hi in stretches(doc[start]):
+        yield int(doc[start[lo]]), runs[lo:hi].tobytes()
+
+
 def duplicate_runs(docs: DataFrame, window: int = 13, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, mark, found): for each document its windows that also start in a document with a smaller id, as packed
     RUNs; mark (xxhash64 of the text) tells apart texts under the same id."""
     unit = Words(window)
-    spark = docs.sparkSession
-    n_shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_shards = shards_for(docs, text)
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
-    suspects = joined(docs, shared_keys(docs, doc_keys(unit), n_shards), "inner")
+    shared, hot = shared_keys(docs, doc_keys(unit), n_shards)
+    suspects = joined(docs, shared, "inner")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = [], 0
@@ -133,19 +176,17 @@ def duplicate_runs(docs: DataFrame, window: int = 13, id_column: str = "doc_id",
         block, ids, marks = [block[o] for o in order], ids[order], marks[order]
         doc = np.repeat(np.arange(len(block)), [len(b[2]) for b in block])
         pos, place, anchor, key = (np.concatenate([b[k] for b in block]) for k in (2, 3, 4, 5))
-        first = _firsts(key, anchor, doc, pos)
-        # a repeat in a later document of this block is settled; one with the same id is not, and need not travel
-        settled = ids[doc] > ids[doc[first]]
-        rows = []
-        if settled.any():
-            runs, of = _runs(doc[settled], pos[settled], ids[doc[first[settled]]], pos[first[settled]])
-            for lo, hi in stretches(of):
-                rows.append((int(of[lo]) % n_shards, ids[of[lo]].tobytes(), marks[of[lo]].tobytes(), runs[lo:hi].tobytes(), None, None))
-        # what else has the same id as its first occurrence travels too: another block may hold a smaller id
-        going = np.flatnonzero(~settled)
+        # documents of one id never refer to each other: the index looks for their first window by id
+        factors = parsed(ids, doc, pos, key, _firsts(key, anchor, ids[doc], np.arange(len(doc))))
+        rows = [(k % n_shards, ids[k].tobytes(), marks[k].tobytes(), runs, None, None) for k, runs in _as_runs(ids, doc, pos, factors)]
+        step = np.zeros(len(doc) + 1, np.int32)
+        np.add.at(step, factors[0], 1)
+        np.add.at(step, factors[0] + factors[1], -1)
+        going = np.flatnonzero(np.cumsum(step[:-1]) == 0)
         d, p, a, k, l = doc[going], pos[going], anchor[going], key[going], place[going]
-        shard = shard_of(mix(a), n_shards)
-        new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1) | (l[1:] != l[:-1])])
+        fine = in_keys(a, hot)
+        shard = np.where(fine, shard_of(mix(k ^ _OTHER), n_shards), shard_of(mix(a), n_shards))
+        new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1) | (l[1:] != l[:-1]) | fine[1:]]) if len(d) else going
         size = np.diff(new, append=len(d))
         by = np.argsort(shard[new], kind="stable")
         new, size = new[by], size[by]
@@ -179,24 +220,27 @@ def duplicate_runs(docs: DataFrame, window: int = 13, id_column: str = "doc_id",
             n += len(i)
         if doc:
             ids, marks, doc, pos, anchor, key = map(np.concatenate, (ids, marks, doc, pos, anchor, key))
-            first = _firsts(key, anchor, ids[doc], pos)
-            later = np.flatnonzero(ids[doc] > ids[doc[first]])
-            later = later[np.lexsort((pos[later], doc[later]))]
-            runs, of = _runs(doc[later], pos[later], ids[doc[first[later]]], pos[first[later]])
-            out += [(int(ids[of[lo]]), int(marks[of[lo]]), runs[lo:hi].tobytes()) for lo, hi in stretches(of)]
+            order = np.lexsort((pos, doc, ids[doc]))
+            doc, pos, anchor, key = doc[order], pos[order], anchor[order], key[order]
+            factors = parsed(ids, doc, pos, key, _firsts(key, anchor, ids[doc], np.arange(len(doc))))
+            out += [(int(ids[k]), int(marks[k]), runs) for k, runs in _as_runs(ids, doc, pos, factors)]
         return packed_by_bucket([x[0] for x in out], [x[1] for x in out], [x[2] for x in out], n_shards)
 
-    return by_document(suspects.mapInArrow(send, _SENT_DDL).groupBy("shard").applyInArrow(look_up, PACKED_DDL))
+    sent = dealt(suspects.mapInArrow(send, _SENT_DDL), n_shards, "shard")
+    return by_document(sent.groupBy("shard").applyInArrow(look_up, PACKED_DDL), n_shards)
 
 
 def dedup(docs: DataFrame, window: int = 13, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept (the kept words, joined by one space) and factors, the
-    greedy parse as an array of (start, words, ref_doc, ref_start) in words.
+    greedy parse as an array of (start, words, ref_doc, ref_start) in words. The words of factors go.
 
     A word goes if it lies in a window of ``window`` consecutive words that also starts in a document with a smaller
     id; windows are judged on the input. Null and empty texts have no words and keep an empty text. Rows with the same
     id never remove each other's words. A null id counts as larger than all others. Other columns are ignored."""
-    found = stored(duplicate_runs(docs, window, id_column, text), "rlz-runs")
+    with collected() as tables:
+        runs = duplicate_runs(docs, window, id_column, text)
+    found = stored(runs, "rlz-runs")
+    removed(docs.sparkSession, tables)
     rows = joined(docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark")), found, "left", marked=True)
     struct = pa.struct([("start", pa.int32()), ("words", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())])
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -209,15 +253,10 @@ def dedup(docs: DataFrame, window: int = 13, id_column: str = "doc_id", text: st
                 words = raw.split()  # bytes.split() splits at exactly the six bytes
                 n.append(len(words))
                 runs = np.frombuffer(found.as_py() or b"", RUN)
-                if len(runs):
-                    off = covered(runs, len(words), window)
-                    gone.append(int(off.sum()))
-                    kept.append(b" ".join([w for w, o in zip(words, off.tolist(), strict=True) if not o]))
-                    parse.append(factors(runs, window))
-                else:
-                    gone.append(0)
-                    kept.append(b" ".join(words))
-                    parse.append([])
+                parse.append(factors(runs, window))
+                off = covered(parse[-1], len(words))
+                gone.append(int(off.sum()))
+                kept.append(b" ".join([w for w, o in zip(words, off.tolist(), strict=True) if not o]))
             fields = list(zip(*[f for p in parse for f in p], strict=True)) or [[], [], [], []]
             inner = pa.StructArray.from_arrays([pa.array(f, t.type) for f, t in zip(fields, struct, strict=True)], fields=list(struct))
             offsets = pa.array(np.r_[0, np.cumsum([len(p) for p in parse])].astype(np.int32))

@@ -5,11 +5,14 @@ the shard of their anchor, where every occurrence of a window meets. A shard col
 suffix array of the distinct ones that share an anchor with others: only suffixes smaller than their successors are
 sorted directly, the rest follows by scans over the buckets of first bytes. Neighbours with a common prefix of at
 least ``window`` bytes are repeats; all but the earliest are removed. Tasks collapse equal pieces before the shuffle,
-so a piece reaches its shard once for each block of documents.
+so a piece reaches its shard once for each block of documents. Pieces of an anchor that very many blocks hold (see
+_anchors) are cut into runs of HOT_RUN windows by their place beside the anchor, and dealt by the bytes that all
+windows of such a run share: a common phrase with many different contexts spreads over all shards.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytolake.llm._anchors import PACKED_DDL, Bytes, by_document, doc_keys, ids_of, in_keys, joined, packed_by_bucket, shared_keys, unpacked_texts
-from cytolake.llm._common import batch, from40, mix, packed_bytes, shard_of, stored, stretches, unpacked_bytes
+from cytolake.llm._common import U64, batch, collected, dealt, from40, mix, packed_bytes, removed, shard_of, shards_for, stored, stretches, unpacked_bytes
 
 #: ``n`` windows from byte ``start`` on.
 RUN = np.dtype([("start", "<u4"), ("n", "<u4")])
-_PIECE = np.dtype([("doc", "<u4"), ("start", "<u4"), ("n", "<u4"), ("size", "<u4"), ("anchor", "<u4")])
+_PIECE = np.dtype([("doc", "<u4"), ("start", "<u4"), ("n", "<u4"), ("size", "<u4"), ("anchor", "<u4"), ("hot", "u1")])
+#: Windows of one run at a hot anchor.
+HOT_RUN = 16
 BLOCK_BYTES = 24 << 20
 #: Text that is suffix-sorted at a time (an anchor's pieces stay together).
 BATCH_BYTES = 4 << 20
@@ -170,9 +175,12 @@ def duplicate_runs(docs: DataFrame, window: int = 100, id_column: str = "doc_id"
     """(id, mark, found): for each document its windows that also start earlier, as packed RUNs; mark (xxhash64 of the
     text) tells apart texts under the same id."""
     unit = Bytes(window, min(32, window))
-    n_shards = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_shards = shards_for(docs, text)
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
-    suspects = joined(docs, shared_keys(docs, doc_keys(unit, within=True), n_shards), "inner")
+    shared, hot = shared_keys(docs, doc_keys(unit, within=True), n_shards)
+    suspects = joined(docs, shared, "inner")
+    per = min(HOT_RUN, window)
+    inside = window - per + 1  # bytes that all windows of a run share
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[bytes, tuple] = {}
@@ -186,7 +194,7 @@ def duplicate_runs(docs: DataFrame, window: int = 100, id_column: str = "doc_id"
             for lo, hi in stretches(shard):
                 part = pieces[lo:hi]
                 docs = {d: k for k, d in enumerate(dict.fromkeys(v[:2] for _, v in part))}
-                head = np.array([(docs[v[:2]], v[2], v[3], len(t), v[5]) for t, v in part], _PIECE)
+                head = np.array([(docs[v[:2]], v[2], v[3], len(t), *v[5:]) for t, v in part], _PIECE)
                 ids = np.array(list(docs), np.int64)
                 rows.append((int(shard[lo]), ids[:, 0].tobytes(), ids[:, 1].tobytes(), head.tobytes(), packed_bytes(b"".join(t for t, _ in part))))
             if rows:
@@ -202,13 +210,19 @@ def duplicate_runs(docs: DataFrame, window: int = 100, id_column: str = "doc_id"
                 hit = np.flatnonzero(in_keys(grams[places], np.unique(from40(found.as_py()))))
                 if not len(hit):
                     continue
-                new = np.flatnonzero(np.r_[True, (np.diff(hit) != 1) | (np.diff(places[hit]) != 0)])
-                starts, n = hit[new], np.diff(new, append=len(hit))
+                fine = in_keys(grams[places[hit]], hot)
+                run = np.where(fine, (places[hit] - hit) // per, -1)
+                new = np.flatnonzero(np.r_[True, (np.diff(hit) != 1) | (np.diff(places[hit]) != 0) | (np.diff(run) != 0)])
+                starts, n, fine, run = hit[new], np.diff(new, append=len(hit)), fine[new], run[new]
                 anchor = places[starts]
-                shard = shard_of(mix(grams[anchor]), n_shards)
+                code = mix(grams[anchor])
                 raw = data.tobytes()
-                for s, k, a, to in zip(starts.tolist(), n.tolist(), (anchor - starts).tolist(), shard.tolist(), strict=True):
-                    t, v = raw[s : s + k + window - 1], (i, mark, s, k, to, a)
+                if fine.any():
+                    shared = [zlib.crc32(raw[lo : lo + inside]) for lo in (anchor[fine] - per * run[fine]).tolist()]
+                    code[fine] = mix(code[fine] ^ np.array(shared, U64) + (run[fine].astype(U64) << U64(32)))
+                shard = shard_of(code, n_shards)
+                for s, k, a, to, h in zip(starts.tolist(), n.tolist(), (anchor - starts).tolist(), shard.tolist(), fine.tolist(), strict=True):
+                    t, v = raw[s : s + k + window - 1], (i, mark, s, k, to, a, h)
                     w = own.setdefault(t, v)
                     if w is v:
                         held += len(t) + 200
@@ -230,16 +244,17 @@ def duplicate_runs(docs: DataFrame, window: int = 100, id_column: str = "doc_id"
                 out.append((int(ids[0]), int(marks[0]), r["runs"]))
                 continue
             at, text, ids, marks = 0, unpacked_bytes(r["text"]), ids.tolist(), marks.tolist()
-            for d, s, n, size, a in np.frombuffer(r["runs"], _PIECE).tolist():
-                t, v = text[at : at + size], (ids[d], marks[d], s, n, a)
+            for d, s, n, size, a, h in np.frombuffer(r["runs"], _PIECE).tolist():
+                t, v = text[at : at + size], (ids[d], marks[d], s, n, a, h)
                 at += size
                 w = own.setdefault(t, v)
                 if w is not v and w[:3] != v[:3]:
                     own[t], late = (w, v) if w < v else (v, w)
                     settled.setdefault(late[:2], []).append(late[2:4])
-        by_anchor: dict[bytes, list] = {}
+        by_anchor: dict[tuple, list] = {}
         for t, v in own.items():
-            by_anchor.setdefault(t[v[4] : v[4] + unit.gram], []).append((v, t))
+            run, lo = divmod(v[4], per) if v[5] else (-1, v[4])
+            by_anchor.setdefault((run, t[lo : lo + (inside if v[5] else unit.gram)]), []).append((v, t))
         del own
         # equal windows have equal anchors: whole anchors make up batches of bounded size
         many, batches, held = [g for g in by_anchor.values() if len(g) > 1], [[]], 0
@@ -264,7 +279,8 @@ def duplicate_runs(docs: DataFrame, window: int = 100, id_column: str = "doc_id"
         out += [(i, m, _merged(*np.array(r, np.int64).T).tobytes()) for (i, m), r in settled.items()]
         return packed_by_bucket([x[0] for x in out], [x[1] for x in out], [x[2] for x in out], n_shards)
 
-    return by_document(suspects.mapInArrow(send, _SENT_DDL).groupBy("shard").applyInArrow(sort, PACKED_DDL))
+    sent = dealt(suspects.mapInArrow(send, _SENT_DDL), n_shards, "shard")
+    return by_document(sent.groupBy("shard").applyInArrow(sort, PACKED_DDL), n_shards)
 
 
 def spans_of(runs: np.ndarray, size: int, window: int) -> np.ndarray:
@@ -297,7 +313,10 @@ def dedup(docs: DataFrame, window: int = 100, id_column: str = "doc_id", text: s
     or earlier in the same document; strings are judged on the input. With characters, spans are narrowed to whole
     characters. Null and empty texts have no bytes. A null id comes after all others; different texts under one id
     count as two documents, in order of a hash; repeated rows count as one document and get the same result."""
-    found = stored(duplicate_runs(docs, window, id_column, text), "suffix-runs")
+    with collected() as tables:
+        runs = duplicate_runs(docs, window, id_column, text)
+    found = stored(runs, "suffix-runs")
+    removed(docs.sparkSession, tables)
     columns = [F.col(id_column).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"), *[F.col(c).alias(f"keep_{c}") for c in keep]]
     rows = joined(docs.select(*columns), found, "left", marked=True)
     kept_types = [(f"keep_{c}", rows.schema[f"keep_{c}"].dataType.simpleString()) for c in keep]
