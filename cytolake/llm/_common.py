@@ -38,13 +38,22 @@ def shared_dir(spark: SparkSession) -> str:
 _collecting: list[list[str]] = []
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The files go when the application ends, or when the caller says so (see collected and removed)."""
+    The files go when the application ends, or when the caller says so (see collected and removed). Shuffle files of the
+    write go as soon as it has succeeded: what comes after reads the table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     for paths in _collecting:
         paths.append(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

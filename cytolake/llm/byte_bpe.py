@@ -5,7 +5,8 @@ block) and sends every distinct word once, to the shard of its hash. A shard enc
 once, and the ids travel back to the blocks that hold the word, where documents are put together by position.
 A frequent word reaches its shard once for each block, however often it occurs.
 
-Decoding joins ids with the table of token bytes, which has as many rows as the vocabulary.
+Decoding joins ids with the table of token bytes, whose rows are in order of id and as many as the vocabulary has: a
+batch of ids takes its rows of the table, and a document's bytes are what its ids took, one after the other.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytolake.llm._common import packed, packed_bytes, stored, stretches, unpacked, unpacked_bytes
+from cytolake.llm._common import dealt, packed, packed_bytes, shards_for, stored, stretches, unpacked, unpacked_bytes
 
 #: A block ends at so many distinct words or characters of text. Large blocks send fewer words in all.
 BLOCK_WORDS, BLOCK_BYTES = 500_000, 28 << 20
@@ -116,7 +118,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc
     known_ranks = read_ranks(ranks_path)
     kind = np.uint16 if max(known_ranks.values()) < 1 << 16 else np.uint32
     ranks = spark.sparkContext.broadcast(known_ranks)
-    n_shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_shards = shards_for(docs, text)
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
@@ -177,7 +179,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc
             out.append((r["block"], packed_bytes(np.concatenate(ids).tobytes(), 9), packed(np.r_[own, [len(x) for x in ids]])))
         return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "data": pa.array([x[1] for x in out], pa.binary()), "sizes": pa.array([x[2] for x in out], pa.binary())})
 
-    answers = blocks.filter("shard >= 0").select("shard", "block", "data", "sizes").groupBy("shard").applyInArrow(encode_words, "block long, data binary, sizes binary")
+    answers = dealt(blocks.filter("shard >= 0").select("shard", "block", "data", "sizes"), n_shards, "shard").groupBy("shard").applyInArrow(encode_words, "block long, data binary, sizes binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         owns, sizes, flats = [], [], []
@@ -210,25 +212,44 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc
     return documents.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, f"doc_id {id_type}, ids array<int>")
 
 
+def token_bytes(ranks: dict[bytes, int]) -> pa.LargeBinaryArray:
+    """The token-byte table: row i holds the bytes of token i, null where the vocabulary has none."""
+    rows: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        rows[rank] = token
+    return pa.array(rows, pa.large_binary())
+
+
+def decoded(column: pa.ListArray, table: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+    """The bytes of each row's ids; null where the row is null or one of its ids has no row in the table."""
+    rows = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().cast(pa.int64())
+    fine = pa.compute.fill_null(pa.compute.and_(pa.compute.greater_equal(flat, 0), pa.compute.less(flat, len(table))), False)
+    if len(table):
+        joined = table.take(pa.compute.if_else(fine, flat, pa.scalar(None, pa.int64())))
+    else:
+        joined = pa.nulls(len(flat), pa.large_binary())
+    lost = np.r_[0, np.cumsum(joined.is_null().to_numpy(zero_copy_only=False))]
+    ends = np.r_[0, np.cumsum(rows)]
+    whole = column.is_valid().to_numpy(zero_copy_only=False) & (lost[ends[1:]] == lost[ends[:-1]])
+    joined = joined.fill_null(b"")
+    edges = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1] if len(joined) else np.zeros(1, np.int64)
+    out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(np.ascontiguousarray(edges[ends]).tobytes()), joined.buffers()[2] if len(joined) else pa.py_buffer(b"")])
+    return pa.compute.if_else(pa.array(whole), out, pa.scalar(None, pa.large_binary()))
+
+
 def decode(tokens: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
     """tokens with a column decoded (binary): the bytes of the ids, joined with the table of token bytes.
 
     Null ids columns, and rows that hold an id that is null or not in the vocabulary, decode to null."""
-    ranks = read_ranks(ranks_path)
-    most = max(ranks.values())
-    table = tokens.sparkSession.sparkContext.broadcast([t for _, t in sorted((r, t) for t, r in ranks.items())] if len(ranks) == most + 1 else [{r: t for t, r in ranks.items()}.get(r) for r in range(most + 1)])
+    known = token_bytes(read_ranks(ranks_path))  # as many rows as the vocabulary has: shipped with the task
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = table.value
         for part in batches:
-            out = []
-            for row in part.column(ids):
-                try:
-                    values = row.values.to_pylist() if row.is_valid else None
-                    out.append(None if values is None or min(values, default=0) < 0 else b"".join([known[i] for i in values]))
-                except (TypeError, IndexError):
-                    out.append(None)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, "decoded"])
+            # bounded slices: the joined bytes of many long documents would be large at once
+            for lo in range(0, part.num_rows, 256):
+                some = part.slice(lo, 256)
+                yield pa.RecordBatch.from_arrays([*some.columns, decoded(some.column(ids), known).cast(pa.binary())], names=[*part.schema.names, "decoded"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema)
     return tokens.mapInArrow(join, f"{ddl}, decoded binary")
