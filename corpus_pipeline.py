@@ -1,12 +1,11 @@
 """A corpus pipeline: documents in, token ids out.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes every stage's result as Parquet in the
-shared folder and reads it again for the next. When a stage begins, the tables that the one before stored on its way
-are deleted: its result is written by then. They stay where docs still reads them."""
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame. Operators delete the tables that they stored on their
+way, except those that the result reads; run() writes every stage's result as Parquet in the shared folder, deletes what
+the stage had stored and the result before it, and reads the new one for the next stage."""
 
 from __future__ import annotations
 
-import functools
 import uuid
 
 import public_tokenizers
@@ -14,32 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytolake.llm import byte_bpe, mixing, ngram_join, quality, suffix_dedup
-from cytolake.llm._common import collected, removed, shared_dir
+from cytolake.llm._common import collected, removed, stored
 
 #: Documents below this probability of good quality go.
 LEAST_QUALITY = 0.3
 
 
-#: Tables that the last stage stored.
-_held: list[str] = []
-
-
-def _stage(f):
-    @functools.wraps(f)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        names = {path.rpartition("/")[2] for path in _held}
-        if names and not any(part in names for file in docs.inputFiles() for part in file.split("/")):
-            removed(spark, _held)
-            _held.clear()
-        with collected() as tables:
-            out = f(spark, docs, sf_dir)
-        _held.extend(tables)
-        return out
-
-    return run
-
-
-@_stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on all labels, accepts. Null and empty texts are scored too."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -49,7 +28,6 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.filter(F.col("_score") >= LEAST_QUALITY).select(*docs.columns)
 
 
-@_stage
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies one document, of the smallest id (null ids last). Documents without words link
     with nothing and all stay."""
@@ -57,7 +35,6 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return found.filter("_chosen").select(*docs.columns)
 
 
-@_stage
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 100 bytes that start earlier, cut at whole characters; n_chars follows. Texts of
     which nothing is left go; null and empty texts, of which nothing was removed, stay."""
@@ -68,13 +45,11 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return out.select(*[F.col("_text").alias(c) if c == "text" else F.when(F.col("_removed") > 0, F.length("_text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
-@_stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources mixed to their target weights: documents repeated or cut as the mix takes them."""
     return mixing.apply_mix(docs)
 
 
-@_stage
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids (tokens) and n_tokens of each document of the mix."""
     tokens = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -94,10 +69,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of sf_dir. The result's table goes when the application ends."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with collected() as tables:
+            result = stored(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        removed(spark, [*before, *tables[:-1]])
+        docs, before = result, tables[-1:]
     return docs
