@@ -9,13 +9,15 @@
 4. Sets that share an element of their new prefix form its group. Each is compared with two pivots of the group: the
    one that shares most of itself, and one by hash. A comparison of a pivot with many sets walks a trie of the sets:
    sorted lists, whose common prefixes share their partial overlap; a subtree is left as soon as its overlap and
-   remaining lengths cannot reach the threshold.
-5. Components of the links by smallest label, with pointer jumping.
-6. In groups whose sets are still in different components, pairs are bounded by 2048-bit parity sketches (the bits in
-   which two sketches differ are at most the elements in which the sets do), and of the pairs that may link, a few for
-   each set and component are compared in the tries, the nearest first. This repeats with more pairs, without those
-   already compared, until no group has a pair left that may join two components. So no link between components is
-   missed, and the pairs of a group are not written out.
+   remaining lengths cannot reach the threshold. Components of the links follow by smallest label.
+5. Groups whose sets are in different components by now are joined with themselves. First 2048-bit parity sketches (the
+   bits in which two sketches differ are at most the elements in which the sets do) tell which members may link with
+   one of another component; only these go on. Then their tries are joined: every member outside of the largest
+   component is walked against those of other components, and links that join two components are kept, at most one
+   less than the members. Of a large group, the members outside of its largest component are dealt over blocks that
+   meet all blocks; the largest component's blocks do not meet each other. So no link between components is missed,
+   and neither pairs nor links of a group are written out in full.
+6. Components of both kinds of links, by smallest label with pointer jumping.
 
 The operator finds components, not all links. Which pairs inside a component link, and how many links a document has,
 stays unknown: Jaccard links are not transitive, so they do not follow from the links found. A group of g near copies
@@ -28,22 +30,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cytolake.llm._anchors import NO_ID, packed_texts, shared_keys, unpacked_texts
-from cytolake.llm._common import U64, batch, from40, low40, lowered, mix, ngram_hashes, shard_of, stored, stretches, texts_of, word_hashes
+from cytolake.llm._common import U64, batch, collected, dealt, from40, low40, lowered, mix, ngram_hashes, removed, shard_of, shards_for, stored, stretches, texts_of, word_hashes
 
 BLOCK_KEYS = 1_000_000
 #: The prefix filter asks for shared elements in number of this part of a set.
 PART = 8
-#: Of the groups, every so many-th is searched before all are.
-SOME_KEYS = 16
 #: Members of a group that meet in one task; larger groups meet block by block.
 GROUP_ROWS = 8192
 WORDS = 32  # of a sketch
-#: Pairs for each set and component in a round of the search; a round later so many times as many.
-TRIES = 16
+#: Codes of sets that one task compares, about, if each set went to one.
+BUCKET_BYTES = 4 << 20
 #: Sets compared with one pivot in one group.
 PIVOT_ROWS = 2048
 _KEYS = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("node", pa.binary()), ("n", pa.int32()), ("data", pa.binary()), ("counts", pa.binary())])
@@ -78,33 +78,22 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.packbits(bits.astype(bool)).tobytes()
 
 
-def joining_pairs(sketches: np.ndarray, n: np.ndarray, labels: np.ndarray, block: np.ndarray, barred: set, percent: int, tries: int) -> list[tuple[int, int]]:
-    """Pairs (of rows) that may link and would join two labels, up to tries for each row and label, those with the
-    nearest sketches first. block: rows of 0 meet rows of 1; if all are 0 they meet each other. barred holds pairs of
-    rows that do not link. Labels whose pair is well inside the bound count as joined from then on: if they turn out
-    not to be, the next round sees their other pairs."""
+def may_link(sketches: np.ndarray, n: np.ndarray, i: int, other: np.ndarray, percent: int) -> np.ndarray:
+    """Those of the rows other whose sizes and sketches do not exclude a link with row i."""
+    other = other[(100 * n[other] >= percent * n[i]) & (100 * n[i] >= percent * n[other])]
+    apart = (100 + percent) * np.bitwise_count(sketches[other] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+    return other[apart <= (100 - percent) * (n[other] + n[i])]
+
+
+def with_partners(sketches: np.ndarray, n: np.ndarray, labels: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows may link with a row of another label?"""
     labels = np.unique(labels, return_inverse=True)[1]
-    size = np.bincount(labels)
-    out = []
+    out = np.zeros(len(n), bool)
     # the largest component only answers: every pair has a side in another
-    for i in np.flatnonzero(labels != size.argmax()):
-        other = np.flatnonzero(labels != labels[i])
-        if block.any():
-            other = other[block[other] != block[i]]
-        other = other[(100 * n[other] >= percent * n[i]) & (100 * n[i] >= percent * n[other])]
-        apart = (100 + percent) * np.bitwise_count(sketches[other] ^ sketches[i]).sum(axis=1, dtype=np.int64)
-        most = (100 - percent) * (n[other] + n[i])
-        near = np.flatnonzero(apart <= most)
-        used: dict[int, int] = {}
-        for k in near[np.argsort(apart[near] / np.maximum(most[near], 1), kind="stable")].tolist():
-            j = int(other[k])
-            label = int(labels[j])
-            if label == labels[i] or used.get(label, 0) >= tries or (min(i, j), max(i, j)) in barred:
-                continue
-            out.append((int(i), j))
-            used[label] = used.get(label, 0) + 1
-            if 10 * apart[k] <= 8 * most[k]:
-                labels[labels == label] = labels[i]
+    for i in np.flatnonzero(labels != np.bincount(labels).argmax()):
+        found = may_link(sketches, n, i, np.flatnonzero(labels != labels[i]), percent)
+        out[found] = True
+        out[i] |= len(found) > 0
     return out
 
 
@@ -150,6 +139,28 @@ def trie_links(pivot: np.ndarray, pivot_size: int, lists: list[np.ndarray], size
     return found
 
 
+def trie_forest(groups: list[np.ndarray], lists: list[np.ndarray], sizes: np.ndarray, sketches: np.ndarray, labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join components: groups are rows that share an element, labels their components so far. All pairs of
+    rows in a group that may link and are in different components are compared, once, unless links found before have
+    joined them."""
+    labels = np.unique(labels, return_inverse=True)[1]
+    done: set[tuple[int, int]] = set()
+    found = []
+    for rows in groups:
+        own, size = np.unique(labels[rows], return_counts=True)
+        largest = own[size.argmax()]
+        for i in rows[labels[rows] != largest].tolist():
+            other = may_link(sketches, sizes, i, rows[labels[rows] != labels[i]], percent).tolist()
+            other = [j for j in other if (min(i, j), max(i, j)) not in done]
+            done.update((min(i, j), max(i, j)) for j in other)
+            for k in trie_links(lists[i], int(sizes[i]), [lists[j] for j in other], [int(sizes[j]) for j in other], percent) if other else ():
+                j = other[k]
+                if labels[i] != labels[j]:
+                    found.append((i, j))
+                    labels[labels == labels[j]] = labels[i]
+    return found
+
+
 # ---------------------------------------------------------------- stages
 
 def described(docs: DataFrame, k: int) -> DataFrame:
@@ -170,9 +181,8 @@ def described(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id long, n long, node binary, row long{ddl}")
 
 
-def ordered(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def ordered(docs: DataFrame, k: int, percent: int, n_shards: int) -> DataFrame:
     """(node, n, codes, prefix, sketch): the sets of docs in the global order; only sets that can link."""
-    n_shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -217,7 +227,7 @@ def ordered(docs: DataFrame, k: int, percent: int) -> DataFrame:
         ends = np.cumsum([len(p) for p in parts])
         return pa.table({"block": rows.column("block"), "shard": rows.column("shard"), "levels": pa.array([level[e - len(p) : e].tobytes() for e, p in zip(ends, parts, strict=True)], pa.binary())})
 
-    levels = blocks.filter("shard >= 0").select("block", "shard", "data", "counts").groupBy("shard").applyInArrow(classes, "block long, shard int, levels binary")
+    levels = dealt(blocks.filter("shard >= 0").select("block", "shard", "data", "counts"), n_shards, "shard").groupBy("shard").applyInArrow(classes, "block long, shard int, levels binary")
 
     def put_in_order(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -239,12 +249,11 @@ def ordered(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return sets.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(put_in_order, "node binary, n int, codes binary, prefix array<long>, sketch binary")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def linked(pairs: DataFrame, sets: DataFrame, percent: int, n_buckets: int) -> DataFrame:
     """Those of pairs (a, b) whose sets link. Sets that are compared with the same pivot a share tries, in groups of
     about PIVOT_ROWS, so that a pivot with many partners is spread over tasks."""
-    n_buckets = 2 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slots = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PIVOT_ROWS)).cast("int").alias("slots"))
-    bucket = F.pmod(F.xxhash64("a", "slot"), F.lit(n_buckets))
+    bucket = F.pmod(F.xxhash64("a", "slot"), F.lit(n_buckets)).cast("int")
     s = sets.select(F.col("node").alias("b"), F.col("n"), F.col("codes"))
     leaves = pairs.join(slots, "a").withColumn("slot", F.pmod(F.xxhash64("b"), F.col("slots")).cast("int")).join(s, "b").select(bucket.alias("bucket"), "a", "b", "n", "codes")
     pivots = slots.join(s.withColumnRenamed("b", "a"), "a").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).select(bucket.alias("home"), F.col("a").alias("pivot"), F.col("n").alias("size"), F.col("codes").alias("body")).distinct()
@@ -257,45 +266,62 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         out = [(a, group[i][0]) for a, group in groups.items() for i in trie_links(known[a][1], known[a][0], [g[2] for g in group], [g[1] for g in group], percent)]
         return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
 
-    return leaves.groupBy("bucket").cogroup(pivots.groupBy("home")).applyInArrow(compare, "a binary, b binary")
+    return dealt(leaves, n_buckets, "bucket").groupBy("bucket").cogroup(dealt(pivots, n_buckets, "home").groupBy("home")).applyInArrow(compare, "a binary, b binary")
 
 
-def candidates(members: DataFrame, sets: DataFrame, labels: DataFrame, compared: DataFrame, percent: int, tries: int) -> DataFrame:
-    """(key, a, b): pairs of a group's members (key, node) that may link, join two components, and are not compared
-    yet. A group without pairs never has any again: components only grow."""
-    n_buckets = 2 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def meetings(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, low, high, node, label): where members (key, node) of groups with several components meet. A group of up
+    to GROUP_ROWS meets in one place; of a larger one, blocks low and high."""
     t = members.join(labels, "node")
-    groups = t.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count("*").alias("_n")).filter("_x <> _y")
-    groups = groups.select("key", F.ceil(F.col("_n") / GROUP_ROWS).cast("int").alias("blocks"))
+    counts = t.groupBy("key", "label").agg(F.count("*").alias("n"))
+    groups = counts.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("kinds")).filter("kinds > 1")
+    small = F.col("n") <= GROUP_ROWS
+    blocks = lambda x: F.when(small, 1).otherwise(F.ceil(x / GROUP_ROWS)).cast("int")
+    groups = groups.select("key", "major", blocks(F.col("n") - F.col("most")).alias("minor_blocks"), F.when(small, 0).otherwise(blocks(F.col("most"))).alias("major_blocks"))
     t = t.join(groups, "key")
-    # compared pairs that did not join their components
-    x, y = labels.select(F.col("node").alias("a"), F.col("label").alias("x")), labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
-    apart = compared.join(x, "a").join(y, "b").filter("x <> y").select("a", "b")
-    done = apart.union(apart.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("met"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    t = t.join(sets.select("node", "n", "sketch"), "node").join(done, "node", "left")
-    t = t.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    t = t.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
-    rows = t.select(F.pmod(F.xxhash64("key", "low", "high"), F.lit(n_buckets)).alias("bucket"), "key", "low", "high", "own", "node", "n", "label", "sketch", "met")
+    spread = F.xxhash64("node")
+    major = (F.col("label") == F.col("major")) & (F.col("major_blocks") > 0)
+    own = F.when(major, F.col("minor_blocks") + F.pmod(spread, F.col("major_blocks"))).otherwise(F.pmod(spread, F.col("minor_blocks"))).cast("int")
+    # a block of the largest component meets those of others only
+    last = F.when(major, F.col("minor_blocks") - 1).otherwise(F.col("minor_blocks") + F.col("major_blocks") - 1).cast("int")
+    t = t.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return t.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "label")
+
+
+def joining_links(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, n_buckets: int) -> DataFrame:
+    """(a, b): links between members (key, node) of groups that join their components."""
+    bucket = F.pmod(F.xxhash64("key", "low", "high"), F.lit(n_buckets)).cast("int")
+    rows = meetings(members, labels).join(sets.select("node", "n", "sketch"), "node").select(bucket.alias("bucket"), "key", "low", "high", "node", "n", "label", "sketch")
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("key", "ascending"), ("low", "ascending"), ("high", "ascending"), ("node", "ascending")])
+        rows = rows.sort_by([("key", "ascending"), ("low", "ascending"), ("high", "ascending")])
         key = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("key", "low", "high")])
         edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), len(rows)]
-        out = set()
-        for lo, hi in zip(edges, edges[1:], strict=False):
-            part = rows.slice(lo, hi - lo)
-            nodes = part.column("node").to_pylist()
-            place = {x: k for k, x in enumerate(nodes)}
-            barred = {(min(k, place[m]), max(k, place[m])) for k, met in enumerate(part.column("met").to_pylist()) for m in met or () if m in place}
-            block = (part.column("own").to_numpy() != key[1, lo]).astype(np.int64)
-            sketches = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint64).reshape(-1, WORDS)
-            labels = np.array([x.hex() for x in part.column("label").to_pylist()])
-            for i, j in joining_pairs(sketches, part.column("n").to_numpy().astype(np.int64), labels, block, barred, percent, tries):
-                out.add((int(key[0, lo]), min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
-        return pa.table({c: pa.array([x[k] for x in out], t) for k, (c, t) in enumerate((("key", pa.int64()), ("a", pa.binary()), ("b", pa.binary())))})
-
-    return rows.groupBy("bucket").applyInArrow(run, "key long, a binary, b binary")
+        sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(-1, WORDS)
+        n, labels = rows.column("n").to_numpy().astype(np.int64), np.array(rows.column("label").to_pylist(), object)
+        keep, place = np.zeros(len(rows), bool), np.zeros(len(rows), np.int64)
+        for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+            place[lo:hi] = k
+            keep[lo:hi] = with_partners(sketches[lo:hi], n[lo:hi], labels[lo:hi], percent)
+        some = pa.array(np.flatnonzero(keep))
+        return pa.table({"bucket": rows.column("bucket").take(some), "place": pa.array(place[keep]), "node": rows.column("node").take(some), "label": rows.column("label").take(some)})
+
+    active = dealt(rows, n_buckets, "bucket").groupBy("bucket").applyInArrow(run, "bucket int, place long, node binary, label binary")
+    active = active.groupBy("bucket", "node").agg(F.first("label").alias("label"), F.collect_list("place").alias("places"))
+    active = active.join(sets.select("node", "n", "sketch", "codes"), "node").select("bucket", "node", "label", "places", "n", "sketch", "codes")
+
+    def forest(rows: pa.Table) -> pa.Table:
+        nodes, places = rows.column("node").to_pylist(), rows.column("places").to_pylist()
+        row = np.repeat(np.arange(len(nodes)), [len(p) for p in places])
+        flat = np.array([x for p in places for x in p], np.int64)
+        order = np.argsort(flat, kind="stable")
+        groups = [row[order[lo:hi]] for lo, hi in stretches(flat[order])]
+        sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(-1, WORDS)
+        lists = [np.frombuffer(c, U64) for c in rows.column("codes").to_pylist()]
+        found = trie_forest(groups, lists, rows.column("n").to_numpy().astype(np.int64), sketches, np.array(rows.column("label").to_pylist(), object), percent)
+        return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.binary()), "b": pa.array([nodes[j] for _, j in found], pa.binary())})
+
+    return dealt(active, n_buckets, "bucket").groupBy("bucket").applyInArrow(forest, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -305,14 +331,16 @@ def components(links: DataFrame) -> DataFrame:
     lost executor costs one round. Rounds grow with the logarithm of a component's width."""
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "join-links")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "join-labels")
-    while True:
+    changed = 1
+    while changed:
         near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = stored(step.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "join-step")
-        labels = new.select("node", "label")
-        if new.filter("old <> label").isEmpty():
-            return labels
+        seen = Observation()
+        new = step.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label"))
+        labels = stored(new.observe(seen, F.coalesce(F.sum((F.col("old") != F.col("label")).cast("long")), F.lit(0)).alias("changed")), "join-step").select("node", "label")
+        changed = seen.get["changed"]
+    return labels
 
 
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -341,42 +369,39 @@ def join(docs: DataFrame, k: int = 5, percent: int = 75, id_column: str = "doc_i
         s = shingles(data, k)
         return s[: len(s) - need(len(s), percent) + max(1, len(s) // PART)] if len(s) else s
 
-    n_shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    every = stored(described(extra, k), "join-nodes")
-    nodes = every.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "row")).alias("lead"), F.first("n").alias("n")).withColumn("first", F.col("lead.id"))
-    # a linked set has need(n) elements at least, and so shares the first need(n) / PART of its common elements
-    enough = F.greatest(F.lit(1), F.floor(F.floor((percent * F.col("n") + 99) / 100) / PART))
-    partners = shared_keys(own, prefix, n_shards)[0].select(F.coalesce("id", F.lit(NO_ID)).alias("first"), (F.length("found") / 5).alias("hits"))
-    chosen = nodes.groupBy("first").agg(F.min("n").alias("n")).join(partners, "first").filter(F.col("hits") >= enough).select("first")
-    some = packed_texts(own).join(chosen, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("first"), "left_semi").select("text")
-    sets = stored(ordered(some, k, percent).dropDuplicates(["node"]), "join-ordered")
-
-    members = sets.select("node", "n", "sketch", F.explode("prefix").alias("key"), (F.length("codes") / 8 / F.col("n")).alias("share"))
-    close = lambda x, y: (100 * x >= percent * y) & (100 * y >= percent * x)
-    pivots = members.groupBy("key").agg(F.max(F.struct("share", "node", "n")).alias("best"), F.min(F.struct("node", "n")).alias("low"), F.count("*").alias("_n")).filter("_n > 1")
-    m = members.join(pivots, "key")
-    pivot = F.explode(F.array(*[F.struct(F.col(f"{p}.node").alias("node"), F.col(f"{p}.n").alias("n")) for p in ("best", "low")]))
-    stars = m.select(pivot.alias("p"), "node", "n").filter((F.col("p.node") != F.col("node")) & close(F.col("p.n"), F.col("n")))
-    compared = stored(stars.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct(), "join-stars")
-    labels = relabelled(sets.select("node", F.col("node").alias("label")), linked(compared, sets, percent))
-    # groups share most of their pairs: a part of the groups first, then all until none has a pair left
-    members, tries, every_group = members.select("key", "node"), TRIES, False
-    active = members.filter(F.pmod(F.col("key"), F.lit(SOME_KEYS)) == 0)
-    while True:
-        found = stored(candidates(active, sets, labels, compared, percent, tries), "join-candidates")
-        if not found.isEmpty():
-            pairs = stored(found.select("a", "b").distinct(), "join-pairs")
-            labels = relabelled(labels, linked(pairs, sets, percent))
-            compared = compared.unionByName(pairs)
-        elif every_group:
-            break
-        active = members.join(found.select("key").distinct(), "key", "left_semi") if every_group else members
-        every_group, tries = True, tries * TRIES
-
-    label = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    of_label = label.groupBy("label").agg(F.min("lead").alias("top"))
-    named = label.join(of_label, "label").select("node", "top")
-    out = every.join(named, "node", "left")
+    with collected() as tables:
+        n_shards = shards_for(own)
+        every = stored(described(extra, k), "join-nodes")
+        nodes = every.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "row")).alias("lead"), F.first("n").alias("n")).withColumn("first", F.col("lead.id"))
+        # a linked set has need(n) elements at least, and so shares the first need(n) / PART of its common elements
+        enough = F.greatest(F.lit(1), F.floor(F.floor((percent * F.col("n") + 99) / 100) / PART))
+        partners = shared_keys(own, prefix, n_shards)[0].select(F.coalesce("id", F.lit(NO_ID)).alias("first"), (F.length("found") / 5).alias("hits"))
+        chosen = nodes.groupBy("first").agg(F.min("n").alias("n")).join(partners, "first").filter(F.col("hits") >= enough).select("first")
+        some = packed_texts(own).join(chosen, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("first"), "left_semi").select("text")
+        sets = stored(ordered(some, k, percent, n_shards).dropDuplicates(["node"]), "join-ordered")
+
+        held = sets.agg(F.sum(F.length("codes") + F.lit(512))).first()[0] or 0
+        n_buckets = max(n_shards, -(-held // BUCKET_BYTES))
+        members = sets.select("node", "n", F.explode("prefix").alias("key"), (F.length("codes") / 8 / F.col("n")).alias("share"))
+        close = lambda x, y: (100 * x >= percent * y) & (100 * y >= percent * x)
+        pivots = members.groupBy("key").agg(F.max(F.struct("share", "node", "n")).alias("best"), F.min(F.struct("node", "n")).alias("low"), F.count("*").alias("_n")).filter("_n > 1")
+        m = members.join(pivots, "key")
+        pivot = F.explode(F.array(*[F.struct(F.col(f"{p}.node").alias("node"), F.col(f"{p}.n").alias("n")) for p in ("best", "low")]))
+        stars = m.select(pivot.alias("p"), "node", "n").filter((F.col("p.node") != F.col("node")) & close(F.col("p.n"), F.col("n")))
+        compared = stored(stars.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct(), "join-stars")
+        labels = relabelled(sets.select("node", F.col("node").alias("label")), linked(compared, sets, percent, n_buckets))
+        links = stored(joining_links(members.select("key", "node"), sets, labels, percent, n_buckets), "join-forest")
+        labels = relabelled(labels, links)
+        # sets without links are their own component: only the others are looked up
+        label = nodes.join(labels, "node").select("node", "label", "lead")
+        of_label = label.groupBy("label").agg(F.min("lead").alias("top"))
+        of_label = label.join(of_label, "label").select("node", "top")
+        named = nodes.select("node", "lead").join(of_label, "node", "left").select("node", F.coalesce("top", "lead").alias("top"))
+        named = stored(named, "join-named")
+    removed(docs.sparkSession, tables[1:-1])  # the result reads the first table, of all rows, and the last
+    # rows without a set have no component: a null key would meet in one task
+    some, none = every.filter("node is not null"), every.filter("node is null").withColumn("top", F.lit(None).cast(named.schema["top"].dataType))
+    out = some.join(named, "node").unionByName(none)
     component = F.when(F.col("node").isNull(), F.col("doc_id")).when(F.col("top.id") != NO_ID, F.col("top.id"))
     chosen = F.col("node").isNull() | (F.col("row") == F.col("top.row"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), chosen.alias("chosen"), *[F.col(f"`keep_{c}`").alias(c) for c in keep])

@@ -55,7 +55,66 @@ def test_substring_dedup(make, corpus):
 
 def test_factors_are_greedy():
     runs = np.array([(0, 3, 1, 10), (2, 5, 2, 0), (20, 1, 1, 0), (6, 2, 3, 7)], substring_dedup.RUN)
-    assert substring_dedup.factors(runs, 13) == [(0, 15, 1, 10), (3, 16, 2, 1), (7, 13, 3, 8), (20, 13, 1, 0)]
+    parse = substring_dedup.factors(runs, 13)
+    assert parse == [(0, 15, 1, 10), (3, 16, 2, 1), (7, 13, 3, 8), (20, 13, 1, 0)]
+    assert np.flatnonzero(~substring_dedup.covered(parse, 40)).tolist() == [*range(33, 40)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 4), min_size=1, max_size=25), min_size=1, max_size=6), st.lists(st.integers(0, 3), min_size=6, max_size=6))
+def test_parse_against_a_block(texts, ids):
+    """Factors agree with their reference, cannot be longer, cover each window with an earlier occurrence and no other."""
+    docs = sorted(zip(ids, texts), key=lambda x: x[0])
+    own = np.array([i for i, _ in docs], np.int64)
+    doc = np.repeat(np.arange(len(docs)), [len(t) for _, t in docs])
+    pos, key = np.concatenate([np.arange(len(t)) for _, t in docs]), np.concatenate([t for _, t in docs]).astype(U64)
+    first = substring_dedup._firsts(key, key, own[doc], np.arange(len(doc)))
+    start, n, ref = substring_dedup.parsed(own, doc, pos, key, first)
+    inside = np.zeros(len(key), bool)
+    for s, k, r in zip(start, n, ref):
+        assert (key[s : s + k] == key[r : r + k]).all() and doc[s] == doc[s + k - 1] and doc[r] == doc[r + k - 1] and own[doc[r]] < own[doc[s]]
+        more = s + k < len(key) and r + k < len(key) and doc[s + k] == doc[s] and doc[r + k] == doc[r] and key[s + k] == key[r + k]
+        assert not more and not inside[s : s + k].any()
+        inside[s : s + k] = True
+    assert (inside == (own[doc[first]] < own[doc])).all()
+
+
+def test_the_parse_decides(make, corpus, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "factors", lambda runs, window: [])
+    assert {r["n_removed"] for r in substring_dedup.dedup(make(corpus)).collect()} == {0}
+
+
+@pytest.fixture(scope="module")
+def phrases():
+    """One phrase in many different contexts, some of them repeated."""
+    rng = random.Random(12)
+    phrase, pool = " ".join(f"common{k}" for k in range(12)), [f"c{k}" for k in range(9)]
+    texts = [f"{rng.choice(pool)} {rng.choice(pool)} {phrase} {rng.choice(pool)} {rng.choice(pool)} tail{k % 40}" for k in range(300)]
+    return [(k, t, None) for k, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("hot", [True, False])
+def test_common_anchors_are_dealt_finer(make, phrases, monkeypatch, hot):
+    from cytolake.llm import _anchors
+
+    monkeypatch.setattr(_anchors, "BLOCK_KEYS", 40)
+    monkeypatch.setattr(_anchors, "HOT_BLOCKS", 2 if hot else 1 << 30)
+    docs = make(phrases).repartition(4)
+    _, listed = _anchors.shared_keys(docs, _anchors.doc_keys(Words()), 4)
+    assert (len(listed) > 0) == hot and (np.diff(listed.astype(np.int64)) > 0).all()
+    found = substring_dedup.dedup(docs).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in found), key=repr) == plain_words(phrases)
+    first = {}
+    for i, t, _ in phrases:
+        for k in range(len(t) - 99):
+            first.setdefault(t[k : k + 100], (i, k))
+    for r in suffix_dedup.dedup(docs).collect():
+        t = phrases[r["doc_id"]][1]
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 99):
+            if first[t[k : k + 100]] < (r["doc_id"], k):
+                gone[k : k + 100] = True
+        assert bytes(r["kept"]).decode() == "".join(c for c, g in zip(t, gone) if not g)
 
 
 @pytest.mark.parametrize("characters", [False, True])
@@ -160,21 +219,46 @@ def test_trie(pivot, sets, percent):
     assert sorted(got) == [i for i, s in enumerate(sets) if 100 * len(s & pivot) >= percent * len(s | pivot)]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.sets(st.integers(0, 25), min_size=1, max_size=20), min_size=2, max_size=12), st.integers(40, 90))
-def test_joining_pairs_bound_and_connect(sets, percent):
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 25), min_size=1, max_size=20), min_size=2, max_size=12), st.integers(40, 90), st.randoms())
+def test_forest_connects_what_links(sets, percent, rng):
+    """Groups of one element each: all rows that hold it."""
     hashes = [np.array(sorted(s), U64) * U64(0x9E3779B97F4A7C15) for s in sets]
     sketches = np.frombuffer(b"".join(map(ngram_join.sketch, hashes)), np.uint64).reshape(-1, ngram_join.WORDS)
-    n, m = np.array([len(s) for s in sets]), len(sets)
-    labels, barred = np.arange(m), set()
-    while pairs := ngram_join.joining_pairs(sketches, n, labels.copy(), np.zeros(m, np.int64), barred, percent, 1):
+    n, lists = np.array([len(s) for s in sets]), [np.array(sorted(s), U64) for s in sets]
+    links = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
+
+    def components(pairs):
+        labels = list(range(len(sets)))
         for i, j in pairs:
-            barred.add((min(i, j), max(i, j)))
-            if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
-                labels[labels == labels[j]] = labels[i]
-    for i, j in itertools.combinations(range(m), 2):
-        if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
-            assert labels[i] == labels[j]
+            labels = [min(labels[i], labels[j]) if x in (labels[i], labels[j]) else x for x in labels]
+        return labels
+
+    some = [p for p in sorted(links) if rng.random() < 0.3]
+    before = np.array([f"l{x}" for x in components(some)], object)
+    keep = ngram_join.with_partners(sketches, n, before, percent)
+    assert all(keep[i] and keep[j] for i, j in links if before[i] != before[j])
+    groups = [np.array([i for i, s in enumerate(sets) if e in s and keep[i]], np.int64) for e in range(26)]
+    found = ngram_join.trie_forest([g for g in groups if len(g) > 1], lists, n, sketches, before, percent)
+    assert set(map(lambda p: (min(p), max(p)), found)) <= links and len(found) < len(sets)
+    assert components([*some, *found]) == components(links)
+
+
+@pytest.mark.parametrize("rows_in_group", [7, 8192])
+def test_ngram_join_of_large_groups(make, monkeypatch, rows_in_group):
+    """Blocks of one group: several components that share a passage, so that groups hold many of them."""
+    monkeypatch.setattr(ngram_join, "GROUP_ROWS", rows_in_group)
+    rng = random.Random(3)
+    shared = [f"s{k}" for k in range(60)]
+    bases = [shared + [f"b{b}x{k}" for k in range(25)] for b in range(6)]
+    rows = []
+    for k in range(90):
+        words = list(bases[rng.randrange(6)])
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(9)}"
+        rows.append((k, " ".join(words), None))
+    got = ngram_join.join(make(rows)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(plain_join(rows))
 
 
 def test_empty_tables(make):

@@ -322,6 +322,17 @@ def test_decode_of_odd_ids(spark):
     assert got[0] is not None and bytes(got[2]) == b"" and [got[k] for k in (1, 3, 4, 5)] == [None] * 4
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(st.one_of(st.none(), st.integers(-2, 6)), max_size=6)), max_size=6), st.integers(0, 3))
+def test_join_with_the_token_table(rows, skip):
+    import pyarrow as pa
+
+    ranks = {b"a": 0, b"bc": 1, b"\xff": 2, b"def": 4}
+    table = {r: t for t, r in ranks.items()}
+    got = byte_bpe.decoded(pa.array(rows, pa.list_(pa.int32())).slice(skip), byte_bpe.token_bytes(ranks)).to_pylist()
+    assert got == [None if row is None or any(i not in table for i in row) else b"".join(table[i] for i in row) for row in rows[skip:]]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="abcdeé世", min_size=1, max_size=60))
 def test_long_words_are_encoded_alike(encoding, word):
@@ -493,6 +504,41 @@ def test_pipeline_of_an_empty_table(spark, make, tmp_path):
     assert c.run(spark, str(tmp_path)).count() == 0
 
 
+def test_stages_side_by_side(spark, make, corpus, tmp_path):
+    """A stage's result stays readable when the same stage runs on something else."""
+    import corpus_pipeline as c
+
+    first, second = make(corpus), make(corpus[:30])
+    for stage in (c.one_of_near_copies, c.without_repeats, c.mixed, c.encoded):
+        a = stage(spark, first, "")
+        b = stage(spark, second, "")
+        assert b.count() <= a.count()
+        assert len(a.collect()) == a.count()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from cytolake.llm._common import shared_dir
+
+    def session(master):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda path: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(session(master))
+    assert shared_dir(session("local[4]")) and shared_dir(session("local"))
+
+
+def test_labels_of_a_repeated_id_count_once(spark, make):
+    rows = [(k % 7, f"text {k} " * (k % 5), "s") for k in range(70)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(7)], "doc_id long, quality int, toxic int")
+    model = quality.train(make(rows), labels, sample=5)
+    again = quality.train(make(rows[::-1]), labels, sample=5)
+    assert np.allclose(model.vectors, again.vectors) and np.allclose(model.center, again.center)
+
+
 def test_queries_run_on_the_small_tables(spark):
     from cytolake.llm.queries import QUERIES
 
