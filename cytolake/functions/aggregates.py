@@ -1,7 +1,9 @@
-"""Aggregates by name, over rows and over arrays. NaN values are left out of max and min; nulls everywhere."""
+"""Aggregates by name or function, over rows and over arrays. NaN values are left out of max and min; nulls everywhere."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,8 +11,14 @@ from cytolake.config import aggregate
 from cytolake.functions.scalar import nan
 
 
-def over_rows(name: str, value: Column) -> Column:
-    """The aggregate of a group; the sum of nothing is 0, every other aggregate of nothing is NaN."""
+#: A name, or what makes an aggregate of a column (built-in functions, or a grouped-aggregate pandas_udf).
+Aggregate = str | Callable[[Column], Column]
+
+
+def over_rows(name: Aggregate, value: Column) -> Column:
+    """The aggregate of a group; the sum of nothing is 0, every other named aggregate of nothing is NaN."""
+    if callable(name):
+        return name(value)
     real = F.when(~F.isnan(value), value)
     return {
         "mean": lambda: F.coalesce(F.avg(value), nan()),
@@ -22,8 +30,10 @@ def over_rows(name: str, value: Column) -> Column:
     }[aggregate(name)]()
 
 
-def over_array(name: str, values: Column) -> Column:
-    """The same for the elements of an array without nulls."""
+def over_array(name: Aggregate, values: Column) -> Column:
+    """The same for the elements of an array without nulls; a function gets the array."""
+    if callable(name):
+        return name(values)
     total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
     size = F.size(values)
     ordered = F.array_sort(values)

@@ -3,39 +3,69 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 
 
+#: What a stretch costs, from the sums of each data column over it: arrays in, an array out.
+Cost = Callable[..., np.ndarray]
+
+
+def _x_log_x(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
 def binomial_cost(m: np.ndarray, n: np.ndarray) -> np.ndarray:
     """-2 log likelihood of m methylated of n reads at their own rate; 0 where the rate is 0, 1 or unknown."""
     m, n = np.asarray(m, float), np.asarray(n, float)
-    mixed = (n > 0) & (m > 0) & (m < n)
-    p = np.where(mixed, m / np.where(n > 0, n, 1), 0.5)
-    return np.where(mixed, -2 * (m * np.log(p) + (n - m) * np.log1p(-p)), 0.0)
+    return np.where((m > 0) & (m < n), 2 * (_x_log_x(n) - _x_log_x(m) - _x_log_x(n - m)), 0.0)
 
 
-def pelt(count_m, count_total, beta: float | None = None, min_size: int = 1, exact: bool = False) -> tuple[list[int], float]:
-    """Change points (first rows of segments, without 0) of binomial rates, and the total cost.
+def normal_cost(x: np.ndarray, squares: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Squared distance from the mean, from sums of values, of their squares, and of ones."""
+    return squares - x * x / np.maximum(n, 1)
+
+
+def pelt(count_m, count_total, beta: float | None = None, min_size: int = 1, exact: bool = False, cost: Cost = binomial_cost, more: tuple = ()) -> tuple[list[int], float]:
+    """Change points (first rows of segments, without 0), and the total cost. Another cost may read the columns as it
+    likes, and more of them.
 
     Candidates r are kept while F(r) + cost(r, t) <= F(t); among equals the earliest wins. The usual pruning can drop a
     candidate before its segment has min_size rows; exact keeps those."""
+    data = (count_m, count_total, *more)
     n = len(count_m)
     if n == 0:
         return [], 0.0
     beta = math.log(n) if beta is None else beta
-    sm, sn = (np.r_[0.0, np.cumsum(np.asarray(x, float))] for x in (count_m, count_total))
+    sums = [np.r_[0.0, np.cumsum(np.asarray(x, float))] for x in data]
     best, previous = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
     best[0] = -beta
-    live = np.zeros(1, np.int64)
+    # the candidates that live, with all that a step needs of them side by side
+    live, score = np.zeros(n + 1, np.int64), np.zeros(n + 1)
+    held = np.zeros((len(sums), n + 1))
+    live[0], score[0], count = 0, -beta, 1
+    for k, s in enumerate(sums):
+        held[k, 0] = s[0]
     for t in range(1, n + 1):
-        value = best[live] + binomial_cost(sm[t] - sm[live], sn[t] - sn[live])
-        old = t - live >= min_size
-        if old.any():
-            k = int(np.argmin(np.where(old, value, np.inf)))
+        value = score[:count] + cost(*[s[t] - h[:count] for s, h in zip(sums, held, strict=True)])
+        # candidates ascend: those that are far enough back come first
+        old = int(np.searchsorted(live[:count], t - min_size, "right"))
+        if old:
+            k = int(np.argmin(value[:old]))
             best[t], previous[t] = value[k] + beta, live[k]
-        keep = (value <= best[t]) | (~old if exact else False)
-        live = np.r_[live[keep], t]
+        keep = value <= best[t]
+        if exact:
+            keep[old:] = True
+        if not keep.all():
+            rows = np.flatnonzero(keep)
+            count = len(rows)
+            live[:count], score[:count] = live[rows], score[rows]
+            held[:, :count] = held[:, rows]
+        live[count], score[count] = t, best[t]
+        for k, s in enumerate(sums):
+            held[k, count] = s[t]
+        count += 1
     out, t = [], n
     while t > 0:
         t = int(previous[t])
@@ -92,15 +122,11 @@ def mann_whitney(a, b, tolerance: float = 1e-6) -> tuple[float, float]:
     pooled = np.r_[a, b]
     order = np.argsort(pooled, kind="stable")
     values = pooled[order]
-    ranks, ties, lo = np.empty(len(values)), 0.0, 0
-    if (np.diff(values) > tolerance).all():
-        ranks[order] = np.arange(1, len(values) + 1)
-    else:
-        while lo < len(values):
-            hi = int(np.searchsorted(values, values[lo] + tolerance, "right"))
-            ranks[order[lo:hi]] = (lo + 1 + hi) / 2
-            ties += float(hi - lo) ** 3 - (hi - lo)
-            lo = hi
+    edges = np.array([0, *[hi for _, hi in tolerance_runs(values, tolerance)]])
+    size = np.diff(edges).astype(float)
+    ranks = np.empty(len(values))
+    ranks[order] = np.repeat((edges[:-1] + 1 + edges[1:]) / 2, np.diff(edges))
+    ties = float((size**3 - size).sum())
     u1 = ranks[:n1].sum() - n1 * (n1 + 1) / 2
     u, n = min(u1, n1 * n2 - u1), n1 + n2
     variance = n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1)))
@@ -110,14 +136,20 @@ def mann_whitney(a, b, tolerance: float = 1e-6) -> tuple[float, float]:
 
 def tolerance_runs(values, tolerance: float) -> list[tuple[int, int]]:
     """(from, to) of runs whose values stay within tolerance of the run's first."""
-    out, start = [], 0
-    for k in range(1, len(values)):
-        if abs(values[k] - values[start]) > tolerance:
+    values = np.asarray(values, float)
+    if not len(values):
+        return []
+    # equal neighbours are in one run whatever the tolerance: only changes can end one
+    steps = np.flatnonzero(values[1:] != values[:-1]) + 1
+    if len(steps) and (np.abs(values[steps] - values[steps - 1]) > tolerance).all():  # every change ends a run
+        edges = [0, *steps.tolist(), len(values)]
+        return list(zip(edges, edges[1:], strict=False))
+    out, start, first = [], 0, values[0]
+    for k, v in zip(steps.tolist(), values[steps].tolist(), strict=True):
+        if abs(v - first) > tolerance:
             out.append((start, k))
-            start = k
-    if len(values):
-        out.append((start, len(values)))
-    return out
+            start, first = k, v
+    return [*out, (start, len(values))]
 
 
 def segment_differences(a, b, initial_l: float = 2.0, l_min: float = 1e-3, coef: float = 1.5, diff_threshold: float = 0.05, min_cpg: int = 10, tolerance: float = 1e-6, merge_p: float = 0.01, max_rounds: int = 1000) -> list[tuple[int, int, float]]:

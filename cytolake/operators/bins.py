@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytolake.functions.aggregates import over_rows
+from cytolake.functions.aggregates import Aggregate, over_rows
 from cytolake.functions.scalar import nan
+from cytolake.operators.intervals import in_regions
 from cytolake.operators.ranges import WIDTH, ordinal
 
 
-def partition(sites: DataFrame, breakpoints: list[int], agg: str = "mean", width: int = WIDTH) -> DataFrame:
+def partition(sites: DataFrame, breakpoints: list[int], agg: Aggregate = "mean", width: int = WIDTH) -> DataFrame:
     """(chr, part, rel_end, n, value): rows between sorted row numbers. rel_end is the place of the part's end in the
     chromosome's extent, 1 for the last part. Breakpoints lie between 1 and the number of rows."""
     if not breakpoints:
@@ -28,7 +29,7 @@ def partition(sites: DataFrame, breakpoints: list[int], agg: str = "mean", width
     return out.select("chr", "part", F.coalesce((F.col("_next") - F.col("_first")) / length, F.lit(1.0)).alias("rel_end"), "n", "value")
 
 
-def discretised(sites: DataFrame, n: int, agg: str = "mean") -> DataFrame:
+def discretised(sites: DataFrame, n: int, agg: Aggregate = "mean") -> DataFrame:
     """(chr, bin, rel_end, n, value): n bins of equal length per chromosome; bin i starts at the first site at or
     after round(first + i * length / n). Empty bins have no sites and NaN. rel_end is where the next bin's first site
     lies, 1 for the last; bins that are empty to the end have 1."""
@@ -53,14 +54,15 @@ def discretised(sites: DataFrame, n: int, agg: str = "mean") -> DataFrame:
 
 
 def region_lines(regions: DataFrame, sites: DataFrame) -> DataFrame:
-    """(region_id, positions, densities): regions joined with their sites, positions scaled to [0, 1]."""
+    """(region_id, positions, densities): regions joined with their sites, positions scaled to [0, 1]. A line holds all
+    sites of its region: as many as positions in it."""
     rel = (F.col("position") - F.col("start")) / (F.col("end") - F.col("start"))
-    rows = sites.join(regions, "chr").filter((F.col("position") >= F.col("start")) & (F.col("position") < F.col("end")))
+    rows = in_regions(sites, regions)
     pairs = F.array_sort(F.collect_list(F.struct(rel.alias("x"), F.col("density").alias("y"))))
     return rows.groupBy("region_id").agg(pairs.alias("p")).select("region_id", F.transform("p", lambda e: e["x"]).alias("positions"), F.transform("p", lambda e: e["y"]).alias("densities"))
 
 
-def line_plot(points: DataFrame, n: int, agg: str = "mean") -> DataFrame:
+def line_plot(points: DataFrame, n: int, agg: Aggregate = "mean") -> DataFrame:
     """(bin, n_points, x, y) from points (x in [0, 1], y): bin = number of the edges 0, 1/(n-1), ..., 1 that are at
     most x; x averaged, y aggregated. Bins without points have NaN."""
     step = 1.0 / (n - 1)
@@ -85,8 +87,9 @@ def point_counts(lines: DataFrame) -> DataFrame:
     return lines.agg(F.count("*").alias("n_lines"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("n_points"), F.avg(size).alias("mean_points"))
 
 
-def shrunken(sites: DataFrame, segments: DataFrame, agg: str = "mean") -> DataFrame:
-    """(chr, segment, start, end, n, value) for sites that already carry the segment of a change-point search."""
+def shrunken(segments: DataFrame, agg: Aggregate = "mean") -> DataFrame:
+    """(chr, segment, start, end, n, value) for sites that carry the segment of a change-point search (see
+    plans.dimred.segmented)."""
     return segments.groupBy("chr", "segment").agg(F.min("position").alias("start"), F.max("position").alias("end"), F.count("*").alias("n"), over_rows(agg, F.col("density")).alias("value"))
 
 

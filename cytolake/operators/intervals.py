@@ -7,10 +7,11 @@ spreads a long chromosome."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytolake.functions.scalar import nan
+from cytolake.operators.ranges import WIDTH, previous
 
 BIN = 1 << 14
 
@@ -53,10 +54,10 @@ def breakpoints(intervals: DataFrame) -> DataFrame:
     return intervals.select("chr", F.explode(F.array("start", "end")).alias("position"))
 
 
-def from_breakpoints(points: DataFrame, reference: bool = False) -> DataFrame:
+def from_breakpoints(points: DataFrame, reference: bool = False, width: int = WIDTH) -> DataFrame:
     """(chr, start, end) between consecutive breakpoints, from 0; with reference every interval starts at 0."""
-    before = F.lit(0).cast("long") if reference else F.lag("position", 1, 0).over(Window.partitionBy("chr").orderBy("position"))
-    return points.select("chr", before.cast("long").alias("start"), F.col("position").alias("end"))
+    rows = points.withColumn("_before", F.lit(0)) if reference else previous(points, "_before", width=width)
+    return rows.select("chr", F.coalesce("_before", F.lit(0)).cast("long").alias("start"), F.col("position").alias("end"))
 
 
 def counts(intervals: DataFrame) -> DataFrame:

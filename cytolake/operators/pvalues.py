@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cytolake.config import adjustment
+from cytolake.functions.algorithms import tolerance_runs
+from cytolake.operators.ranges import by_groups
 
 
 @F.pandas_udf(T.DoubleType())
@@ -18,13 +20,35 @@ def two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if x is None or x != x else min(1.0, math.erfc(abs(x) / math.sqrt(2))))
 
 
-def mann_whitney(df: DataFrame, value: str, first: Column, *keys: str) -> DataFrame:
-    """(keys, n1, n2, u, z) of rows where first holds against the others; ties share their mean rank, the variance is
-    corrected for them, 0.5 for continuity. NaN and null values are left out. An empty group: u 0, z 0.
+def tied(by_value: DataFrame, value: str, keys: tuple[str, ...], tolerance: float) -> DataFrame:
+    """Distinct values with counts _t and _t1, those of a run (within tolerance of its first) joined under the first.
+
+    Only values that are near their neighbour can be in a run: such stretches are read in order, one at a time."""
+    w = Window.partitionBy(*keys).orderBy(value)
+    near = F.coalesce(F.col(value) - F.lag(value).over(w) <= tolerance, F.lit(False))
+    followed = F.coalesce(F.lead(value).over(w) - F.col(value) <= tolerance, F.lit(False))
+    cut = by_value.withColumn("_near", near).withColumn("_some", near | followed)
+    cut = cut.withColumn("_island", F.sum((~F.col("_near")).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    few = cut.filter("_some").select(*keys, "_island", value, "_t", "_t1")
+    kinds = {f.name: f.dataType for f in few.schema}
+    schema = T.StructType([T.StructField(c, kinds[c]) for c in (*keys, value, "_t", "_t1")])
+
+    def run(rows: dict) -> list[tuple]:
+        own = [rows[k][0] for k in keys]
+        return [(*own, float(rows[value][lo]), int(rows["_t"][lo:hi].sum()), int(rows["_t1"][lo:hi].sum())) for lo, hi in tolerance_runs(rows[value], tolerance)]
+
+    return cut.filter(~F.col("_some")).select(*schema.names).unionByName(by_groups(few, (*keys, "_island"), value, run, schema))
+
+
+def mann_whitney(df: DataFrame, value: str, first: Column, *keys: str, tolerance: float = 1e-6) -> DataFrame:
+    """(keys, n1, n2, u, z) of rows where first holds against the others; ties (values within tolerance of the first of
+    their run) share their mean rank, the variance is corrected for them, 0.5 for continuity. NaN and null values are
+    left out. An empty group: u 0, z 0. Keys are not null.
 
     Equal values are counted before anything is ranked, so a window runs over distinct values only."""
-    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).withColumn("_f", first.cast("long"))
+    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).withColumn("_f", first.cast("long")).withColumn(value, F.col(value).cast("double"))
     by_value = rows.groupBy(*keys, value).agg(F.count("*").alias("_t"), F.sum("_f").alias("_t1"))
+    by_value = tied(by_value, value, keys, tolerance) if tolerance > 0 else by_value
     w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     ranked = by_value.withColumn("_r", F.coalesce(F.sum("_t").over(w), F.lit(0)) + (F.col("_t") + 1) / 2)
     t = F.col("_t").cast("double")
@@ -49,22 +73,33 @@ def pearson(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.corr(x, y).alias("r")).withColumn("r", F.when(F.col("r").isNull() | F.isnan("r"), 0.0).otherwise(F.col("r")))
 
 
+#: Ranges of p-values that are ranked apart.
+RANGES = 128
+
+
 def adjusted(df: DataFrame, p: str = "p_value", method: str = "bh", name: str = "padj", key: str | None = None) -> DataFrame:
-    """df with adjusted p-values. The ranking is global, over one row per test, not per site. key breaks ties so that
-    ranks are settled (equal p-values get equal results all the same)."""
+    """df with adjusted p-values, null for null. Equal p-values get equal results, so key (ranks of ties) is not needed.
+
+    Distinct p-values are counted, cut into RANGES ranges by quantiles, ranked within a range, and carried over the
+    ranges: no task sorts all of them."""
     method = adjustment(method)
     if method == "none":
         return df.withColumn(name, F.col(p))
-    every = Window.partitionBy()
-    n = F.count("*").over(every)
+    known = df.filter(F.col(p).isNotNull())
+    n = known.count()
     if method == "bonf":
         return df.withColumn(name, F.least(F.lit(1.0), F.col(p) * n))
-    order = [F.col(p).asc(), *([F.col(key)] if key else [])]
-    ranked = df.withColumn("_k", F.row_number().over(Window.orderBy(*order))).withColumn("_n", n)
-    scaled = F.col(p) * F.col("_n") / F.col("_k")
-    if method == "by":
-        harmonic = F.sum(F.lit(1.0) / F.col("_k")).over(every)
-        ranked = ranked.withColumn("_h", harmonic)
-        scaled = scaled * F.col("_h")
-    down = Window.orderBy(F.col("_k").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn(name, F.least(F.lit(1.0), F.min(scaled).over(down))).drop("_k", "_n", "_h")
+    harmonic = df.sparkSession.range(1, n + 1).agg(F.sum(F.lit(1.0) / F.col("id"))).first()[0] or 0.0 if method == "by" else 1.0
+    counted = known.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_c"))
+    cuts = sorted(set(counted.approxQuantile("_p", [k / RANGES for k in range(1, RANGES)], 0.2 / RANGES)))
+    cut = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda x: x <= F.col("_p"))) if cuts else F.lit(0)
+    counted = counted.withColumn("_range", cut)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows
+    sums = counted.groupBy("_range").agg(F.sum("_c").alias("_s")).select("_range", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+    upto = Window.partitionBy("_range").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.join(F.broadcast(sums), "_range").withColumn("_v", F.col("_p") * n / (F.sum("_c").over(upto) + F.col("_before")) * harmonic)
+    after = Window.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    least = ranked.groupBy("_range").agg(F.min("_v").alias("_m")).select("_range", F.min("_m").over(after).alias("_after"))
+    down = Window.partitionBy("_range").orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    found = ranked.join(F.broadcast(least), "_range").select("_p", F.least(F.lit(1.0), F.min("_v").over(down), F.col("_after")).alias(name))
+    return df.join(found, F.col(p) == F.col("_p"), "left").drop("_p")

@@ -6,8 +6,14 @@ of a chromosome carries totals and borders across. So a long chromosome is sprea
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 WIDTH = 1 << 20
 
@@ -32,13 +38,14 @@ def ordinal(df: DataFrame, name: str = "ordinal", keys: tuple[str, ...] = ("chr"
     return running(df, {name: F.lit(1).cast("long")}, keys, position, width).withColumn(name, F.col(name) - 1)
 
 
-def previous(df: DataFrame, name: str = "previous", keys: tuple[str, ...] = ("chr",), position: str = "position", width: int = WIDTH) -> DataFrame:
-    """df with the position before each row's along its chromosome; null for the first."""
+def previous(df: DataFrame, name: str = "previous", keys: tuple[str, ...] = ("chr",), position: str = "position", width: int = WIDTH, value: str | None = None) -> DataFrame:
+    """df with the position (or another value) of the row before each along its chromosome; null for the first."""
+    value = value or position
     cut = df.withColumn("_range", _range(position, width))
-    last = cut.groupBy(*keys, "_range").agg(F.max(position).alias("_last"))
+    last = cut.groupBy(*keys, "_range").agg(F.max_by(value, position).alias("_last"))
     last = last.withColumn("_before", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_range"))).drop("_last")
     inside = Window.partitionBy(*keys, "_range").orderBy(position)
-    return cut.join(last, [*keys, "_range"]).select(*df.columns, F.coalesce(F.lag(position).over(inside), F.col("_before")).alias(name))
+    return cut.join(last, [*keys, "_range"]).select(*df.columns, F.when(F.row_number().over(inside) > 1, F.lag(value).over(inside)).otherwise(F.col("_before")).alias(name))
 
 
 def islands(df: DataFrame, far: Column, name: str = "segment", keys: tuple[str, ...] = ("chr",), position: str = "position", width: int = WIDTH) -> DataFrame:
@@ -79,3 +86,48 @@ def overlapping_chunks(sites: DataFrame, size: int, overlap: int, width: int = W
     rows = rows.join(n, "chr").withColumn("_last", last)
     rows = rows.withColumn("chunk", F.explode(F.sequence(F.least(first, F.col("_last")), F.least(own, F.col("_last")))))
     return rows.withColumn("final", F.col("chunk") == F.col("_last")).select(*sites.columns, "chunk", "final")
+
+
+def by_groups(df: DataFrame, keys: tuple[str, ...], order: str, f: Callable[[dict[str, np.ndarray]], list[tuple]], schema: StructType) -> DataFrame:
+    """The rows that f makes of each group of keys: f gets its columns (nulls of numbers are NaN) in order.
+
+    Tasks read their sorted rows as a stream and hold one group at a time, however many there are; there is no call of
+    Python's worker per group."""
+    wanted, arrow = df.columns, to_arrow_schema(schema)
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+        out: list[tuple] = []
+
+        def finished() -> list[tuple]:
+            whole = {n: np.concatenate([h[n] for h in held]) for n in wanted}
+            held.clear()
+            return f(whole)
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * len(arrow)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type, from_pandas=True) for c, t in zip(columns, arrow, strict=True)], schema=arrow)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            columns = {n: b.column(n).to_numpy(zero_copy_only=False) for n in wanted}
+            new = np.zeros(b.num_rows, bool)
+            for k in keys:
+                new[1:] |= columns[k][1:] != columns[k][:-1]
+            if held and any(held[-1][k][-1] != columns[k][0] for k in keys):
+                out += finished()
+            edges = [0, *np.flatnonzero(new).tolist(), b.num_rows]
+            for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+                if i:
+                    out += finished()
+                held.append({n: c[lo:hi] for n, c in columns.items()})
+            if len(out) >= 10_000:
+                yield batch()
+        if held:
+            out += finished()
+        yield batch()
+
+    return rows.mapInArrow(run, schema)

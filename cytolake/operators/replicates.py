@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cytolake.functions.aggregates import over_rows
+from cytolake.functions.aggregates import Aggregate, over_rows
 
 KEY = ("chr", "position", "strand", "context")
 
@@ -19,7 +19,7 @@ def sampled(samples: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [s.withColumn("sample", F.lit(name)) for name, s in samples.items()])
 
 
-def merged(samples: DataFrame, counts: str = "sum", density: str = "mean") -> DataFrame:
+def merged(samples: DataFrame, counts: Aggregate = "sum", density: Aggregate = "mean") -> DataFrame:
     """One row per site: both counts by one aggregate, the density by another. Groups treat null strand and context as
     values; one sample gives its own values back. Counts are cut to whole numbers."""
     rows = samples.groupBy(*KEY)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytolake.functions import scalar as S
-from cytolake.operators.ranges import WIDTH, ordinal
+from cytolake.operators.ranges import WIDTH, ordinal, previous
 from cytolake.schema import SITE
 
 
@@ -155,11 +155,10 @@ def require(sites: DataFrame, **toggles) -> DataFrame:
     return sites
 
 
-def order_violations(rows: DataFrame, order: str) -> DataFrame:
-    """Per chromosome: in the order of column order, how often a position is smaller than (unsorted) or equal to
-    (repeated) the one before."""
-    w = Window.partitionBy("chr").orderBy(order)
-    before = F.lag("position").over(w)
+def order_violations(rows: DataFrame, order: str, width: int = WIDTH) -> DataFrame:
+    """Per chromosome: in the order of column order (a number), how often a position is smaller than (unsorted) or
+    equal to (repeated) the one before. width: of the ranges of order that a task holds."""
+    rows, before = previous(rows, "_before", position=order, width=width, value="position"), F.col("_before")
     flagged = rows.select("chr", (F.col("position") < before).cast("long").alias("u"), (F.col("position") == before).cast("long").alias("r"))
     return flagged.groupBy("chr").agg(F.coalesce(F.sum("u"), F.lit(0)).alias("unsorted"), F.coalesce(F.sum("r"), F.lit(0)).alias("repeated"))
 

@@ -32,7 +32,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--" + name.replace("_", "-"), type=type(value), default=value)
     c = sub.add_parser("shrink", help="change points")
     c.add_argument("stores", nargs="+"), c.add_argument("--output", required=True), c.add_argument("--context", default="CG"), c.add_argument("--coverage", type=int, default=5), c.add_argument("--beta", type=float), c.add_argument("--min-size", type=int, default=20), c.add_argument("--chunk", type=int, default=10_000), c.add_argument("--overlap", type=int, default=1_000), c.add_argument("--joint", type=int, default=5)
-    c = sub.add_parser("merge", help="step functions on common breakpoints")
+    c = sub.add_parser("merge", help="step functions on common breakpoints: a folder number=K of BED rows for each input")
     c.add_argument("beds", nargs="+"), c.add_argument("--output", required=True), c.add_argument("--how", default="full")
     c = sub.add_parser("validate")
     c.add_argument("stores", nargs="+"), c.add_argument("--deep", action="store_true")
@@ -59,8 +59,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         write_intervals(dimred.shrink(stores(a.stores), a.context, a.coverage, a.beta, a.min_size, a.chunk, a.overlap, a.joint), a.output)
     elif a.command == "merge":
         rows = sampled({p: read_segments(spark, p) for p in a.beds})
-        for k, p in enumerate(a.beds):
-            write_intervals(dimred.merge(rows, merge_type(a.how)).filter(F.col("sample") == p), f"{a.output}.{k}.bed")
+        numbers = spark.createDataFrame([(p, k) for k, p in enumerate(a.beds)], "sample string, number int")
+        write_intervals(dimred.merge(rows, merge_type(a.how)).join(numbers, "sample"), a.output, by="number")
     elif a.command == "validate":
         found = validate.validate(stores(a.stores), a.deep)
         print("\n".join(found) or "the files agree")

@@ -18,7 +18,7 @@ def to_native(spark: SparkSession, report: str, kind: str, path: str, fasta: str
         raise ValueError("a FASTA file or its index is needed")
     genome = read_fasta(spark, fasta) if fasta else None
     context = scanned(genome) if genome is not None else None
-    order = read_fai(spark, fai) if fai else genome.select("chr")
+    order = read_fai(spark, fai) if fai else genome.select("chr").distinct()
     native.write(read_sites(spark, report, kind, context), path, chunk, order, codec)
 
 
@@ -32,7 +32,7 @@ def report_to_report(spark: SparkSession, source: str, kind: str, target: str, t
 
 
 def sort(spark: SparkSession, source: str, target: str, order: list[str] | None = None, chunk: int = 10_000) -> DataFrame:
-    """A store with only the chromosomes of order, and its rows in that order (names without one)."""
+    """A store with only the chromosomes of order, which keeps that order, and its rows in it (by name without one)."""
     sites = native.read(spark, source).drop("batch")
     names = chr_order(spark, order) if order else None
     native.write(sites, target, chunk, names)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cytolake.functions.algorithms import segment_differences
 from cytolake.operators.pvalues import adjusted
-from cytolake.operators.ranges import WIDTH, gap_segments
+from cytolake.operators.ranges import WIDTH, by_groups, gap_segments
 from cytolake.operators.replicates import paired
 
 
@@ -32,21 +32,22 @@ class Options:
     method: str = "bh"
 
 
-ROWS = "chr string, start long, end long, n_cytosines long, p_value double, meth_a double, meth_b double"
+ROWS = StructType().add("chr", "string").add("start", "long").add("end", "long").add("n_cytosines", "long").add("p_value", "double").add("meth_a", "double").add("meth_b", "double")
 
 
 def segments(pairs: DataFrame, o: Options = Options(), width: int = WIDTH) -> DataFrame:  # noqa: B008
     """(chr, start, end, n_cytosines, p_value, meth_a, meth_b, meth_diff, meth_mean) of pairs (chr, position, density_a,
-    density_b). A task holds one stretch of sites without a gap of max_dist; rows of a single position go."""
+    density_b). A task handles one stretch of sites without a gap of max_dist at a time; rows of a single position go."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("position")
-        a, b, at = rows["density_a"].to_numpy(), rows["density_b"].to_numpy(), rows["position"].to_numpy()
+    def run(rows: dict[str, np.ndarray]) -> list[tuple]:
+        a, b, at = rows["density_a"], rows["density_b"], rows["position"]
+        if len(at) == 1:  # a row of a single position: it would go below
+            return []
         found = segment_differences(a, b, o.initial_l, o.l_min, o.coef, o.diff_threshold, o.min_cytosines, o.tolerance, o.merge_p)
-        return pd.DataFrame([(key[0], at[s], at[e - 1], e - s, p, float(np.mean(a[s:e])), float(np.mean(b[s:e]))) for s, e, p in found], columns=["chr", "start", "end", "n_cytosines", "p_value", "meth_a", "meth_b"])
+        return [(rows["chr"][0], int(at[s]), int(at[e - 1]), e - s, p, float(np.mean(a[s:e])), float(np.mean(b[s:e]))) for s, e, p in found if e - s > 1]
 
-    cut = gap_segments(pairs, o.max_dist, width=width)
-    found = cut.groupBy("chr", "segment").applyInPandas(run, ROWS).filter("start <> end")
+    cut = gap_segments(pairs, o.max_dist, width=width).select("chr", "segment", "position", "density_a", "density_b")
+    found = by_groups(cut, ("chr", "segment"), "position", run, ROWS)
     return found.withColumn("meth_diff", F.col("meth_a") - F.col("meth_b")).withColumn("meth_mean", (F.col("meth_a") + F.col("meth_b")) / 2)
 
 

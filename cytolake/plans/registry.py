@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytolake.functions import gff, scalar
 from cytolake.functions.aggregates import over_rows
 from cytolake.operators import annotation, bins, context, intervals, ordering, pvalues, ranges, replicates, sites, stats
-from cytolake.plans import adapter, dimred, dmr, validate
+from cytolake.plans import adapter, dimred, dmr, trips, validate
 from cytolake.plans.adapter import GENOME, REGIONS, SAMPLES, SITES, STEPS, WIDTH
 
 QUERIES: dict = {}
@@ -76,6 +76,7 @@ for _name, _counts, _density in (("merge_replicates_sum_mean", "sum", "mean"), (
     _c, _d = _SQL_AGG[_counts][0], _SQL_AGG[_density][1]
     _add(_name, lambda spark, d, c=_counts, e=_density: _r(replicates.merged(adapter.samples(spark, d), c, e), "density"), f"SELECT chr, position, strand, context, CAST(trunc({_c}(CAST(count_m AS DOUBLE))) AS BIGINT) AS count_m, CAST(trunc({_c}(CAST(count_total AS DOUBLE))) AS BIGINT) AS count_total, round({_d}(density), 6) AS density FROM samples GROUP BY chr, position, strand, context", SAMPLES)
 _add("merge_replicates_gmean", lambda spark, d: _r(replicates.merged(adapter.samples(spark, d), "sum", "gmean"), "density"), "SELECT chr, position, strand, context, CAST(sum(count_m) AS BIGINT) AS count_m, CAST(sum(count_total) AS BIGINT) AS count_total, round(CASE WHEN min(density) > 0 THEN exp(avg(ln(nullif(density, 0)))) ELSE 0 END, 6) AS density FROM samples GROUP BY chr, position, strand, context", SAMPLES)
+_add("merge_replicates_function", lambda spark, d: _r(replicates.merged(adapter.samples(spark, d), lambda c: F.max(c) - F.min(c), lambda c: F.max(c) - F.min(c)), "density"), "SELECT chr, position, strand, context, CAST(max(count_m) - min(count_m) AS BIGINT) AS count_m, CAST(max(count_total) - min(count_total) AS BIGINT) AS count_total, round(max(density) - min(density), 6) AS density FROM samples GROUP BY 1, 2, 3, 4", SAMPLES)
 _add("missing_per_site", lambda spark, d: replicates.missing(adapter.samples(spark, d), 4), "SELECT chr, position, 4 - count(DISTINCT CASE WHEN density IS NOT NULL THEN sample END) AS n_missing FROM samples GROUP BY chr, position", SAMPLES)
 
 
@@ -110,6 +111,8 @@ def _points(spark, d):
 
 _add("line_plot_bins", lambda spark, d: _r(bins.line_plot(_points(spark, d), 21), "x", "y"), """, binned AS (SELECT len(list_filter(range(0, 21), lambda k: k * (1.0::DOUBLE / 20) <= x)) AS bin, x, y FROM points)
 SELECT CAST(b AS BIGINT) AS bin, count(x) AS n_points, round(coalesce(avg(x), CAST('nan' AS DOUBLE)), 6) AS x, round(coalesce(avg(y), CAST('nan' AS DOUBLE)), 6) AS y FROM range(0, 22) t(b) LEFT JOIN binned ON b = bin GROUP BY b""", SITES, REGIONS, _LINES)
+_add("line_plot_function", lambda spark, d: _r(bins.line_plot(_points(spark, d), 21, lambda c: F.max(c) - F.min(c)), "x", "y").filter("n_points > 0"), """, binned AS (SELECT len(list_filter(range(0, 21), lambda k: k * (1.0::DOUBLE / 20) <= x)) AS bin, x, y FROM points)
+SELECT CAST(bin AS BIGINT) AS bin, count(x) AS n_points, round(avg(x), 6) AS x, round(max(y) - min(y), 6) AS y FROM binned GROUP BY 1""", SITES, REGIONS, _LINES)
 _add("line_point_counts", lambda spark, d: _r(intervals.in_regions(adapter.sites(spark, d), adapter.regions(spark, d)).groupBy("region_id").agg(F.count("*").alias("k")).agg(F.count("*").alias("n_lines"), F.sum("k").alias("n_points"), F.avg("k").alias("mean_points")), "mean_points"), "SELECT count(*) AS n_lines, CAST(sum(k) AS BIGINT) AS n_points, round(avg(k), 6) AS mean_points FROM (SELECT region_id, count(*) AS k FROM sites JOIN regions USING (chr) WHERE position >= start AND position < \"end\" GROUP BY 1)", SITES, REGIONS)
 
 # ---------------------------------------------------------------- batches and order
@@ -159,12 +162,12 @@ UNION ALL SELECT chr, p + 2, false, CASE WHEN a = 'C' THEN false END FROM w WHER
 
 def _context_join(spark, d):
     s = adapter.sites(spark, d)
-    # context rows at every site of chr1 to chr4 and at the place after it
-    grid = s.filter("chr <> 'chr5'").select("chr", F.explode(F.array("position", F.col("position") + 1)).alias("position")).distinct()
+    # context rows behind every site, and at those of the forward strand
+    grid = s.select("chr", F.explode(F.array(F.when(F.col("strand"), F.col("position")), F.col("position") + 1)).alias("position")).filter("position is not null").distinct()
     return context.aligned(s, grid.withColumn("strand", F.col("position") % 2 == 0).withColumn("context", F.when(F.col("position") % 3 > 0, F.col("position") % 3 == 1)))
 
 
-_add("context_join", _context_join, """, grid AS (SELECT DISTINCT chr, position FROM (SELECT chr, position FROM sites UNION ALL SELECT chr, position + 1 FROM sites) WHERE chr <> 'chr5')
+_add("context_join", _context_join, """, grid AS (SELECT DISTINCT chr, position FROM (SELECT chr, position FROM sites WHERE strand UNION ALL SELECT chr, position + 1 FROM sites))
 SELECT g.chr, g.position, g.position % 2 = 0 AS strand, CASE g.position % 3 WHEN 1 THEN true WHEN 2 THEN false END AS context, coalesce(s.count_m, 0) AS count_m, coalesce(s.count_total, 0) AS count_total, coalesce(s.density, CAST('nan' AS DOUBLE)) AS density
 FROM grid g LEFT JOIN sites s ON g.chr = s.chr AND g.position = s.position""", SITES)
 
@@ -191,14 +194,16 @@ _add("from_breakpoints", lambda spark, d: intervals.from_breakpoints(intervals.b
 _add("distance_partition", lambda spark, d: ranges.distance_parts(intervals.breakpoints(adapter.regions(spark, d)).distinct(), 100, width=WIDTH), "SELECT chr, position, CAST(sum(new) OVER (PARTITION BY chr ORDER BY position) AS BIGINT) AS part FROM (SELECT chr, position, CASE WHEN position - lag(position) OVER (PARTITION BY chr ORDER BY position) > 100 THEN 1 ELSE 0 END AS new FROM (SELECT chr, start AS position FROM regions UNION SELECT chr, \"end\" FROM regions))", REGIONS)
 
 
-def _day_bins(spark, d):
-    day = adapter.table(spark, d, "events").select(F.floor(F.unix_timestamp("ts") / 86400).cast("long").alias("day")).distinct()
-    return day.select(F.lit("t").alias("chr"), (F.col("day") * 86400).alias("start"), (F.col("day") * 86400 + 86400).alias("end"))
+def _day_bins(spark: SparkSession, d: str) -> DataFrame:
+    """The days of each event type's events."""
+    day = F.floor(F.unix_timestamp("ts") / 86400).cast("long")
+    days = adapter.table(spark, d, "events").select(F.col("event_type").alias("chr"), day.alias("day")).distinct()
+    return days.select("chr", (F.col("day") * 86400).alias("start"), (F.col("day") * 86400 + 86400).alias("end"))
 
 
-_add("interval_weighted_mean", lambda spark, d: _r(intervals.resampled(adapter.steps(spark, d).filter("sample = 'click'"), _day_bins(spark, d), 1 << 17), "value"), """, b AS (SELECT DISTINCT CAST(floor(floor(epoch(ts)) / 86400) AS BIGINT) * 86400 AS start FROM events)
-SELECT 't' AS chr, b.start, b.start + 86400 AS "end", round(coalesce(sum(value * (least(s."end", b.start + 86400) - greatest(s.start, b.start))) / sum(least(s."end", b.start + 86400) - greatest(s.start, b.start)), CAST('nan' AS DOUBLE)), 6) AS value
-FROM b LEFT JOIN (SELECT * FROM steps WHERE sample = 'click') s ON s.start < b.start + 86400 AND s."end" > b.start GROUP BY b.start""", STEPS)
+_add("interval_weighted_mean", lambda spark, d: _r(intervals.resampled(adapter.steps(spark, d).withColumn("chr", F.col("sample")), _day_bins(spark, d), 1 << 17), "value"), """, b AS (SELECT DISTINCT event_type AS sample, CAST(floor(floor(epoch(ts)) / 86400) AS BIGINT) * 86400 AS start FROM events)
+SELECT b.sample AS chr, b.start, b.start + 86400 AS "end", round(coalesce(sum(value * (least(s."end", b.start + 86400) - greatest(s.start, b.start))) / sum(least(s."end", b.start + 86400) - greatest(s.start, b.start)), CAST('nan' AS DOUBLE)), 6) AS value
+FROM b LEFT JOIN steps s ON s.sample = b.sample AND s.start < b.start + 86400 AND s."end" > b.start GROUP BY b.sample, b.start""", STEPS)
 _add("interval_mean", lambda spark, d: _r(bins.interval_mean(adapter.steps(spark, d).select(F.col("sample").alias("chr"), "start", "end", "value")), "mean"), "SELECT sample AS chr, round(sum(value * (\"end\" - start)) / sum(\"end\" - start), 6) AS mean FROM steps GROUP BY 1", STEPS)
 
 # ---------------------------------------------------------------- order along the chromosome
@@ -237,7 +242,19 @@ def _events(spark, d):
 
 
 _add("mwu_statistic", lambda spark, d: _r(pvalues.mann_whitney(_events(spark, d), "v", F.col("f"), "event_type"), "u", "z"), _MWU, _TESTED)
-_add("mwu_pvalue", lambda spark, d: _r(pvalues.mann_whitney_p(_events(spark, d), "v", F.col("f"), "event_type"), "u", "z", "p"))
+# erf(x) = exp(-x * x) * sum of x ** (2 n + 1) / gamma(n + 3/2)
+_ERFC = "greatest(0, CASE WHEN x = 0 THEN 1 ELSE 1 - exp(-x * x) * list_sum(list_transform(range(0, 300), lambda n: exp((2 * n + 1) * ln(x) - lgamma(n + 1.5)))) END)"
+_add("mwu_pvalue", lambda spark, d: _r(pvalues.mann_whitney_p(_events(spark, d), "v", F.col("f"), "event_type"), "u", "z", "p"), _MWU.replace("SELECT event_type, n1, n2, round(u, 6) AS u,", ", z AS (SELECT event_type, n1, n2, round(u, 6) AS u, (u - n1 * n2 / 2.0 + 0.5) / sqrt(var) AS raw,") + f") SELECT event_type, n1, n2, u, z, round({_ERFC}, 6) AS p FROM (SELECT *, abs(raw) / sqrt(2) AS x FROM z)", _TESTED)
+# values 8e-7 apart: the third is tied with the second only where there is no first
+_NEAR = """raw AS (SELECT event_type, user_id // 5 % 2 = 0 AS f, round(value, 1) AS base, user_id % 3 AS k FROM events WHERE value IS NOT NULL
+), tested AS (SELECT event_type, f, base + CASE WHEN k = 2 AND min(k) OVER (PARTITION BY event_type, base) <> 1 THEN 0.001 ELSE 0 END AS v FROM raw)"""
+_add("mwu_near_ties", lambda spark, d: _r(pvalues.mann_whitney(_near_events(spark, d), "v", F.col("f"), "event_type"), "u", "z"), _MWU, _NEAR)
+
+
+def _near_events(spark, d):
+    return adapter.table(spark, d, "events").select("event_type", (F.floor(F.col("user_id") / 5) % 2 == 0).alias("f"), (F.round("value", 1) + (F.col("user_id") % 3) * F.lit(8e-7)).alias("v"))
+
+
 _P = "p AS (SELECT o_orderkey AS k, (o_orderkey * 7919 % 99991 + 1) / 100000.0::DOUBLE AS p_value FROM orders)"
 
 
@@ -297,6 +314,9 @@ _add("flanks", lambda spark, d: annotation.flanks(_gff(spark, d), 100, F.col("fe
 _add("regex_entries", lambda spark, d: annotation.matching(_gff(spark, d), "^n1\\d$").select("id"), "SELECT 'n' || n_nationkey AS id FROM nation WHERE n_nationkey BETWEEN 10 AND 19")
 _add("feature_types", lambda spark, d: annotation.by_type(_gff(spark, d)), "SELECT feature_type, list(id ORDER BY id) AS ids FROM (SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'gene' ELSE 'exon' END AS feature_type, 'n' || n_nationkey AS id FROM nation UNION ALL SELECT 'region', 'r' || r_regionkey FROM region) GROUP BY 1")
 
+_add("file_gff", lambda spark, d: trips.gff(spark, d, _gff(spark, d)), "SELECT 'n' || n_nationkey AS id, 'chr1' AS chr, CASE WHEN n_nationkey % 2 = 0 THEN 'gene' ELSE 'exon' END AS feature_type, (n_nationkey * 1000)::BIGINT AS start, (n_nationkey * 1000 + 300)::BIGINT AS \"end\", true AS strand, n_name AS name FROM nation UNION ALL SELECT 'r' || r_regionkey, 'chr1', 'region', 0, 100000, false, NULL FROM region")
+trips.register(_add)
+
 # ---------------------------------------------------------------- algorithms and pipelines
 _O = dmr.Options(context="CG", n_missing=2, min_coverage=0, min_cytosines=3, padj=1.0, diff_threshold=0.05)
 
@@ -305,12 +325,20 @@ def _dmr(spark, d):
     return dmr.regions(adapter.samples(spark, d), F.col("sample") < 2, F.col("sample") >= 2, 2, 2, _O, WIDTH)
 
 
-_on_sites("pelt_segments", lambda s: _r(dimred.change_points(s, chunk=2_000, overlap=200, width=WIDTH), "density"))
+_on_sites("pelt_segments", lambda s: _r(dimred.change_points(s, width=WIDTH), "density"))
 _add("dmr_segments", lambda spark, d: _r(_dmr(spark, d), "p_value", "meth_a", "meth_b", "meth_diff", "meth_mean"))
 _add("dmr_filtered", lambda spark, d: _r(dmr.filtered(_dmr(spark, d), _O), "p_value", "padj", "meth_a", "meth_b", "meth_diff", "meth_mean"))
-_add("dimred_shrink", lambda spark, d: _r(dimred.shrink(adapter.samples(spark, d), coverage=5, chunk=2_000, overlap=200, width=WIDTH), "value"))
-_add("dimred_merge_full", lambda spark, d: _r(dimred.merge(adapter.steps(spark, d), width=1 << 20), "value"))
-_add("dimred_merge_dbscan", lambda spark, d: dimred.merged_breakpoints(adapter.steps(spark, d), dimred.MergeType("dbscan", 600.0, 2, 3600, "mean"), 1 << 20))
+_add("dimred_shrink", lambda spark, d: _r(dimred.shrink(adapter.samples(spark, d), coverage=5, width=WIDTH), "value"))
+_on_sites("shrunken_batches", lambda s: _r(bins.shrunken(dimred.segmented(s, width=WIDTH)), "value"))
+_PARTS = """), b AS (SELECT * FROM (SELECT lag(p) OVER (ORDER BY p) AS start, p AS "end" FROM p) WHERE start IS NOT NULL
+), n AS (SELECT DISTINCT sample FROM steps)
+SELECT n.sample, 't' AS chr, b.start, b."end", round(coalesce(sum(value * (least(s."end", b."end") - greatest(s.start, b.start))) / sum(least(s."end", b."end") - greatest(s.start, b.start)), CAST('nan' AS DOUBLE)), 6) AS value
+FROM n CROSS JOIN b LEFT JOIN steps s ON s.sample = n.sample AND s.start < b."end" AND s."end" > b.start GROUP BY n.sample, b.start, b."end\""""
+_add("dimred_merge_full", lambda spark, d: _r(dimred.merge(adapter.steps(spark, d), width=1 << 20), "value"), ", p AS (SELECT start AS p FROM steps UNION SELECT \"end\" FROM steps" + _PARTS, STEPS)
+_add("dimred_merge_dbscan", lambda spark, d: _r(dimred.merge(adapter.steps(spark, d), dimred.MergeType("dbscan", 600.0, 2, 3600, "mean"), 1 << 20), "value"), """, one AS (SELECT p, count(*) AS n FROM (SELECT start AS p FROM steps UNION ALL SELECT "end" FROM steps) GROUP BY p
+), near AS (SELECT *, sum(n) OVER (ORDER BY p RANGE BETWEEN 599 PRECEDING AND 599 FOLLOWING) AS m FROM one
+), cores AS (SELECT *, sum(new) OVER (ORDER BY p) AS g FROM (SELECT *, CASE WHEN p - lag(p) OVER (ORDER BY p) >= 600 THEN 1 ELSE 0 END AS new FROM near WHERE m >= 2)
+), p AS (SELECT DISTINCT CAST(round(sum(p * n)::DOUBLE / sum(n)) AS BIGINT) AS p FROM cores GROUP BY g""" + _PARTS, STEPS)
 _add("stitched_points", lambda spark, d: _r(dimred.stitched(adapter.steps(spark, d).select("chr", F.col("end").alias("position"), F.col("value").alias("density")), 60, 1 << 20), "density"), """, one AS (SELECT "end" AS p, sum(value) AS v, count(*) AS n FROM steps GROUP BY 1), g AS (SELECT *, sum(new) OVER (ORDER BY p) AS part FROM (SELECT *, CASE WHEN p - lag(p) OVER (ORDER BY p) > 60 THEN 1 ELSE 0 END AS new FROM one))
 SELECT 't' AS chr, max(p) AS position, round(sum(v) / sum(n), 6) AS density FROM g GROUP BY part""", STEPS)
 _add("dimred_summary", lambda spark, d: _r(dimred.summary(adapter.sites(spark, d), intervals.breakpoints(adapter.regions(spark, d)).distinct()), "ratio"), "SELECT cytosines, changepoints, round(100.0::DOUBLE * changepoints / cytosines, 6) AS ratio FROM (SELECT (SELECT count(*) FROM sites) AS cytosines, (SELECT count(*) FROM (SELECT chr, start FROM regions UNION SELECT chr, \"end\" FROM regions)) AS changepoints)", SITES, REGIONS)

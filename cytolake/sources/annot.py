@@ -38,7 +38,8 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("chr", "start", "end", F.when(fine, value).otherwise(F.raise_error(F.concat(F.lit("segment without a positive score: "), F.coalesce("score", F.lit("none")))).cast("double")).alias("value"))
 
 
-def write_intervals(intervals: DataFrame, path: str) -> None:
-    """BED rows by chromosome and start, the value as score."""
-    rows = intervals.orderBy("chr", "start").select("chr", "start", "end", F.lit(".").alias("name"), "value")
-    rows.write.mode("overwrite").option("sep", "\t").csv(path)
+def write_intervals(intervals: DataFrame, path: str, by: str | None = None) -> None:
+    """BED rows by chromosome and start, the value as score; with by, a folder for each value of that column."""
+    rows = intervals.orderBy(*([by] if by else []), "chr", "start").select("chr", "start", "end", F.lit(".").alias("name"), "value", *([by] if by else []))
+    w = rows.write.mode("overwrite").option("sep", "\t")
+    (w.partitionBy(by) if by else w).csv(path)

@@ -1,4 +1,4 @@
-"""A Spark data source for Arrow IPC files of sites: a record batch is a partition.
+"""A Spark data source for Arrow IPC files of sites.
 
     spark.dataSource.register(ArrowIPC)
     spark.read.format("arrow_ipc").load(path)
@@ -7,17 +7,22 @@
 Where spark.sql.python.filterPushdown.enabled is true, option("pushdown", "true") takes comparisons of chr and position
 into the reader.
 
-Files are opened by path on driver and workers: the folder is one that all of them see."""
+Paths and URIs go through pyarrow's file systems (local, hdfs://, s3://, gs://), on the driver and in tasks. The driver
+only lists files; a partition is a stripe of a file's record batches, a stripe for each STRIPE bytes.
+
+A write puts hidden files beside the others and names them at commit; overwrite deletes the old files then, so a write
+that fails leaves them as they were."""
 
 from __future__ import annotations
 
-import glob
-import os
+import posixpath
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fnmatch import fnmatch
 
 import pyarrow as pa
+import pyarrow.fs
 import pyarrow.ipc
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceArrowWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -25,19 +30,42 @@ from pyspark.sql.types import StructType
 from cytolake.schema import SITE
 
 ARROW = pa.schema([("chr", pa.string()), ("position", pa.int64()), ("strand", pa.bool_()), ("context", pa.bool_()), ("count_m", pa.int64()), ("count_total", pa.int64()), ("density", pa.float64())])
+#: Bytes of a file that one partition reads, about.
+STRIPE = 64 << 20
+
+
+def located(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if "://" in path or path.startswith("file:"):
+        return pa.fs.FileSystem.from_uri(path if "://" in path else f"file://{path[5:]}")
+    return pa.fs.LocalFileSystem(), path
 
 
-def files(path: str) -> list[str]:
-    found = sorted(glob.glob(os.path.join(path, "*.arrow"))) if os.path.isdir(path) else sorted(glob.glob(path))
+def files(path: str) -> list[pa.fs.FileInfo]:
+    """The Arrow files of a folder, a file, or those whose name matches a glob in the last part of the path."""
+    fs, p = located(path)
+    kind = fs.get_file_info(p).type
+    if kind == pa.fs.FileType.File:
+        return [fs.get_file_info(p)]
+    folder, pattern = (p, "*.arrow") if kind == pa.fs.FileType.Directory else posixpath.split(p)
+    found = [x for x in fs.get_file_info(pa.fs.FileSelector(folder, allow_not_found=True)) if x.type == pa.fs.FileType.File and fnmatch(x.base_name, pattern) and not x.base_name.startswith(".")]
     if not found:
         raise FileNotFoundError(path)
-    return found
+    return sorted(found, key=lambda x: x.path)
 
 
 @dataclass
-class Batch(InputPartition):
+class Stripe(InputPartition):
+    """Record batches number, number + of, number + 2 of, ... of a file."""
+
     path: str
     number: int
+    of: int
+
+
+def as_sites(b: pa.RecordBatch) -> pa.RecordBatch:
+    """The columns of sites; dictionaries and narrower types are widened."""
+    return pa.RecordBatch.from_arrays([b.column(n).cast(ARROW.field(n).type) for n in ARROW.names], schema=ARROW)
 
 
 class Reader(DataSourceReader):
@@ -46,21 +74,23 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         out = []
-        for p in files(self.path):
-            with pa.memory_map(p) as f:
-                out += [Batch(p, k) for k in range(pa.ipc.open_file(f).num_record_batches)]
+        for f in files(self.path):
+            of = max(1, -(-f.size // STRIPE))
+            out += [Stripe(f.path, k, of) for k in range(of)]
         return out
 
-    def read(self, partition: Batch) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Stripe) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
         ops = {"==": pc.equal, ">": pc.greater, ">=": pc.greater_equal, "<": pc.less, "<=": pc.less_equal}
-        with pa.memory_map(partition.path) as f:
-            b = pa.ipc.open_file(f).get_batch(partition.number)
-            b = pa.RecordBatch.from_arrays([b.column(n).cast(ARROW.field(n).type) for n in ARROW.names], schema=ARROW)
-            for name, op, value in self.tests:
-                b = b.filter(ops[op](b.column(name), value))
-            yield b
+        fs, _ = located(self.path)
+        with fs.open_input_file(partition.path) as f:
+            source = pa.ipc.open_file(f)
+            for k in range(partition.number, source.num_record_batches, partition.of):
+                b = as_sites(source.get_batch(k))
+                for name, op, value in self.tests:
+                    b = b.filter(ops[op](b.column(name), value))
+                yield b
 
 
 class FilteringReader(Reader):
@@ -80,25 +110,31 @@ class Written(WriterCommitMessage):
 
 
 class Writer(DataSourceArrowWriter):
-    def __init__(self, folder: str, codec: str | None):
-        self.folder, self.codec = folder, codec
+    def __init__(self, folder: str, codec: str | None, overwrite: bool):
+        self.folder, self.codec, self.overwrite = folder, codec, overwrite
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
-        os.makedirs(self.folder, exist_ok=True)
-        path = os.path.join(self.folder, f".{uuid.uuid4().hex}.part")
-        with pa.OSFile(path, "wb") as f, pa.ipc.new_file(f, ARROW, options=pa.ipc.IpcWriteOptions(compression=self.codec)) as w:
+        fs, folder = located(self.folder)
+        fs.create_dir(folder)
+        path = posixpath.join(folder, f".{uuid.uuid4().hex}.part")
+        with fs.open_output_stream(path, compression=None) as f, pa.ipc.new_file(f, ARROW, options=pa.ipc.IpcWriteOptions(compression=self.codec)) as w:
             for b in batches:
-                w.write_batch(pa.RecordBatch.from_arrays([b.column(n).cast(ARROW.field(n).type) for n in ARROW.names], schema=ARROW))
+                w.write_batch(as_sites(b))
         return Written(path)
 
     def commit(self, messages) -> None:
+        fs, folder = located(self.folder)
+        old = [x.path for x in fs.get_file_info(pa.fs.FileSelector(folder, allow_not_found=True)) if x.base_name.endswith(".arrow")] if self.overwrite else []
         for k, m in enumerate(m for m in messages if m):
-            os.replace(m.path, os.path.join(self.folder, f"part-{uuid.uuid4().hex[:8]}-{k:05d}.arrow"))
+            fs.move(m.path, posixpath.join(folder, f"part-{uuid.uuid4().hex[:8]}-{k:05d}.arrow"))
+        for path in old:
+            fs.delete_file(path)
 
     def abort(self, messages) -> None:
+        fs, _ = located(self.folder)
         for m in messages:
-            if m and os.path.exists(m.path):
-                os.remove(m.path)
+            if m and fs.get_file_info(m.path).type == pa.fs.FileType.File:
+                fs.delete_file(m.path)
 
 
 class ArrowIPC(DataSource):
@@ -116,7 +152,4 @@ class ArrowIPC(DataSource):
         codec = self.options.get("compression", "none")
         if codec not in ("none", "lz4", "zstd"):
             raise ValueError(f"unknown compression {codec!r}")
-        if overwrite and os.path.isdir(self.options["path"]):
-            for p in glob.glob(os.path.join(self.options["path"], "*.arrow")):
-                os.remove(p)
-        return Writer(self.options["path"], None if codec == "none" else codec)
+        return Writer(self.options["path"], None if codec == "none" else codec, overwrite)

@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from cytolake.config import compression, report_type
@@ -15,9 +15,8 @@ from cytolake.operators.context import aligned
 from cytolake.operators.sites import FROM_REPORT, TO_REPORT, cast
 from cytolake.schema import ReportType
 
-#: What Spark's text readers open by the file's ending; the rest is unpacked by Python, a file to a task.
-NATIVE_ENDINGS = (".gz", ".bz2", ".zst")
-OWN_ENDINGS = (".xz", ".lzma", ".zip", ".lz4")
+# Spark's text readers open plain files, .gz, .bz2 and .zst. Where a path holds .xz, .lzma, .zip or .lz4 files, all of
+# its files are unpacked by Python, a file to a task.
 
 
 def _lines_of(path: str, raw: bytes) -> Iterator[str]:
@@ -27,11 +26,28 @@ def _lines_of(path: str, raw: bytes) -> Iterator[str]:
     elif path.endswith(".lz4"):
         with pa.CompressedInputStream(pa.BufferReader(raw), "lz4") as f:
             yield from io.TextIOWrapper(io.BufferedReader(_Raw(f)), "utf-8")
-    else:
+    elif path.endswith((".xz", ".lzma")):
         import lzma
 
         with lzma.open(io.BytesIO(raw), "rt", encoding="utf-8") as f:
             yield from f
+    elif path.endswith(".gz"):
+        import gzip
+
+        with gzip.open(io.BytesIO(raw), "rt", encoding="utf-8") as f:
+            yield from f
+    elif path.endswith(".bz2"):
+        import bz2
+
+        with bz2.open(io.BytesIO(raw), "rt", encoding="utf-8") as f:
+            yield from f
+    elif path.endswith(".zst"):
+        import zstandard
+
+        with zstandard.ZstdDecompressor().stream_reader(raw) as f:
+            yield from io.TextIOWrapper(f, "utf-8")
+    else:
+        yield from io.TextIOWrapper(io.BytesIO(raw), "utf-8")
 
 
 class _Raw(io.RawIOBase):
@@ -49,9 +65,15 @@ class _Raw(io.RawIOBase):
         return len(got)
 
 
+def own_files(spark: SparkSession, path: str) -> bool:
+    """Does the path (a file, folder or glob) hold files that Spark's text reader cannot unpack? Only names are read."""
+    names = spark.read.format("binaryFile").load(path).select("path")
+    return not names.filter(F.col("path").rlike(r"\.(xz|lzma|zip|lz4)$")).isEmpty()
+
+
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value) of every line of text files, compressed or not. Globs are Spark's."""
-    if not path.endswith(OWN_ENDINGS):
+    """(value) of every line of text files, compressed or not, each by the ending of its own name. Globs are Spark's."""
+    if not own_files(spark, path):
         return spark.read.text(path)
 
     def lines(batches):
@@ -71,7 +93,7 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_rows(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """The rows of a report with the format's own columns; no quoting. The header line of a BedGraph is left out."""
     r = report_type(kind)
-    if not path.endswith(OWN_ENDINGS) and not r.skip:
+    if not r.skip and not own_files(spark, path):
         return spark.read.schema(r.schema).option("sep", "\t").option("quote", "").option("mode", "FAILFAST").csv(path)
     lines = text_lines(spark, path)
     if r.skip:
@@ -99,14 +121,24 @@ def report_rows(sites: DataFrame, kind: str) -> DataFrame:
     return rows
 
 
-def write_report(sites: DataFrame, path: str, kind: str, codec: str | None = None) -> None:
+def _leveled(w: DataFrameWriter, codec: str, level: int) -> DataFrameWriter:
+    """A writer with codec and level; of Spark's codecs, gzip has levels."""
+    names = ["NO_COMPRESSION", "BEST_SPEED", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "BEST_COMPRESSION"]
+    if codec == "gzip":
+        w = w.option("zlib.compress.level", names[level])
+    return w.option("compression", codec) if codec else w
+
+
+def write_report(sites: DataFrame, path: str, kind: str, codec: str | None = None, level: int = 1) -> None:
     """A folder of tab-separated files without header, in order of chromosome and position. BedGraph files start with
-    a track line. Codecs that Spark's writer lacks (zstd, xz, zip) are written by tasks of Python, a file each."""
+    a track line. Codecs that Spark's writer lacks (zstd, xz, zip) are written by tasks of Python, a file each.
+    level (0 to 9, zstd from 1) is of gzip, zstd, xz and zip."""
+    if not 0 <= level <= 9:
+        raise ValueError("levels go from 0 to 9")
     r, found = report_type(kind), compression(codec)
     rows = report_rows(sites, kind).orderBy("chr", r.position)
     if found in ("", "gzip", "bzip2", "lz4") and not r.skip:
-        w = rows.write.mode("overwrite").option("sep", "\t").option("quote", "").option("emptyValue", "")
-        (w.option("compression", found) if found else w).csv(path)
+        _leveled(rows.write.mode("overwrite").option("sep", "\t").option("quote", "").option("emptyValue", ""), found, level).csv(path)
         return
     line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in r.columns])
     lines = rows.select(line.alias("value"))
@@ -119,13 +151,12 @@ def write_report(sites: DataFrame, path: str, kind: str, codec: str | None = Non
 
         lines = lines.mapInArrow(headed, "value string")
     if found in ("", "gzip", "bzip2", "lz4"):
-        w = lines.write.mode("overwrite")
-        (w.option("compression", found) if found else w).text(path)
+        _leveled(lines.write.mode("overwrite"), found, level).text(path)
         return
-    _write_packed(lines, path, found)
+    _write_packed(lines, path, found, level)
 
 
-def _write_packed(lines: DataFrame, path: str, codec: str) -> None:
+def _write_packed(lines: DataFrame, path: str, codec: str, level: int) -> None:
     """Each task packs its lines; Spark's own writer stores the bytes, so any file system and commit protocol serves.
 
     The result is a Parquet folder of (name, content); unpack() lays the files out on a local disk."""
@@ -133,22 +164,28 @@ def _write_packed(lines: DataFrame, path: str, codec: str) -> None:
     def pack(batches):
         from pyspark import TaskContext
 
-        raw = "".join(f"{v}\n" for b in batches for v in b.column("value").to_pylist()).encode()
         name = f"part-{TaskContext.get().partitionId():05d}.tsv"
+        # a batch of lines at a time goes through the compressor; only the compressed file is held
+        parts = ("".join(f"{v}\n" for v in b.column("value").to_pylist()).encode() for b in batches)
+        out = io.BytesIO()
         if codec == "xz":
             import lzma
 
-            name, content = f"{name}.xz", lzma.compress(raw)
+            with lzma.open(out, "wb", preset=level) as f:
+                f.writelines(parts)
         elif codec == "zip":
-            out = io.BytesIO()
-            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                z.writestr(name, raw)
-            name, content = f"{name}.zip", out.getvalue()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=level) as z, z.open(name, "w") as f:
+                for part in parts:
+                    f.write(part)
         else:
             import zstandard
 
-            name, content = f"{name}.zst", zstandard.ZstdCompressor(level=1).compress(raw)
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary())], names=["name", "content"])
+            packer = zstandard.ZstdCompressor(level=max(1, level)).compressobj()
+            for part in parts:
+                out.write(packer.compress(part))
+            out.write(packer.flush())
+        ending = {"xz": "xz", "zip": "zip"}.get(codec, "zst")
+        yield pa.RecordBatch.from_arrays([pa.array([f"{name}.{ending}"]), pa.array([out.getvalue()], pa.binary())], names=["name", "content"])
 
     lines.mapInArrow(pack, "name string, content binary").write.mode("overwrite").parquet(path)
 

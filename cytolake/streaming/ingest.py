@@ -17,9 +17,10 @@ def stream_sites(spark: SparkSession, folder: str, kind: str, files_per_trigger:
     return cast(FROM_REPORT[r.name](rows.filter(F.col(r.position).isNotNull()) if r.skip else rows))
 
 
-def append(spark: SparkSession, folder: str, kind: str, store: str, checkpoint: str) -> StreamingQuery:
-    """Run over what is there, then stop; the file sink's log makes a rerun after a failure harmless."""
-    sites = stream_sites(spark, folder, kind)
+def append(spark: SparkSession, folder: str, kind: str, store: str, checkpoint: str, batch_width: int = 1_000_000) -> StreamingQuery:
+    """Run over what is there, then stop; the file sink's log makes a rerun after a failure harmless. A stream cannot
+    count the rows before one, so a store's batches are ranges of batch_width positions."""
+    sites = stream_sites(spark, folder, kind).withColumn("batch", F.floor(F.col("position") / batch_width).cast("long"))
     return sites.writeStream.format("parquet").partitionBy("chr").option("path", store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
