@@ -1,28 +1,32 @@
-"""LM scoring with an interpolated modified Kneser-Ney bigram model.
+"""LM scoring with an interpolated modified Kneser-Ney model of order three.
 
 Documents are held in blocks: word codes by falling frequency, and the hashes of the block's words. A block sends each
-of its distinct bigrams once, as a hash, to the hash's shard. A shard's part of the model is a sorted array of hashes
-beside an array of counts; the worker writes both to a file of its own, maps it into memory, and looks up the bigrams
-of every block there. Blocks get back the corpus count of each of their bigrams, and a mark on those that they own (one
-block owns each bigram of the training text). From the owned ones they derive what smoothing needs of a word: how many
-bigrams it starts that were seen once, twice or more often, and how many it ends. These travel by word, are summed, and
-return to the blocks, which score their documents.
-
-A bigram is known by 63 bits of a hash, whatever the number of shards: among 10**9 types, 0.05 pairs are expected to
-share one, and one lookup in 10**10 of an unseen bigram to find another's count. Words have 64 bits. No bigram counts
-more often than either of its words.
-
-p(w | v) = max(c(vw) - D(c(vw)), 0) / c(v) + (D1 N1(v) + D2 N2(v) + D3 N3(v)) / c(v) * p(w)
-p(w)     = max(N(w) - E(N(w)), 0) / N + (E1 M1 + E2 M2 + E3 M3) / N / (V + 1)
-
-with N(w) the number of distinct words before w, N their sum, and discounts D and E from the counts of counts. Each
-text starts after a mark that is no token itself. The last term leaves room for unknown words.
+of its distinct triples of tokens once, as a hash, to the hash's shard, with how often it occurs in training. A shard's
+part of the model is a sorted array of hashes beside arrays of counts; the worker writes them to a file of its own, maps
+it into memory, and looks up the triples of every block there. Blocks get back the corpus count of each of their
+triples, and a mark on those that they own (one block owns each triple of the training text). From the owned ones they
+derive what smoothing needs of pairs: how many triples a pair begins that were seen once, twice or more often, and how
+many it ends. These travel by pair in the same way, are summed and looked up; and what the owned pairs tell of words
+travels by word. Then blocks score their documents. So counting and scoring share each exchange, the model is never in
+one place, and its shards grow in number with the texts.
+
+Triples, pairs and words are known by 63 bits of a hash, whatever the number of shards: among 10**9 types, 0.05 pairs
+are expected to share one, and one lookup in 10**10 of an unseen one to find another's count.
+
+p(w | u v) = max(c(uvw) - D(c(uvw)), 0) / c(uv) + (D1 N1(uv) + D2 N2(uv) + D3 N3(uv)) / c(uv) * p(w | v)
+p(w | v)   = max(a(vw) - E(a(vw)), 0) / a(v) + (E1 N1(v) + E2 N2(v) + E3 N3(v)) / a(v) * p(w)
+p(w)       = max(N(w) - F(N(w)), 0) / N + (F1 M1 + F2 M2 + F3 M3) / N / (V + 1)
+
+with a(vw) the number of distinct tokens before vw (where v is the mark before a text: how often vw occurs), a(v) their
+sum, N(w) the number of distinct tokens before w, N their sum, and discounts D, E and F from the counts of counts. Each
+text starts after a mark that is no token itself; its first token is scored by p(w | v). The last term leaves room for
+unknown words.
 """
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cytolake.llm._anchors import NO_ID, ids_of
-from cytolake.llm._common import U64, lowered, mix, packed, packed_bytes, shard_of, stored, stretches, texts_of, unpacked, unpacked_bytes, word_hashes
+from cytolake.llm._common import U64, dealt, lowered, mix, packed, packed_bytes, shard_of, shards_for, stored, stretches, texts_of, unpacked, unpacked_bytes, word_hashes
 
 BLOCK_BYTES = 10 << 20
 END, START = U64(0xE0D), U64(0x57A27)  # hashes of the end token and of the mark before a text
@@ -39,58 +43,70 @@ _BLOCK_DDL = "block long, ids binary, train binary, sizes binary, codes binary,
 
 
 class Block:
-    """The documents of a block, and their bigrams in order of their hashes, which is that of shards too."""
+    """The documents of a block, and their pairs and triples of tokens by hashes of 63 bits, in whose order shards are.
+
+    Each text starts after a mark. A token has a pair with what is before it; all but a text's first have a triple."""
 
     def __init__(self, row: dict, n_shards: int):
         self.ids, self.train = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["train"], bool)
         self.sizes, self.codes = unpacked(row["sizes"]), unpacked(unpacked_bytes(row["codes"]))
         self.words = np.r_[np.frombuffer(row["words"], U64), START]
         self.in_training = np.repeat(self.train, self.sizes)
+        self.first = np.zeros(len(self.codes), bool)  # of its text
+        self.first[np.cumsum(self.sizes) - self.sizes] = True
         self.before = np.r_[0, self.codes[:-1]]
-        self.before[np.cumsum(self.sizes) - self.sizes] = len(self.words) - 1
+        self.before[self.first] = len(self.words) - 1
         self.n_shards = n_shards
-        self.tags = mix(self.words[self.before] * U64(0x9E3779B97F4A7C15) + self.words[self.codes]) >> U64(1)
+        self.pairs = mix(self.words[self.before] * U64(0x9E3779B97F4A7C15) + self.words[self.codes])
+
+    def grams(self, order: int) -> Grams:
+        """Pairs (2), or triples (3), which are of the tokens that are not the first of their text."""
+        if order == 2:
+            return Grams(self.pairs >> U64(1), np.arange(len(self.codes)), self.n_shards)
+        token = np.flatnonzero(~self.first)
+        return Grams(mix(self.pairs[token - 1] * U64(0xD6E8FEB86659FD93) + self.words[self.codes[token]]) >> U64(1), token, self.n_shards)
 
-    def bigrams(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct tags and how often each occurs in training documents."""
-        both = np.sort(self.tags << U64(1) | self.in_training.astype(U64))
-        tags = both >> U64(1)
-        heads = np.flatnonzero(np.r_[True, tags[1:] != tags[:-1]])
-        return tags[heads], np.add.reduceat((both & U64(1)).astype(np.int64), heads)
 
-    def shards(self, tags: np.ndarray) -> np.ndarray:
-        return shard_of(tags << U64(1), self.n_shards)
+class Grams:
+    """The distinct tags of tokens in ascending order: tags; of each its number of tokens, and one of them."""
 
-    def places(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each distinct tag one token that has it; for each token its tag's place."""
-        order = np.argsort(self.tags, kind="stable")
-        new = np.r_[True, self.tags[order][1:] != self.tags[order][:-1]]
-        place = np.empty(len(order), np.int64)
-        place[order] = np.cumsum(new) - 1
-        return order[new], place
+    def __init__(self, tags: np.ndarray, token: np.ndarray, n_shards: int):
+        order = np.argsort(tags, kind="stable")
+        ordered = tags[order]
+        heads = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(tags) else order
+        self.tags, self.token = ordered[heads], token[order[heads]]
+        self.place = np.empty(len(order), np.int64)  # of each token's tag
+        self.place[order] = np.repeat(np.arange(len(heads)), np.diff(heads, append=len(order)))
+        self.shard = shard_of(self.tags << U64(1), n_shards)
+
+    def counted(self, which: np.ndarray) -> np.ndarray:
+        """How many of the chosen tokens have each tag."""
+        return np.bincount(self.place[which], minlength=len(self.tags))
 
 
 class MappedArrays:
-    """A sorted array of hashes and one of counts, in a file without a name that is mapped into memory."""
+    """A sorted array of hashes and arrays of their counts, in a file without a name that is mapped into memory."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        self.n = len(keys)
+    def __init__(self, keys: np.ndarray, counts: list[np.ndarray]):
+        self.n, width = len(keys), len(counts)
         if not self.n:
-            self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+            self.keys, self.sums = np.zeros(0, np.int64), np.zeros((width, 0), np.uint32)
             return
         with tempfile.TemporaryFile() as f:  # goes with the last handle, also when the worker is killed
             keys.astype(np.int64).tofile(f)
-            np.minimum(counts, 2**32 - 1).astype(np.uint32).tofile(f)
+            for c in counts:
+                np.minimum(c, 2**32 - 1).astype(np.uint32).tofile(f)
             f.flush()
-            both = np.memmap(f, np.uint32, "r", shape=(3 * self.n,))
-        self.keys, self.counts = both[: 2 * self.n].view(np.int64), both[2 * self.n :]
+            both = np.memmap(f, np.uint32, "r", shape=((2 + width) * self.n,))
+        self.keys, self.sums = both[: 2 * self.n].view(np.int64), both[2 * self.n :].reshape(width, self.n)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, count) of each key; count 0 where there is none."""
+        """The place of each key (0 where there is none), and its counts (0 where there is none), a row for each array."""
         if not self.n:
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+            return np.zeros(len(keys), np.int64), np.zeros((len(self.sums), len(keys)), np.int64)
         at = np.minimum(np.searchsorted(self.keys, keys), self.n - 1)
-        return at, np.where(self.keys[at] == keys, self.counts[at], 0).astype(np.int64)
+        hit = self.keys[at] == keys
+        return np.where(hit, at, 0), np.where(hit, self.sums[:, at], 0).astype(np.int64)
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -103,15 +119,74 @@ def discounts(n: list[int]) -> np.ndarray:
     return out
 
 
+def packed_sorted(values: np.ndarray) -> bytes:
+    """Ascending numbers as their differences."""
+    return packed(np.diff(values.astype(np.int64), prepend=0))
+
+
+def unpacked_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(raw))
+
+
+_PART = ["shard", "block", "keys", "values"]
+_PART_DDL = "shard int, block long, keys binary, values binary"
+_ANSWER_DDL = "block long, shard int, totals binary, own binary"
+
+
+def _sent(block: int, grams: Grams, columns: list[np.ndarray]) -> pa.Table:
+    """A row for each shard: the tags of a block that it serves, and columns of numbers."""
+    rows = [(int(grams.shard[lo]), block, packed_sorted(grams.tags[lo:hi]), packed_bytes(packed(np.concatenate([c[lo:hi] for c in columns])))) for lo, hi in stretches(grams.shard)]
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(_PART, zip(*rows, strict=True) if rows else ((), (), (), ()), kinds, strict=True)})
+
+
+def _joined(answers: pa.Table, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """What the shards answered to a block, in order of its tags: columns of totals, and which tags it owns."""
+    totals, own = [np.zeros((columns, 0), np.int64)], [np.zeros(0, bool)]
+    for r in sorted(answers.select(["shard", "totals", "own"]).to_pylist(), key=lambda r: r["shard"]):
+        totals.append(unpacked(unpacked_bytes(r["totals"])).reshape(columns, -1))
+        own.append(np.unpackbits(np.frombuffer(r["own"], np.uint8), count=totals[-1].shape[1]).astype(bool))
+    return np.concatenate(totals, axis=1), np.concatenate(own)
+
+
+def _added(rows: pa.Table, columns: int, seen: int, of: int, extra: Callable[[np.ndarray, np.ndarray], dict]) -> pa.Table:
+    """A shard's part of the model: all blocks' tags as one sorted array, mapped from a file, with the sums of their
+    columns. Each block gets back the sums of its tags, and owns those that it is the first to have in column seen.
+    extra makes numbers of (tags, sums) for the row of block -1, beside n1 to n4, the tags whose column ``of`` is 1 to 4."""
+    rows = rows.sort_by("block")
+    keys = [unpacked_sorted(x) for x in rows.column("keys").to_pylist()]
+    values = [unpacked(unpacked_bytes(x)).reshape(columns, -1) for x in rows.column("values").to_pylist()]
+    every = np.concatenate(keys)
+    known = np.concatenate([v[seen] for v in values]) > 0
+    order = np.flatnonzero(known)[np.argsort(every[known], kind="stable")]
+    every = every[order]
+    heads = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else order
+    sums = [np.add.reduceat(np.concatenate([v[c] for v in values])[order], heads) if len(heads) else np.zeros(0, np.int64) for c in range(columns)]
+    model = MappedArrays(every[heads], sums)
+    del every, order, sums
+    owned = np.zeros(model.n, bool)
+    totals, own = [], []
+    for k, v in zip(keys, values, strict=True):
+        at, found = model.find(k)
+        mine = (v[seen] > 0) & ~owned[at] if model.n else np.zeros(len(k), bool)
+        owned[at[mine]] = True
+        totals.append(packed_bytes(packed(found.ravel())))
+        own.append(np.packbits(mine).tobytes())
+    times = np.bincount(np.minimum(model.sums[of], 5), minlength=6) if model.n else np.zeros(6, int)
+    stat = {f"n{c}": int(times[c]) for c in (1, 2, 3, 4)} | {k: int(v) for k, v in extra(model.keys, model.sums).items()}
+    n = len(keys)
+    return pa.table({"block": pa.array([*rows.column("block").to_pylist(), -1], pa.int64()), "shard": pa.array([rows.column("shard")[0].as_py()] * (n + 1), pa.int32()), "totals": pa.array([*totals, None], pa.binary()), "own": pa.array([*own, None], pa.binary()), **{k: pa.array([*[None] * n, v], pa.int64()) for k, v in stat.items()}})
+
+
 def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_tokens, n_known (tokens seen in training), train_tokens, base_score (log10 of
-    the text under add-one unigrams) and score (log10 of the text under the model).
+    the text under add-one unigrams), score (log10 of the text under the model) and perplexity (10 to the power of
+    -score / n_tokens).
 
     train tells which rows are learned from (null: they are). Words are lower-cased (A-Z); each text ends with one end
     token, so null and empty texts have one token. Repeated rows count each, in training too. Without training rows
     every token has probability 1 / (0 + 1). Null ids are rows like others; other columns are ignored."""
-    spark = docs.sparkSession
-    n_shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_shards = shards_for(docs, text)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,108 +217,94 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text: str =
 
     blocks = stored(rows.mapInArrow(hold, _BLOCK_DDL), "lm-blocks")
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def exchanged(parts: DataFrame, columns: int, seen: int, of: int, extra: Callable, names: tuple[str, ...], label: str) -> tuple[DataFrame, dict]:
+        """The blocks' answers, and the sums of all shards' numbers."""
+        more = ("n1", "n2", "n3", "n4", *names)
+        found = dealt(parts, n_shards, "shard").groupBy("shard").applyInArrow(lambda t: _added(t, columns, seen, of, extra), _ANSWER_DDL + "".join(f", {c} long" for c in more))
+        found = stored(found, label)
+        total = found.filter("block < 0").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in more]).first().asDict()
+        return found.filter("block >= 0").select("block", "shard", "totals", "own"), total
+
+    # triples: how often each occurs
+    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 row = b.slice(k, 1).to_pylist()[0]
                 block = Block(row, n_shards)
-                tags, n = block.bigrams()
-                shard = block.shards(tags)
-                out = [(int(shard[lo]), packed(np.diff(tags[lo:hi].astype(np.int64), prepend=0)), packed(n[lo:hi])) for lo, hi in stretches(shard)]
-                s, keys, counts = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array([row["block"]] * len(s), pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["shard", "block", "keys", "counts"])
-
-    def count(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("block")
-        parts = [(np.cumsum(unpacked(rows.column("keys")[k].as_py())), unpacked(rows.column("counts")[k].as_py())) for k in range(len(rows))]
-        keys, n = np.concatenate([k[c > 0] for k, c in parts]), np.concatenate([c[c > 0] for _, c in parts])
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else keys
-        model = MappedArrays(keys[heads], np.add.reduceat(n, heads) if len(keys) else n)
-        del keys, n, order
-        owned = np.zeros(model.n, bool)
-        totals, own = [], []
-        for k, c in parts:
-            at, total = model.find(k)
-            mine = (c > 0) & ~owned[at] if model.n else np.zeros(len(k), bool)
-            owned[at[mine]] = True
-            totals.append(packed(total))
-            own.append(np.packbits(mine).tobytes())
-        of = np.bincount(np.minimum(model.counts, 5), minlength=6) if model.n else np.zeros(6, int)
-        shard = rows.column("shard")[0].as_py()
-        sums = [None] * len(parts)
-        return pa.table({"block": pa.array([*rows.column("block").to_pylist(), -1], pa.int64()), "shard": pa.array([shard] * (len(parts) + 1), pa.int32()), "a": pa.array([*totals, None], pa.binary()), "b": pa.array([*own, None], pa.binary()), **{f"n{c}": pa.array([*sums, int(of[c])], pa.int64()) for c in (1, 2, 3, 4)}})
-
-    sums = ", n1 long, n2 long, n3 long, n4 long"
-    counted = stored(blocks.mapInArrow(send, "shard int, block long, keys binary, counts binary").groupBy("shard").applyInArrow(count, "block long, shard int, a binary, b binary" + sums), "lm-counts")
-    total = counted.agg(*[F.coalesce(F.sum(f"n{c}"), F.lit(0)).alias(f"n{c}") for c in (1, 2, 3, 4)]).first()
-    big = discounts([total[f"n{c}"] for c in (1, 2, 3, 4)])
+                grams = block.grams(3)
+                yield from _sent(row["block"], grams, [grams.counted(block.in_training[~block.first])]).to_batches()
 
-    def answers(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """The counts of a block's bigrams and which it owns, in order of tags."""
-        found = sorted(found.select(["shard", "a", "b"]).to_pylist(), key=lambda r: r["shard"])
-        counts = [unpacked(r["a"]) for r in found]
-        own = [np.unpackbits(np.frombuffer(r["b"], np.uint8), count=len(c)).astype(bool) for r, c in zip(found, counts, strict=True)]
-        return np.concatenate(counts), np.concatenate(own)
+    of_three, total = exchanged(blocks.mapInArrow(triples, _PART_DDL), 1, 0, 0, lambda keys, sums: {}, (), "lm-triples")
+    big = discounts([total[f"n{c}"] for c in (1, 2, 3, 4)])
 
-    def by_word(left: pa.Table, right: pa.Table) -> pa.Table:
+    # pairs: how often each occurs, how many triples that occur once, twice, more often it begins, and how many it ends
+    def pairs(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for row in left.to_pylist():
+            block = Block(row, n_shards)
+            two, three = block.grams(2), block.grams(3)
+            (counts,), own = _joined(right, 1)
+            token, counts, n = three.token[own], counts[own], len(two.tags)
+            begun = two.place[token - 1]
+            occurs = two.counted(block.in_training)
+            ended = np.bincount(two.place[token], minlength=n)
+            # nothing is before a text's mark: its pairs count as often as they occur
+            marked = block.first[two.token]
+            ended[marked] = occurs[marked]
+            out.append(_sent(row["block"], two, [occurs, *[np.bincount(begun[pick], minlength=n) for pick in (counts == 1, counts == 2, counts > 2)], ended]))
+        return pa.concat_tables(out)
+
+    sent = blocks.groupBy("block").cogroup(of_three.groupBy("block")).applyInArrow(pairs, _PART_DDL)
+    of_two, total = exchanged(sent, 5, 0, 4, lambda keys, sums: {}, (), "lm-pairs")
+    middle = discounts([total[f"n{c}"] for c in (1, 2, 3, 4)])
+
+    # words: how often each occurs, how many triples have it in the middle, how many pairs it begins that end one, two,
+    # more triples, and how many pairs it ends
+    def words(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for row in left.to_pylist() if len(right) else []:
+        for row in left.to_pylist():
             block = Block(row, n_shards)
-            counts, own = answers(right)
-            token, _ = block.places()
-            token, counts = token[own], counts[own]
-            n = len(block.words)
-            known = np.bincount(block.codes[block.in_training], minlength=n)
-            known[-1] = int(block.train.sum())
-            start = [np.bincount(block.before[token[pick]], minlength=n) for pick in (counts == 1, counts == 2, counts > 2)]
-            columns = [known, *start, np.bincount(block.codes[token], minlength=n)]
-            order = np.argsort(block.words, kind="stable")
-            shard = shard_of(block.words[order], n_shards)
-            out += [(int(shard[lo]), row["block"], block.words[order[lo:hi]].tobytes(), packed(np.concatenate([c[order[lo:hi]] for c in columns]))) for lo, hi in stretches(shard)]
-        a, b, c, d = zip(*out, strict=True) if out else ((), (), (), ())
-        return pa.table({"shard": pa.array(a, pa.int32()), "block": pa.array(b, pa.int64()), "words": pa.array(c, pa.binary()), "values": pa.array(d, pa.binary())})
-
-    def add_words(rows: pa.Table) -> pa.Table:
-        words = [np.frombuffer(x, U64) for x in rows.column("words").to_pylist()]
-        values = np.concatenate([unpacked(x).reshape(5, -1) for x in rows.column("values").to_pylist()], axis=1)
-        distinct, at = np.unique(np.concatenate(words), return_inverse=True)
-        total = np.stack([np.bincount(at, weights=v, minlength=len(distinct)) for v in values]).astype(np.int64)
-        ends = np.cumsum([len(w) for w in words])
-        back = [packed_bytes(packed(total[:, at[e - len(w) : e]].ravel())) for e, w in zip(ends, words, strict=True)]
-        real = distinct != START
-        of = np.bincount(np.minimum(total[4], 5), minlength=6)
-        n = len(words)
-        stat = {"n1": of[1], "n2": of[2], "n3": of[3], "n4": of[4], "vocabulary": (total[0][real] > 0).sum(), "tokens": total[0][real].sum(), "kinds": total[4].sum(), "more": (total[4] > 2).sum()}
-        return pa.table({"block": pa.array([*rows.column("block").to_pylist(), -1], pa.int64()), "shard": pa.array([rows.column("shard")[0].as_py()] * (n + 1), pa.int32()), "a": pa.array([*back, None], pa.binary()), **{k: pa.array([*[None] * n, int(v)], pa.int64()) for k, v in stat.items()}})
-
-    found = counted.filter("block >= 0").select("block", "shard", "a", "b")
-    words = blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(by_word, "shard int, block long, words binary, values binary")
-    words = stored(words.groupBy("shard").applyInArrow(add_words, "block long, shard int, a binary" + sums + ", vocabulary long, tokens long, kinds long, more long"), "lm-words")
-    names = ["n1", "n2", "n3", "n4", "vocabulary", "tokens", "kinds", "more"]
-    total = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first().asDict()
+            two = block.grams(2)
+            (_, _, _, _, ended), own = _joined(right, 5)
+            token, ended, n = two.token[own], ended[own], len(block.words)
+            occurs = np.bincount(block.codes[block.in_training], minlength=n)
+            occurs[-1] = int(block.train.sum())
+            begun = block.before[token]
+            columns = [occurs, np.bincount(begun, weights=ended, minlength=n).astype(np.int64), *[np.bincount(begun[pick], minlength=n) for pick in (ended == 1, ended == 2, ended > 2)], np.bincount(block.codes[token], minlength=n)]
+            grams = Grams(block.words >> U64(1), np.arange(n), n_shards)
+            out.append(_sent(row["block"], grams, [c[grams.token] for c in columns]))
+        return pa.concat_tables(out)
+
+    mark = np.int64(START >> U64(1))
+    extra = lambda keys, sums: {"vocabulary": (keys != mark).sum(), "tokens": sums[0][keys != mark].sum(), "kinds": sums[5].sum(), "more": (sums[5] > 2).sum()}
+    sent = blocks.groupBy("block").cogroup(of_two.groupBy("block")).applyInArrow(words, _PART_DDL)
+    of_one, total = exchanged(sent, 6, 0, 5, extra, ("vocabulary", "tokens", "kinds", "more"), "lm-words")
     small = discounts([total[f"n{c}"] for c in (1, 2, 3, 4)])
     v, n, kinds = total["vocabulary"], total["tokens"], total["kinds"]
     spare = (small[1] * total["n1"] + small[2] * total["n2"] + small[3] * total["more"]) / kinds if kinds else 1.0
 
+    def mixed(times: np.ndarray, of: np.ndarray, one: np.ndarray, two: np.ndarray, more: np.ndarray, d: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """A probability interpolated with the lower order's; that alone where the context was never seen."""
+        seen = np.maximum(of, 1)
+        own = np.maximum(times - d[np.minimum(times, 3)], 0.0) / seen
+        return np.where(of > 0, own + (d[1] * one + d[2] * two + d[3] * more) / seen * lower, lower)
+
     def probabilities(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"doc_id": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        mine = right.filter(pa.compute.is_valid(right.column("b"))) if len(right) else right
-        other = right.filter(pa.compute.is_null(right.column("b"))) if len(right) else right
+        three, two, one = (right.filter(pa.compute.equal(right.column("of"), k)) for k in (3, 2, 1))
         for row in left.to_pylist():
             block = Block(row, n_shards)
-            counts, _ = answers(mine)
-            _, place = block.places()
-            sorted_words = np.argsort(block.words, kind="stable")
-            values = np.empty((5, len(block.words)), np.int64)
-            values[:, sorted_words] = np.concatenate([unpacked(unpacked_bytes(r["a"])).reshape(5, -1) for r in sorted(other.to_pylist(), key=lambda r: r["shard"])], axis=1)
-            known, one, two, more, ends = values
-            low = (ends - small[np.minimum(ends, 3)]) / max(kinds, 1) + spare / (v + 1)
-            rest = np.where(known > 0, (big[1] * one + big[2] * two + big[3] * more) / np.maximum(known, 1), 1.0)
-            both = np.minimum(counts[place], np.minimum(known[block.before], known[block.codes]))
-            p = np.where(known[block.before] > 0, (both - big[np.minimum(both, 3)]) / np.maximum(known[block.before], 1), 0.0) + rest[block.before] * low[block.codes]
-            c = known[block.codes]
+            grams = Grams(block.words >> U64(1), np.arange(len(block.words)), n_shards)
+            (by_word, _), (by_pair, _), (by_triple, _) = _joined(one, 6), _joined(two, 5), _joined(three, 1)
+            occurs, middles, m1, m2, m3, ends = by_word[:, grams.place]
+            p = (ends - small[np.minimum(ends, 3)]) / max(kinds, 1) + spare / (v + 1)
+            pair = block.grams(2).place
+            p = mixed(by_pair[4][pair], *(x[block.before] for x in (middles, m1, m2, m3)), middle, p[block.codes])
+            token, context = np.flatnonzero(~block.first), pair[np.flatnonzero(~block.first) - 1]
+            if len(token):
+                times = by_triple[0][block.grams(3).place]
+                p[token] = mixed(times, *(x[context] for x in by_pair[:4]), big, p[token])
+            c = occurs[block.codes]
             at = np.cumsum(block.sizes) - block.sizes
             out["doc_id"] += [None if i == NO_ID else i for i in block.ids.tolist()]
             out["n_tokens"] += block.sizes.tolist()
@@ -253,6 +314,6 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text: str =
         kind = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
         return pa.table({k: pa.array(x, kind[k]) for k, x in out.items()})
 
-    both = found.unionByName(words.filter("block >= 0").select("block", "shard", "a", F.lit(None).cast("binary").alias("b")))
-    scored = blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(probabilities, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return scored.withColumn("train_tokens", F.lit(n).cast("long"))
+    every = of_three.withColumn("of", F.lit(3)).unionByName(of_two.withColumn("of", F.lit(2))).unionByName(of_one.withColumn("of", F.lit(1)))
+    scored = blocks.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(probabilities, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return scored.withColumn("train_tokens", F.lit(n).cast("long")).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -357,33 +357,68 @@ def test_code_planes_of_a_block_with_many_words():
 
 # ---------------------------------------------------------------- LM scores
 
+def chen_goodman(times):
+    """D1, D2, D3 by the published formulas, from the counts of all types; within (0, count)."""
+    n = [sum(x == k for x in times) for k in range(5)]
+    y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+    return {k: min(max(k - (k + 1) * y * n[k + 1] / n[k] if n[k] else k / 2, 0.05 * k), 0.95 * k) for k in (1, 2, 3)}
+
+
+def plain_model(texts):
+    """p(w, v, u) from dictionaries; u is None for the first token of a text, whose v is 1."""
+    one, two, three = Counter(), Counter(), Counter()
+    for ws in texts:
+        one.update(ws)
+        two.update(zip([1, *ws], ws))
+        three.update(zip([1, *ws], ws, ws[1:]))
+    before = Counter((v, w) for _, v, w in three)  # distinct tokens before a pair
+    pairs = {p: c if p[0] == 1 else before[p] for p, c in two.items()}
+    ends = Counter(w for _, w in pairs)
+    d3, d2, d1 = chen_goodman(three.values()), chen_goodman(pairs.values()), chen_goodman(ends.values())
+    kinds, vocabulary = len(pairs), len(one)
+    spare = sum(d1[min(c, 3)] for c in ends.values()) / kinds if kinds else 1.0
+    of_pair, of_word = defaultdict(list), defaultdict(list)
+    for (u, v, _), c in three.items():
+        of_pair[u, v].append(c)
+    for (v, _), c in pairs.items():
+        of_word[v].append(c)
+
+    def level(c, all_counts, d, lower):
+        if not all_counts:
+            return lower
+        return ((c - d[min(c, 3)] if c else 0) + sum(d[min(x, 3)] for x in all_counts) * lower) / sum(all_counts)
+
+    def p(w, v, u=None):
+        low = (ends[w] - d1[min(ends[w], 3)] if ends[w] else 0) / max(kinds, 1) + spare / (vocabulary + 1)
+        low = level(pairs.get((v, w), 0), of_word[v], d2, low)
+        return low if u is None else level(three[u, v, w], of_pair[u, v], d3, low)
+
+    return p, one
+
+
 def test_kneser_ney(make, corpus):
     train = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(True))
     got = kneser_ney.score(make(corpus), train).collect()
     rows = [(i, [*WORD.findall((t or "").translate(LOWER)), 0], i is None or i % 3 != 0) for i, t, _ in corpus]
-    c = Counter(w for _, ws, t in rows if t for w in ws)
-    pairs = Counter(p for _, ws, t in rows if t for p in zip([1, *ws[:-1]], ws))
+    p, c = plain_model([ws for _, ws, t in rows if t])
     n, v = sum(c.values()), len(c)
-    start, ends, kinds = Counter(c), Counter(w for _, w in pairs), defaultdict(Counter)
-    start[1] = sum(t for _, _, t in rows)
-    for (a, _), k in pairs.items():
-        kinds[a][min(k, 3)] += 1
-    big, small = (kneser_ney.discounts([sum(x == k for x in t.values()) for k in (1, 2, 3, 4)]) for t in (pairs, ends))
-    spare = sum(small[min(x, 3)] for x in ends.values()) / len(pairs)
-
-    def p(a, w):
-        low = max(ends[w] - small[min(ends[w], 3)], 0) / len(pairs) + spare / (v + 1)
-        if not start[a]:
-            return low
-        return max(pairs[a, w] - big[min(pairs[a, w], 3)], 0) / start[a] + sum(big[k] * m for k, m in kinds[a].items()) / start[a] * low
-
     expected = sorted(((i, len(ws), sum(c[w] > 0 for w in ws), n) for i, ws, _ in rows), key=repr)
     assert sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"]) for r in got), key=repr) == expected
+    whole = lambda ws: sum(math.log10(p(w, a, b)) for w, a, b in zip(ws, [1, *ws], [None, 1, *ws]))
     near = lambda rs: sorted((repr(i), round(b, 6), round(s, 3)) for i, b, s in rs)
-    assert near((r["doc_id"], r["base_score"], r["score"]) for r in got) == near((i, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), sum(math.log10(p(a, w)) for a, w in zip([1, *ws[:-1]], ws))) for i, ws, _ in rows)
+    assert near((r["doc_id"], r["base_score"], r["score"]) for r in got) == near((i, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), whole(ws)) for i, ws, _ in rows)
+    assert all(r["perplexity"] == pytest.approx(10 ** (-r["score"] / r["n_tokens"])) for r in got)
     # probabilities of all words and of an unknown one sum to 1
-    for a in (1, "go", "the", "nowhere"):
-        assert sum(p(a, w) for w in c) + p(a, "unknown word") == pytest.approx(1)
+    for v, u in ((1, None), ("go", 1), ("go", "go"), ("nowhere", "nowhere"), ("go", "nowhere")):
+        assert sum(p(w, v, u) for w in c) + p("unknown word", v, u) == pytest.approx(1)
+
+
+def test_small_blocks_of_the_model_give_the_same(make, corpus, monkeypatch):
+    train = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(True))
+    near = lambda rows: sorted((repr(r["doc_id"]), r["n_known"], round(r["score"], 6)) for r in rows)
+    whole = near(kneser_ney.score(make(corpus).coalesce(1), train).collect())
+    monkeypatch.setattr(kneser_ney, "BLOCK_BYTES", 3000)
+    assert near(kneser_ney.score(make(corpus).repartition(3), train).collect()) == whole
 
 
 def test_lm_ends(make):
@@ -399,10 +434,10 @@ def test_lm_beats_unigrams_on_held_out_text(spark):
 
 
 def test_mapped_arrays():
-    m = kneser_ney.MappedArrays(np.array([3, 9, 2**32 - 1]), np.array([1, 5, 2**40]))
+    m = kneser_ney.MappedArrays(np.array([3, 9, 2**62]), [np.array([1, 5, 2**40]), np.array([7, 8, 9])])
     assert isinstance(m.keys.base, np.memmap) or isinstance(m.keys, np.memmap)
-    assert m.find(np.array([2, 3, 9, 2**32 - 1]))[1].tolist() == [0, 1, 5, 2**32 - 1]
-    assert kneser_ney.MappedArrays(np.zeros(0), np.zeros(0)).find(np.array([5]))[1].tolist() == [0]
+    assert m.find(np.array([2, 3, 9, 2**62]))[1].tolist() == [[0, 1, 5, 2**32 - 1], [0, 7, 8, 9]]
+    assert kneser_ney.MappedArrays(np.zeros(0), [np.zeros(0)]).find(np.array([5]))[1].tolist() == [[0]]
 
 
 def test_bigrams_whose_hashes_agree_in_32_bits_of_a_shard(spark, make):
