@@ -5,8 +5,9 @@ source's words up to its end, divided by the source's target. All packets of all
 over ranges of virtual time, and the mix is what comes before the total budget runs out. A document that straddles
 its source's target is served as two packets, so that the mix meets the targets to the word.
 
-Both running totals (within a source, over all packets) are two-level: totals of hash or time ranges first, rows
-within one range after; no task sees a whole source, however hot.
+Running totals within a source have three levels: totals of blocks of hash ranges, of ranges, and rows within one
+range; of all packets, the budget's place is found in a range of virtual time, then in a part of that range, and only
+the packets of that part are sorted. No task sees a whole source, however hot.
 """
 
 from __future__ import annotations
@@ -17,10 +18,16 @@ from pyspark.sql import functions as F
 from cytolake.llm._common import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Ranges of virtual time; the sort inside one range is all that a single task does.
+#: Ranges of virtual time, and parts of one range; the sort inside one part is all that a single task does.
 TIME_RANGES = 8192
-#: Documents in one hash range of a source, about.
-RANGE_ROWS = 500
+#: Documents in one hash range of a source, about, and ranges of a block.
+RANGE_ROWS, BLOCK_RANGES = 500, 4096
+
+
+def shuffled(key: Column, text: Column, seed: int) -> Column:
+    """A document's place in the shuffled order: the first 60 bits of a digest of seed, key and text."""
+    whole = F.concat_ws("|", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("")), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(whole), 1, 15), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, source: str, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -71,17 +78,20 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         F.col(key).alias("key"),
         F.col(source).alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("shuffle"),
+        shuffled(F.col(key), F.col(text), seed).alias("shuffle"),
     )
     rows = stored(rows, "mix-sizes")
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
     ranges = max(64, total["n"] // RANGE_ROWS)
-    rows = rows.withColumn("range", F.pmod(F.shiftright("shuffle", 8), F.lit(ranges)))
+    rows = rows.withColumn("range", F.floor(F.col("shuffle") / 2.0**60 * ranges).cast("long"))
 
     by_range = rows.groupBy("source", "range").agg(F.sum("size").alias("words"))
     per_source = targets(by_range.groupBy("source").agg(F.sum("words").alias("source_size")), "source", weights, share, most)
-    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = by_range.withColumn("offset", F.coalesce(F.sum("words").over(earlier), F.lit(0))).drop("words")
+    by_range = by_range.withColumn("block", F.floor(F.col("range") / BLOCK_RANGES).cast("long"))
+    ahead = lambda keys, order: F.coalesce(F.sum("words").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by_block = by_range.groupBy("source", "block").agg(F.sum("words").alias("words")).withColumn("before", ahead(["source"], "block"))
+    r, b = by_range.withColumn("inside", ahead(["source", "block"], "range")).alias("r"), by_block.alias("b")
+    offsets = r.join(b, F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.block") == F.col("b.block"))).select("r.source", "range", (F.col("before") + F.col("inside")).alias("offset"))
     s, o = per_source.alias("s"), offsets.alias("o")
     offsets = o.join(s, F.col("o.source").eqNullSafe(F.col("s.source"))).select("o.source", "o.range", "offset", "source_size", "target")
 
@@ -95,13 +105,22 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     budget = int(total["words"] * share)
     packets = queued.select("shuffle", F.explode(F.array(*[F.struct(a.alias("first"), w.alias("words"), v.alias("finish")) for a, w, v in _packets()])).alias("p")).select("shuffle", "p.*").filter("words > 0 and finish is not null")
     # ranges of virtual time; all past 2 is far behind the cut, which lies at 1
-    packets = packets.withColumn("time", F.floor(F.least("finish", F.lit(2.0)) * TIME_RANGES))
-    served = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    edge = packets.groupBy("time").agg(F.sum("words").alias("words")).withColumn("served", F.sum("words").over(served)).filter(F.col("served") >= budget).orderBy("time").select("time", (F.col("served") - F.col("words")).alias("before")).first()
+    place = F.least("finish", F.lit(2.0)) * TIME_RANGES
+    packets = packets.withColumn("time", F.floor(place)).withColumn("part", F.floor((place - F.floor(place)) * TIME_RANGES))
+
+    def edge_of(rows: DataFrame, by: str, before: int):
+        """The range in which the budget is reached, and the words served before it: of at most 2 * TIME_RANGES ranges."""
+        served = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+        sums = rows.groupBy(by).agg(F.sum("words").alias("words")).withColumn("served", F.sum("words").over(served) + before)
+        return sums.filter(F.col("served") >= budget).orderBy(by).select(by, (F.col("served") - F.col("words")).alias("before")).first()
+
+    edge = edge_of(packets, "time", 0)
     taken = F.lit(0).cast("long")
     if budget and edge is not None:
-        order = Window.partitionBy("time").orderBy("finish", "shuffle", "first").rowsBetween(Window.unboundedPreceding, 0)
-        cut = packets.filter(F.col("time") == edge["time"]).withColumn("served", F.sum("words").over(order) + edge["before"]).filter(F.col("served") >= budget).orderBy("served").first()
+        packets = packets.filter(F.col("time") == edge["time"])
+        edge = edge_of(packets, "part", edge["before"])
+        order = Window.partitionBy("part").orderBy("finish", "shuffle", "first").rowsBetween(Window.unboundedPreceding, 0)
+        cut = packets.filter(F.col("part") == edge["part"]).withColumn("served", F.sum("words").over(order) + edge["before"]).filter(F.col("served") >= budget).orderBy("served").first()
         for first, words, finish in _packets():
             tie = (finish == F.lit(cut["finish"])) & (F.col("shuffle") == F.lit(cut["shuffle"]))
             sooner = (finish < F.lit(cut["finish"])) | ((finish == F.lit(cut["finish"])) & (F.col("shuffle") < F.lit(cut["shuffle"]))) | (tie & (first < F.lit(cut["first"])))
@@ -119,7 +138,7 @@ def apply_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     seed = options.get("seed", 7)
     taken = mix(docs, key, text, source, **options).groupBy("key", "shuffle").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"))
     columns = docs.columns
-    hashed = docs.withColumn("_shuffle", F.xxhash64(F.lit(seed), F.col(key), F.col(text)))
+    hashed = docs.withColumn("_shuffle", shuffled(F.col(key), F.col(text), seed))
     one = Window.partitionBy(key, "_shuffle").orderBy(F.col(source).asc_nulls_last())
     d, t = hashed.withColumn("_row", F.row_number().over(one)).filter("_row = 1").alias("d"), taken.alias("t")
     joined = d.join(t, F.col(f"d.{key}").eqNullSafe(F.col("t.key")) & (F.col("d._shuffle") == F.col("t.shuffle"))).filter("_taken > 0")

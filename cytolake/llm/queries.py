@@ -30,6 +30,35 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", "source")
 
 
+SQL["op3_source_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
+    ('0x' || substr(md5('7|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS shuffle
+  FROM documents
+), sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), placed AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1] AS weight, 2.0::DOUBLE * source_size AS cap FROM sizes
+), filled AS (
+  SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS budget, coalesce(sum(cap) OVER (ORDER BY cap / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(weight) OVER (ORDER BY cap / weight, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM placed
+), targets AS (SELECT source, source_size, greatest(0.0, least(cap, weight * max((budget - before) / rest) OVER ())) AS target FROM filled
+), queued AS (
+  SELECT d.*, t.source_size, t.target, floor(t.target)::BIGINT AS quota,
+    (sum(size) OVER (PARTITION BY d.source ORDER BY shuffle, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS ahead
+  FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+), passes AS (SELECT *, ahead + turn * source_size AS start FROM queued, (VALUES (0), (1)) p(turn)
+), halves AS (SELECT *, greatest(0, least(size, quota - start)) AS early FROM passes
+), packets AS (
+  SELECT doc_id, source, shuffle, start AS first, early AS words, (start + early) / target AS finish FROM halves WHERE target > 0
+  UNION ALL SELECT doc_id, source, shuffle, start + early, size - early, (start + size) / target FROM halves WHERE target > 0
+), served AS (
+  SELECT *, sum(words) OVER (ORDER BY finish, shuffle, first ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM packets WHERE words > 0
+), taken AS (
+  SELECT doc_id, sum(greatest(0, least(words, words - (upto - (SELECT floor(1.5 * sum(size)) FROM d))))) AS taken FROM served GROUP BY doc_id
+)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, source FROM queued LEFT JOIN taken USING (doc_id)
+"""
+
+
 @_query
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that lie in a 13-word window of an earlier document go."""

@@ -59,6 +59,43 @@ def test_mixing(make, corpus):
     assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, again), key=repr)
 
 
+@pytest.mark.parametrize("seed", [7, 8])
+def test_mixing_serves_by_virtual_finish_time(make, corpus, seed, monkeypatch):
+    """A plain queue: every word of a packet is served in order of the packets' finish times, until the budget is out."""
+    import hashlib
+
+    monkeypatch.setattr(mixing, "TIME_RANGES", 5)
+    monkeypatch.setattr(mixing, "BLOCK_RANGES", 2)
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 1)
+    rows = [r for r in corpus if r[0] not in (500, 501)]
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(WORD.findall(t or ""))
+    target, packets = plain_targets(sizes), []
+    for name in sizes:
+        queue = sorted((int(hashlib.md5(f"{seed}|{'' if i is None else i}|{t or ''}".encode()).hexdigest()[:15], 16), k) for k, (i, t, s) in enumerate(rows) if s == name)
+        at = 0
+        for _ in range(2):
+            for place, k in queue:
+                n = len(WORD.findall(rows[k][1] or ""))
+                # a packet ends where the source's target is met
+                for end in sorted({min(at + n, max(at, int(target[name]))), at + n}):
+                    if end > at and target[name] > 0:
+                        packets.append((end / target[name], place, at, end - at, k))
+                        n, at = n - (end - at), end
+    left, taken = int(1.5 * sum(sizes.values())), Counter()
+    for _, _, _, words, k in sorted(packets):
+        taken[k] += min(words, left)
+        left -= min(words, left)
+    got = Counter()
+    for r in mixing.mix(make(rows), seed=seed).collect():
+        got[r["key"], r["source"], r["size"]] += r["taken"]
+    expected = Counter()
+    for k, (i, t, s) in enumerate(rows):
+        expected[i, s, len(WORD.findall(t or ""))] += taken[k]
+    assert +got == +expected
+
+
 def test_mixing_ends(make):
     assert mixing.mix(make([]).limit(0)).count() == 0
     only_empty = mixing.mix(make([(1, None, "a"), (2, "", None)])).collect()
