@@ -73,33 +73,39 @@ def pearson(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.corr(x, y).alias("r")).withColumn("r", F.when(F.col("r").isNull() | F.isnan("r"), 0.0).otherwise(F.col("r")))
 
 
-#: Ranges of p-values that are ranked apart.
-RANGES = 128
+#: Ranges of p-values that are ranked apart: so many for each halving.
+RANGES = 64
+
+
+def _harmonic(n: Column) -> Column:
+    """1 + 1/2 + ... + 1/n: summed for small n, else by its expansion, which is exact to 1e-13 from 20 on."""
+    x = n.cast("double")
+    small = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least(n, F.lit(20))), F.lit(0.0), lambda s, k: s + F.lit(1.0) / k)
+    return F.when(n <= 20, small).otherwise(F.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6))
 
 
 def adjusted(df: DataFrame, p: str = "p_value", method: str = "bh", name: str = "padj", key: str | None = None) -> DataFrame:
     """df with adjusted p-values, null for null. Equal p-values get equal results, so key (ranks of ties) is not needed.
 
-    Distinct p-values are counted, cut into RANGES ranges by quantiles, ranked within a range, and carried over the
-    ranges: no task sorts all of them."""
+    Distinct p-values are counted, cut into ranges by their logarithm, ranked within a range, and carried over the
+    ranges, whose number is fixed: no task sorts all p-values. df is read twice: an expensive one is stored before."""
     method = adjustment(method)
     if method == "none":
         return df.withColumn(name, F.col(p))
-    known = df.filter(F.col(p).isNotNull())
-    n = known.count()
+    counted = df.filter(F.col(p).isNotNull()).groupBy(F.col(p).cast("double").alias("_p")).agg(F.count("*").alias("_c"))
     if method == "bonf":
-        return df.withColumn(name, F.least(F.lit(1.0), F.col(p) * n))
-    harmonic = df.sparkSession.range(1, n + 1).agg(F.sum(F.lit(1.0) / F.col("id"))).first()[0] or 0.0 if method == "by" else 1.0
-    counted = known.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_c"))
-    cuts = sorted(set(counted.approxQuantile("_p", [k / RANGES for k in range(1, RANGES)], 0.2 / RANGES)))
-    cut = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda x: x <= F.col("_p"))) if cuts else F.lit(0)
-    counted = counted.withColumn("_range", cut)
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows
-    sums = counted.groupBy("_range").agg(F.sum("_c").alias("_s")).select("_range", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+        n = counted.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_n"))
+        return df.join(F.broadcast(n)).withColumn(name, F.least(F.lit(1.0), F.col(p) * F.col("_n"))).drop("_n")
+    # 0 and below first, then 64 ranges from each power of two to the next
+    counted = counted.withColumn("_range", F.when(F.col("_p") > 0, F.floor(F.log2(F.when(F.col("_p") > 0, F.col("_p"))) * RANGES)).otherwise(F.lit(-1_000_000)).cast("long"))
+    order = Window.orderBy("_range")  # the ranges: at most 64 * 1100
+    sums = counted.groupBy("_range").agg(F.sum("_c").alias("_s"))
+    sums = sums.select("_range", F.coalesce(F.sum("_s").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_s").over(Window.partitionBy()).alias("_n"))
     upto = Window.partitionBy("_range").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.join(F.broadcast(sums), "_range").withColumn("_v", F.col("_p") * n / (F.sum("_c").over(upto) + F.col("_before")) * harmonic)
-    after = Window.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    least = ranked.groupBy("_range").agg(F.min("_v").alias("_m")).select("_range", F.min("_m").over(after).alias("_after"))
-    down = Window.partitionBy("_range").orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    found = ranked.join(F.broadcast(least), "_range").select("_p", F.least(F.lit(1.0), F.min("_v").over(down), F.col("_after")).alias(name))
+    harmonic = _harmonic(F.col("_n")) if method == "by" else F.lit(1.0)
+    ranked = counted.join(F.broadcast(sums), "_range").withColumn("_v", F.col("_p") * F.col("_n") / (F.sum("_c").over(upto) + F.col("_before")) * harmonic)
+    down = Window.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    least = ranked.groupBy("_range").agg(F.min("_v").alias("_m")).select("_range", F.min("_m").over(down).alias("_after"))
+    inside = Window.partitionBy("_range").orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    found = ranked.join(F.broadcast(least), "_range").select("_p", F.least(F.lit(1.0), F.min("_v").over(inside), F.col("_after")).alias(name))
     return df.join(found, F.col(p) == F.col("_p"), "left").drop("_p")

@@ -13,6 +13,7 @@ from cytolake.functions.algorithms import segment_differences
 from cytolake.operators.pvalues import adjusted
 from cytolake.operators.ranges import WIDTH, by_groups, gap_segments
 from cytolake.operators.replicates import paired
+from cytolake.sources.shared import scratch
 
 
 @dataclass(frozen=True)
@@ -51,9 +52,18 @@ def segments(pairs: DataFrame, o: Options = Options(), width: int = WIDTH) -> Da
     return found.withColumn("meth_diff", F.col("meth_a") - F.col("meth_b")).withColumn("meth_mean", (F.col("meth_a") + F.col("meth_b")) / 2)
 
 
+def kept(found: DataFrame) -> DataFrame:
+    """The rows in a table of the shared folder."""
+    spark = found.sparkSession
+    path = scratch(spark, "segments")
+    found.write.parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
+
+
 def filtered(found: DataFrame, o: Options = Options()) -> DataFrame:  # noqa: B008
-    """Segments with adjusted p-values that pass all thresholds."""
-    rows = adjusted(found, "p_value", o.method)
+    """Segments with adjusted p-values that pass all thresholds. The segments are stored first: they are read twice,
+    and dear to make."""
+    rows = adjusted(kept(found), "p_value", o.method)
     return rows.filter((F.col("padj") <= o.padj) & (F.abs("meth_diff") >= o.diff_threshold) & (F.col("n_cytosines") >= o.min_cytosines))
 
 
@@ -66,6 +76,7 @@ def write(found: DataFrame, prefix: str, o: Options = Options()) -> None:  # noq
     """<prefix>.segments.tsv and <prefix>.filtered.tsv, in order; p-values in scientific notation."""
     from cytolake.sources.reports import scientific
 
+    found = kept(found)
     for name, rows in (("segments", found), ("filtered", filtered(found, o))):
         rows = rows.orderBy("chr", "start").withColumns({c: scientific(F.col(c)) for c in ("p_value", "padj") if c in rows.columns})
         rows.write.mode("overwrite").option("sep", "\t").option("header", True).csv(f"{prefix}.{name}.tsv")

@@ -133,3 +133,71 @@ def test_merge(spark):
     assert sorted((r["sample"], r["start"], r["value"]) for r in full if r["chr"] == "c") == [("s", 0, 1.0), ("s", 98, 1.0), ("s", 100, 3.0), ("t", 0, 2.0), ("t", 98, 4.0), ("t", 100, 4.0)]
     near = dimred.merge(rows, MergeType("dbscan", 5, 2, 50, "mean")).filter("chr = 'c' and sample = 's'").orderBy("start").collect()
     assert [(r["start"], r["end"]) for r in near] == [(0, 99), (99, 200)]
+
+
+def test_pelt_with_another_cost():
+    """Shifts of a mean; every segmentation of short data is tried."""
+    from cytolake.functions.algorithms import normal_cost, pelt
+
+    rng = np.random.default_rng(3)
+    x = np.r_[rng.normal(0, 0.1, 4), rng.normal(3, 0.1, 5), rng.normal(1, 0.1, 3)]
+    cuts, total = pelt(x, x * x, 0.5, 1, cost=normal_cost, more=(np.ones(len(x)),))
+    assert cuts == [4, 9]
+
+    def whole(edges):
+        return sum(float(((x[a:b] - x[a:b].mean()) ** 2).sum()) for a, b in zip(edges, edges[1:])) + 0.5 * (len(edges) - 2)
+
+    import itertools
+
+    best = min(whole([0, *c, len(x)]) for k in range(4) for c in itertools.combinations(range(1, len(x)), k))
+    assert total == pytest.approx(best)
+
+
+def test_segments_of_a_shrink(spark):
+    """Each segment's value is the mean of its sites, and segments end where change points are."""
+    from cytolake.operators import bins
+    from cytolake.plans import dimred
+
+    rng = np.random.default_rng(1)
+    rows = [("c", 3 * k, True, True, int(m), 20, float(m) / 20) for k, m in enumerate(np.r_[rng.binomial(20, 0.1, 150), rng.binomial(20, 0.8, 150)])]
+    sites = spark.createDataFrame(rows, "chr string, position long, strand boolean, context boolean, count_m long, count_total long, density double")
+    points = sorted(r["position"] for r in dimred.change_points(sites, chunk=100, overlap=20, width=64).collect())
+    found = sorted(map(tuple, bins.shrunken(dimred.segmented(sites, chunk=100, overlap=20, width=64)).select("start", "end", "n", "value").collect()))
+    starts = [0, *[p for p in points if p < 3 * 299]]
+    assert [f[0] for f in found] == starts and any(abs(p - 450) <= 9 for p in points)
+    for start, end, n, value in found:
+        inside = [r[6] for r in rows if start <= r[1] <= end]
+        assert n == len(inside) and value == pytest.approx(np.mean(inside))
+
+
+def test_groups_of_a_stream(spark):
+    """Groups larger and smaller than an Arrow batch come whole and in order, with nulls as NaN."""
+    from pyspark.sql import types as T
+
+    from cytolake.operators.ranges import by_groups
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(f"k{k}", k % 3, p, None if p % 5 == 0 else float(p)) for k in range(6) for p in range(3 * k * k + 1)]
+        df = spark.createDataFrame(rows, "a string, b long, position long, value double").repartition(3)
+        schema = T.StructType().add("a", "string").add("b", "long").add("n", "long").add("ordered", "boolean").add("total", "double")
+        run = lambda g: [(g["a"][0], int(g["b"][0]), len(g["a"]), bool((np.diff(g["position"]) > 0).all()), float(np.nansum(g["value"])))]
+        got = {r["a"]: tuple(r)[1:] for r in by_groups(df, ("a", "b"), "position", run, schema).collect()}
+        assert got == {f"k{k}": (k % 3, 3 * k * k + 1, True, float(sum(p for p in range(3 * k * k + 1) if p % 5))) for k in range(6)}
+        assert by_groups(df.limit(0), ("a", "b"), "position", run, schema).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_tolerance_runs():
+    from cytolake.functions.algorithms import tolerance_runs
+
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        values = np.sort(rng.integers(0, 12, rng.integers(0, 20))) * 0.4 if rng.random() < 0.7 else rng.integers(0, 4, rng.integers(0, 20)) * 0.7
+        runs, start = [], 0
+        for k in range(1, len(values) + 1):
+            if k == len(values) or abs(values[k] - values[start]) > 1.0:
+                runs.append((start, k))
+                start = k
+        assert tolerance_runs(values, 1.0) == (runs if len(values) else [])

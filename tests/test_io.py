@@ -110,6 +110,74 @@ def test_arrow_ipc(spark, tmp_path, some, codec):
     spark.conf.unset("spark.sql.python.filterPushdown.enabled")
 
 
+def test_arrow_files_of_other_writers(spark, tmp_path):
+    """Dictionaries and narrow types are widened, stripes share a file's batches, a URI is as good as a path."""
+    spark.dataSource.register(arrow_ipc.ArrowIPC)
+    kinds = pa.schema([("chr", pa.dictionary(pa.int32(), pa.string())), ("position", pa.uint32()), ("strand", pa.bool_()), ("context", pa.bool_()), ("count_m", pa.uint16()), ("count_total", pa.uint16()), ("density", pa.float32())])
+    with pa.OSFile(str(tmp_path / "a.arrow"), "wb") as f, pa.ipc.new_file(f, kinds) as w:
+        for k in range(5):
+            values = [["c1"] * 3, [3 * k, 3 * k + 1, 3 * k + 2], [True, None, False], [None, True, False], [1, 2, 3], [2, 4, 6], [0.5, 0.5, 0.5]]
+            w.write_batch(pa.RecordBatch.from_arrays([pa.array(v, t.type) if not pa.types.is_dictionary(t.type) else pa.array(v).dictionary_encode() for v, t in zip(values, kinds)], schema=kinds))
+    rows = spark.read.format("arrow_ipc").load(f"file://{tmp_path}").orderBy("position").collect()
+    assert [r["position"] for r in rows] == list(range(15)) and {r["chr"] for r in rows} == {"c1"} and rows[0]["density"] == 0.5
+    reader = arrow_ipc.Reader(str(tmp_path))
+    parts = [arrow_ipc.Stripe(str(tmp_path / "a.arrow"), k, 2) for k in range(2)]
+    assert sorted(p for part in parts for b in reader.read(part) for p in b.column("position").to_pylist()) == list(range(15))
+    assert len(reader.partitions()) == 1 and len(arrow_ipc.files(str(tmp_path / "*.arrow"))) == 1
+    with pytest.raises(FileNotFoundError):
+        arrow_ipc.files(str(tmp_path / "none"))
+
+
+def test_overwrite_that_fails_leaves_the_files(spark, tmp_path, some):
+    spark.dataSource.register(arrow_ipc.ArrowIPC)
+    folder = str(tmp_path / "ipc")
+    some.write.format("arrow_ipc").mode("append").save(folder)
+    broken = some.withColumn("density", F.when(F.col("position") > 290, F.raise_error(F.lit("no"))).otherwise(F.col("density")).cast("double"))
+    with pytest.raises(Exception, match="no"):
+        broken.write.format("arrow_ipc").mode("overwrite").save(folder)
+    same(spark.read.format("arrow_ipc").load(folder), some)
+    some.limit(3).write.format("arrow_ipc").mode("overwrite").save(folder)
+    assert spark.read.format("arrow_ipc").load(folder).count() == 3
+
+
+def test_folder_with_several_codecs(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text(BISMARK)
+    with lzma.open(tmp_path / "b.tsv.xz", "wt") as f:
+        f.write(BISMARK.replace("chr1", "chr2"))
+    with gzip.open(tmp_path / "c.tsv.gz", "wt") as f:
+        f.write(BISMARK.replace("chr1", "chr3"))
+    assert {r["chr"] for r in reports.read_sites(spark, str(tmp_path), "bismark").collect()} == {"chr1", "chr2", "chr3"}
+
+
+def test_levels(spark, tmp_path, some):
+    for codec in ("gzip", "xz", "zst", "zip"):
+        for level in (1, 9):
+            reports.write_report(some, str(tmp_path / f"{codec}{level}"), "bismark", codec, level)
+    with pytest.raises(ValueError, match="levels"):
+        reports.write_report(some, str(tmp_path / "x"), "bismark", "gzip", 11)
+    assert reports.read_rows(spark, str(tmp_path / "gzip9"), "bismark").count() == some.count()
+
+
+def test_a_store_keeps_its_order(spark, tmp_path, some):
+    path = str(tmp_path / "s")
+    native.write(some, path, 100, chr_order(spark, ["chr2", "chr1"]), range_width=64)
+    assert [(r["chr"], r["ord"]) for r in native.read_order(spark, path).orderBy("ord").collect()] == [("chr2", 0), ("chr1", 1)]
+    rows = [(r["chr"], r["position"]) for r in native.read_sorted(spark, path).collect()]
+    assert rows == [("chr2", p) for p in range(5, 50)] + [("chr1", p) for p in range(1, 300)]
+    native.write(some, str(tmp_path / "t"), 100)
+    assert native.read_order(spark, str(tmp_path / "t")) is None and native.nth(native.read(spark, path), 3).count() == 45
+
+
+def test_all_disagreements_are_named(spark):
+    from cytolake.plans import validate
+
+    rows = [(s, "c", 100 * b + k + (s == "b"), b) for s in "ab" for b in range(25) for k in range(3)]
+    df = spark.createDataFrame(rows, "sample string, chr string, position long, batch long")
+    assert len(validate.validate(df)) == 25 and validate.validate(df.filter("sample = 'a'").unionByName(df.filter("sample = 'a'").withColumn("sample", F.lit("c"))), True) == []
+    swapped = [("a", "c", p, 0) for p in (1, 4, 6, 9)] + [("b", "c", p, 0) for p in (1, 5, 5, 9)]
+    assert len(validate.validate(spark.createDataFrame(swapped, df.schema), True)) == 1
+
+
 def test_annotation_files(spark, tmp_path):
     (tmp_path / "a.gff").write_text("##gff-version 3\nc\ts\tgene\t1\t90\t.\t+\t.\tID=g1;Name=n\nc\ts\texon\t5\t20\t0.5\t-\t1\tParent=g1\n")
     from cytolake.operators.annotation import entries, with_parents
@@ -137,3 +205,4 @@ def test_stream(spark, tmp_path):
     run()
     run()
     assert sorted(r["chr"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["chr1", "chr1", "chr9", "chr9"]
+    assert {r["batch"] for r in native.read(spark, str(tmp_path / "out")).collect()} == {0}
