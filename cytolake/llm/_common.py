@@ -7,8 +7,6 @@ ASCII, so splitting bytes and splitting characters give the same words.
 from __future__ import annotations
 
 import contextlib
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,23 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cytolake.sources.shared import shared_dir
+
 U64 = np.uint64
 #: One piece of text that the kernels handle at a time, in bytes; arrays of eight bytes a character follow from it.
 SLICE_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none, a temporary one if all runs in one
-    process (master local); on a cluster an error, as executors would write to disks of their own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="cytolake-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 #: Paths of stored tables while collected() is open.
 _collecting: list[list[str]] = []
 

@@ -508,6 +508,59 @@ def test_classifier_on_held_out_labels(spark):
     assert (order[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(y) - n1)) > 0.97
 
 
+def test_features_and_scores_against_plain_loops(spark, make):
+    """Word vectors, pools and the network's probability, token by token and bucket by bucket."""
+    texts = ["The cat sat, the cat ran.", "x1 y2 x1 y2!!", "héllo wörld 42", "", None, "a"]
+    token = re.compile(r"[A-Za-z\x80-\U0010ffff]+|[0-9]+|[^A-Za-z0-9\x80-\U0010ffff \t\n\x0b\x0c\r]+")
+    bucket = {}
+    for t in texts:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        found = np.concatenate([np.zeros(0, np.int64), *quality.token_buckets(raw)]).tolist()
+        names = token.findall(t or "")
+        assert len(found) == len(names)
+        for name, b in zip(names, found):
+            assert bucket.setdefault(name, b) == b
+    index = quality.index_vectors()
+    context = defaultdict(lambda: np.zeros(quality.DIM))
+    for t in texts:
+        names = token.findall(t or "")
+        for i, name in enumerate(names):
+            for j in range(max(0, i - quality.REACH), min(len(names), i + quality.REACH + 1)):
+                if j != i:
+                    context[bucket[name]] += index[bucket[names[j]]]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(len(texts))], "doc_id long, quality int, toxic int")
+    docs = make([(k, t, "s") for k, t in enumerate(texts)])
+    model = quality.train(docs, labels)
+    for b in range(quality.BUCKETS):
+        if b in context or b < 50:
+            v = index[b] + context[b]
+            assert np.allclose(model.vectors[b], v / max(np.linalg.norm(v), 1e-6), atol=1e-5)
+    scores = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    for k, t in enumerate(texts):
+        v = [model.vectors[bucket[n]].astype(float) for n in token.findall(t or "")]
+        pool = [sum(x[d] for x in v) / max(len(v), 1) for d in range(quality.DIM)]
+        pairs = [sum(x[d] * y[d] for x, y in zip(v, v[1:])) / max(len(v) - 1, 1) for d in range(quality.DIM)]
+        x = [(a - c) / s for a, c, s in zip([*pool, *pairs, math.log(1 + len(v)) / 10], model.center, model.spread)]
+        hidden = [math.tanh(sum(a * w for a, w in zip(x, column)) + b) for column, b in zip(model.w1.T, model.b1)]
+        logit = (sum(h * w for h, w in zip(hidden, model.w2)) + model.b2) / model.temperature
+        assert scores[k] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, logit)))), abs=1e-6)
+
+
+def test_the_fit_lowers_the_loss_and_the_temperature_is_its_best():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 2 * quality.DIM + 1))
+    y = (x[:, 0] + 0.5 * x[:, 1] + 0.3 * rng.normal(size=600) > 0).astype(float)
+    model = quality.fit(x, y, quality.unit(quality.index_vectors()))
+    p = model.scores(x)
+    assert ((p >= 0.5) == y).mean() > 0.9
+    held = np.random.default_rng(3)
+    held.normal(0, 1, (x.shape[1], quality.HIDDEN)), held.normal(0, 1, quality.HIDDEN)
+    rows = held.permutation(len(y))[: len(y) // 5]
+    loss = lambda t: np.mean(np.logaddexp(0, model.logits(x[rows]) / t) - y[rows] * model.logits(x[rows]) / t)
+    best = min(np.exp(np.linspace(-2, 2.5, 400)), key=loss)
+    assert loss(model.temperature) <= loss(best) + 1e-6
+
+
 def test_classifier_ends(spark, make, corpus):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (2, 1, 0), (3, None, 0), (None, 1, 0), (4, 7, 0)], "doc_id long, quality int, toxic int")
     for some in (labels, labels.limit(0), labels.filter("quality = 1")):
