@@ -22,11 +22,12 @@ def scanned(genome: DataFrame, reference: bool = True, start: int = 1) -> DataFr
 
     reference: windows give their first matching rule, as existing tables have it; otherwise every cytosine of both
     strands gets its context. The last pair of a sequence that ends in CG counts in both; sequences under three
-    letters give nothing."""
+    letters give nothing. A genome has each name once."""
     seq = F.translate(F.col("sequence"), "cg", "CG")
     # pieces of PIECE letters that know the two letters after them: no window looks up a place in a whole chromosome
     pieces = F.regexp_extract_all("q", F.lit(f"(?s)(?=(.{{1,{PIECE + 2}}})).{{1,{PIECE}}}"), F.lit(1))
     rows = genome.select("chr", seq.alias("q")).filter(F.length("q") > 2).select("chr", F.posexplode(pieces).alias("k", "piece"))
+    rows = rows.repartition("chr", "k")  # a chromosome is one row, its pieces are for all tasks
     letters = F.split("piece", "")
     rows = rows.select("chr", "k", letters.alias("x"), F.slice(letters, 2, PIECE + 2).alias("y"), F.slice(letters, 3, PIECE + 2).alias("z"))
     rows = rows.select("chr", "k", F.posexplode(F.arrays_zip("x", "y", "z")).alias("i", "w")).filter((F.col("w.x") != "") & (F.col("i") < PIECE))
@@ -50,7 +51,8 @@ def scanned(genome: DataFrame, reference: bool = True, start: int = 1) -> DataFr
         forward = F.when((whole | pair) & cg, both).when(whole & (a == "C") & (b != "G") & (c == "G"), F.array(_entry(p, True, False))).when(whole & (a == "C") & (b != "G"), F.array(_entry(p, True, None))).otherwise(none)
         back = F.when(whole & (c == "G") & (b != "C") & (a == "C"), F.array(_entry(p + 2, False, False))).when(whole & (c == "G") & (b != "C"), F.array(_entry(p + 2, False, None))).otherwise(none)
         found = F.concat(forward, back)
-    return rows.select("chr", F.explode(found).alias("e")).select("chr", "e.*").distinct()
+    out = rows.select("chr", F.explode(found).alias("e")).select("chr", "e.*")
+    return out.distinct() if reference else out  # there, each position comes from one window
 
 
 def aligned(sites: DataFrame, context: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from cytolake.config import MergeType
 from cytolake.functions import algorithms as A
 from cytolake.plans import dimred, dmr
 
+# (fixed values) known smoothing results
 FIRST = [1, 2.1, 5.2, 8.2, 1.4, 5.2, 6.2, 10.1]
 SECOND = [111, 422.1, 145.2, 248.2, 871.4, 675.2, 436.2, 310.1]
 

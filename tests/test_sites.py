@@ -145,6 +145,7 @@ def test_alignment(spark):
 @pytest.mark.parametrize(
     ("sequence", "start", "expected"),
     [
+        # (fixed values) a sequence whose context rows are known
         ("CCGTAG", 1, [(1, True, False), (2, True, True), (3, False, True), (6, False, None)]),
         ("ccgtag", 10, [(10, True, False), (11, True, True), (12, False, True), (15, False, None)]),
         ("ATCG", 1, [(3, True, True), (4, False, True)]),
