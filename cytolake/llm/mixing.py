@@ -132,16 +132,23 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return queued.withColumn("taken", taken.cast("long")).drop("ahead")
 
 
+#: Types whose values settle which of several repeated rows stands for them.
+_PLAIN = ("string", "bigint", "int", "smallint", "tinyint", "double", "float", "boolean", "date", "timestamp", "binary")
+
+
 def apply_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mixed documents themselves, with the input's columns: a document once for each whole time it is taken, and
-    once cut after the words of a partial take. n_chars, where there is such a column, follows the text."""
+    once cut after the words of a partial take. n_chars, where there is such a column, follows the text.
+
+    Repeated rows (equal in key, text and source) share what is taken of them; where their other columns differ, one
+    of them stands for all."""
     seed = options.get("seed", 7)
-    taken = mix(docs, key, text, source, **options).groupBy("key", "shuffle").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"))
+    taken = mix(docs, key, text, source, **options).groupBy("key", "shuffle", "source").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"))
     columns = docs.columns
     hashed = docs.withColumn("_shuffle", shuffled(F.col(key), F.col(text), seed))
-    one = Window.partitionBy(key, "_shuffle").orderBy(F.col(source).asc_nulls_last())
+    one = Window.partitionBy(key, "_shuffle", source).orderBy(*[F.col(c).asc_nulls_last() for c in docs.columns if c not in (key, text, source) and dict(docs.dtypes)[c] in _PLAIN] or [F.lit(0)])
     d, t = hashed.withColumn("_row", F.row_number().over(one)).filter("_row = 1").alias("d"), taken.alias("t")
-    joined = d.join(t, F.col(f"d.{key}").eqNullSafe(F.col("t.key")) & (F.col("d._shuffle") == F.col("t.shuffle"))).filter("_taken > 0")
+    joined = d.join(t, F.col(f"d.{key}").eqNullSafe(F.col("t.key")) & (F.col("d._shuffle") == F.col("t.shuffle")) & F.col(f"d.{source}").eqNullSafe(F.col("t.source"))).filter("_taken > 0")
     whole, rest = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
     joined = joined.withColumn("_words", F.explode(F.concat(F.array_repeat(F.lit(-1), whole), F.array_repeat(rest, F.when(rest > 0, 1).otherwise(0)))))
     pieces = F.regexp_extract_all(F.col(f"d.{text}"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))

@@ -117,6 +117,18 @@ def test_mixed_documents(make, corpus):
     assert words == +expected
 
 
+def test_mixed_repeated_rows(spark, make):
+    """Rows of one id and text in two sources are documents of either; others of a source share what is taken."""
+    rows = [(1, "a b c d e f g h", "x"), (1, "a b c d e f g h", "x"), (1, "a b c d e f g h", "y"), (2, "i j k l", "y"), (3, "m n", "z"), (None, "o p q r s", "z"), (None, "o p q r s", "z")]
+    docs = make(rows).withColumn("keep", F.concat("keep", F.monotonically_increasing_id().cast("string")))
+    taken, words = Counter(), Counter()
+    for r in mixing.mix(docs).collect():
+        taken[r["key"], r["source"]] += r["taken"]
+    for r in mixing.apply_mix(docs).collect():
+        words[r["doc_id"], r["source"]] += len(WORD.findall(r["text"]))
+    assert words == +taken
+
+
 # ---------------------------------------------------------------- searches
 
 def vectors(rng, n=400, dim=16):
