@@ -10,9 +10,9 @@
    one that shares most of itself, and one by hash. A comparison of a pivot with many sets walks a trie of the sets:
    sorted lists, whose common prefixes share their partial overlap; a subtree is left as soon as its overlap and
    remaining lengths cannot reach the threshold. Components of the links follow by smallest label.
-5. Groups whose sets are in different components by now are joined with themselves. First 2048-bit parity sketches (the
-   bits in which two sketches differ are at most the elements in which the sets do) tell which members may link with
-   one of another component; only these go on. Then their tries are joined: every member outside of the largest
+5. Groups whose sets are in different components by now are joined with themselves. First parity sketches of two to
+   four bits an element, 2048 at least (the bits in which two sketches differ are at most the elements in which the
+   sets do), tell which members may link with one of another component; only these go on. Then their tries are joined: every member outside of the largest
    component is walked against those of other components, and links that join two components are kept, at most one
    less than the members. Of a large group, the members outside of its largest component are dealt over blocks that
    meet all blocks; the largest component's blocks do not meet each other. So no link between components is missed,
@@ -41,7 +41,9 @@ BLOCK_KEYS = 1_000_000
 PART = 8
 #: Members of a group that meet in one task; larger groups meet block by block.
 GROUP_ROWS = 8192
-WORDS = 32  # of a sketch
+#: Members, in groups of that size, that one slot of a component's groups holds, about.
+SLOT_GROUPS = 4
+LEAST_BITS = 11  # of a sketch, as a power of two
 #: Codes of sets that one task compares, about, if each set went to one.
 BUCKET_BYTES = 4 << 20
 #: Sets compared with one pivot in one group.
@@ -73,27 +75,62 @@ def need(n: int, percent: int) -> int:
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """The parity of the number of elements that fall on each of 2048 bits."""
-    bits = np.bincount((mix(hashes ^ U64(0x5851F42D4C957F2D)) >> U64(53)).astype(np.int64), minlength=64 * WORDS) & 1
+    """The parity of the number of elements that fall on each bit; at least twice as many bits as elements."""
+    level = max(LEAST_BITS, (2 * len(hashes) - 1).bit_length())
+    bits = np.bincount((mix(hashes ^ U64(0x5851F42D4C957F2D)) >> U64(64 - level)).astype(np.int64), minlength=1 << level) & 1
     return np.packbits(bits.astype(bool)).tobytes()
 
 
-def may_link(sketches: np.ndarray, n: np.ndarray, i: int, other: np.ndarray, percent: int) -> np.ndarray:
+def folded(raw: np.ndarray) -> np.ndarray:
+    """A sketch (bytes) of half as many bits: neighbours become one, by parity."""
+    return np.packbits(np.bitwise_xor.reduce(np.unpackbits(raw).reshape(-1, 2), axis=1))
+
+
+class Sketches:
+    """Sketches of rows, each in its own number of bits and in half as many."""
+
+    def __init__(self, raw: list[bytes]):
+        self.level = np.array([(8 * len(r)).bit_length() - 1 for r in raw], np.int64)
+        self.place = np.zeros((2, len(raw)), np.int64)
+        held: dict[int, list[np.ndarray]] = {}
+        for k, (r, level) in enumerate(zip(raw, self.level.tolist(), strict=True)):
+            own = np.frombuffer(r, np.uint8)
+            for j, (at, x) in enumerate(((level, own), (level - 1, folded(own)))):
+                self.place[j, k] = len(held.setdefault(at, []))
+                held[at].append(x)
+        self.held = {at: np.stack(x).view(np.uint64) for at, x in held.items()}
+
+    def _at(self, rows: np.ndarray, level: int) -> np.ndarray:
+        return self.held[level][np.where(self.level[rows] == level, self.place[0, rows], self.place[1, rows])]
+
+    def apart(self, i: int, other: np.ndarray) -> np.ndarray:
+        """In how many bits row i differs from each of other, of a level at most one off."""
+        out, own = np.empty(len(other), np.int64), int(self.level[i])
+        for pick, level in ((self.level[other] >= own, own), (self.level[other] < own, own - 1)):
+            if pick.any():
+                out[pick] = np.bitwise_count(self._at(other[pick], level) ^ self._at(np.array([i]), level)).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def may_link(sketches: Sketches, n: np.ndarray, i: int, other: np.ndarray, percent: int) -> np.ndarray:
     """Those of the rows other whose sizes and sketches do not exclude a link with row i."""
     other = other[(100 * n[other] >= percent * n[i]) & (100 * n[i] >= percent * n[other])]
-    apart = (100 + percent) * np.bitwise_count(sketches[other] ^ sketches[i]).sum(axis=1, dtype=np.int64)
-    return other[apart <= (100 - percent) * (n[other] + n[i])]
+    near = other[np.abs(sketches.level[other] - sketches.level[i]) <= 1]
+    apart = (100 + percent) * sketches.apart(i, near)
+    # sizes over a factor of two apart, where a lower threshold allows them, are not told by sketches
+    return np.union1d(near[apart <= (100 - percent) * (n[near] + n[i])], other[np.abs(sketches.level[other] - sketches.level[i]) > 1])
 
 
-def with_partners(sketches: np.ndarray, n: np.ndarray, labels: np.ndarray, percent: int) -> np.ndarray:
-    """Which rows may link with a row of another label?"""
-    labels = np.unique(labels, return_inverse=True)[1]
-    out = np.zeros(len(n), bool)
+def with_partners(sketches: Sketches, rows: np.ndarray, n: np.ndarray, labels: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the rows may link with one of them of another label?"""
+    own = np.unique(labels[rows], return_inverse=True)[1]
+    out = np.zeros(len(rows), bool)
     # the largest component only answers: every pair has a side in another
-    for i in np.flatnonzero(labels != np.bincount(labels).argmax()):
-        found = may_link(sketches, n, i, np.flatnonzero(labels != labels[i]), percent)
-        out[found] = True
-        out[i] |= len(found) > 0
+    for k in np.flatnonzero(own != np.bincount(own).argmax()):
+        other = rows[own != own[k]]
+        found = may_link(sketches, n, int(rows[k]), other, percent)
+        out[np.isin(rows, found)] = True
+        out[k] |= len(found) > 0
     return out
 
 
@@ -139,7 +176,7 @@ def trie_links(pivot: np.ndarray, pivot_size: int, lists: list[np.ndarray], size
     return found
 
 
-def trie_forest(groups: list[np.ndarray], lists: list[np.ndarray], sizes: np.ndarray, sketches: np.ndarray, labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def trie_forest(groups: list[np.ndarray], lists: list[np.ndarray], sizes: np.ndarray, sketches: Sketches, labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that join components: groups are rows that share an element, labels their components so far. All pairs of
     rows in a group that may link and are in different components are compared, once, unless links found before have
     joined them."""
@@ -250,13 +287,14 @@ def ordered(docs: DataFrame, k: int, percent: int, n_shards: int) -> DataFrame:
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int, n_buckets: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets link. Sets that are compared with the same pivot a share tries, in groups of
-    about PIVOT_ROWS, so that a pivot with many partners is spread over tasks."""
-    slots = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PIVOT_ROWS)).cast("int").alias("slots"))
-    bucket = F.pmod(F.xxhash64("a", "slot"), F.lit(n_buckets)).cast("int")
+    """Those of pairs (a, b, held) whose sets link; held is about how many partners the pivot a has. They are dealt by
+    pivot and slot, of about PIVOT_ROWS pairs, so that a pivot with many partners is spread over tasks and nothing is
+    grouped by pivot alone."""
+    slot = F.pmod(F.xxhash64("b"), F.ceil(F.col("held") / PIVOT_ROWS))
+    placed = pairs.select(F.pmod(F.xxhash64("a", slot), F.lit(n_buckets)).cast("int").alias("bucket"), "a", "b")
     s = sets.select(F.col("node").alias("b"), F.col("n"), F.col("codes"))
-    leaves = pairs.join(slots, "a").withColumn("slot", F.pmod(F.xxhash64("b"), F.col("slots")).cast("int")).join(s, "b").select(bucket.alias("bucket"), "a", "b", "n", "codes")
-    pivots = slots.join(s.withColumnRenamed("b", "a"), "a").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).select(bucket.alias("home"), F.col("a").alias("pivot"), F.col("n").alias("size"), F.col("codes").alias("body")).distinct()
+    leaves = placed.join(s, "b").select("bucket", "a", "b", "n", "codes")
+    pivots = placed.select(F.col("bucket").alias("home"), "a").distinct().join(s.withColumnRenamed("b", "a"), "a").select("home", F.col("a").alias("pivot"), F.col("n").alias("size"), F.col("codes").alias("body"))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         known = {a: (n, np.frombuffer(c, U64)) for a, n, c in zip(*(right.column(x).to_pylist() for x in ("pivot", "size", "body")), strict=True)}
@@ -269,15 +307,20 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, n_buckets: int) -> D
     return dealt(leaves, n_buckets, "bucket").groupBy("bucket").cogroup(dealt(pivots, n_buckets, "home").groupBy("home")).applyInArrow(compare, "a binary, b binary")
 
 
-def meetings(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, low, high, node, label): where members (key, node) of groups with several components meet. A group of up
-    to GROUP_ROWS meets in one place; of a larger one, blocks low and high."""
+def meetings(members: DataFrame, labels: DataFrame, n_buckets: int) -> DataFrame:
+    """(bucket, key, low, high, node, label): where members (key, node) of groups with several components meet. A group
+    of up to GROUP_ROWS meets in one place; of a larger one, blocks low and high.
+
+    Sets that are alike share many groups. Groups with the same smallest component lie in one bucket, so such sets are
+    sent there once and compared once; the groups of a component with many members are dealt over slots."""
     t = members.join(labels, "node")
     counts = t.groupBy("key", "label").agg(F.count("*").alias("n"))
-    groups = counts.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("kinds")).filter("kinds > 1")
+    groups = counts.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("major"), F.min("label").alias("home"), F.count("*").alias("kinds")).filter("kinds > 1")
     small = F.col("n") <= GROUP_ROWS
     blocks = lambda x: F.when(small, 1).otherwise(F.ceil(x / GROUP_ROWS)).cast("int")
-    groups = groups.select("key", "major", blocks(F.col("n") - F.col("most")).alias("minor_blocks"), F.when(small, 0).otherwise(blocks(F.col("most"))).alias("major_blocks"))
+    slots = groups.groupBy("home").agg(F.ceil(F.sum("n") / (SLOT_GROUPS * GROUP_ROWS)).alias("slots"))
+    groups = groups.join(slots, "home").withColumn("home", F.xxhash64("home", F.pmod(F.xxhash64("key"), F.col("slots"))))
+    groups = groups.select("key", "home", "major", blocks(F.col("n") - F.col("most")).alias("minor_blocks"), F.when(small, 0).otherwise(blocks(F.col("most"))).alias("major_blocks"))
     t = t.join(groups, "key")
     spread = F.xxhash64("node")
     major = (F.col("label") == F.col("major")) & (F.col("major_blocks") > 0)
@@ -285,24 +328,25 @@ def meetings(members: DataFrame, labels: DataFrame) -> DataFrame:
     # a block of the largest component meets those of others only
     last = F.when(major, F.col("minor_blocks") - 1).otherwise(F.col("minor_blocks") + F.col("major_blocks") - 1).cast("int")
     t = t.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    return t.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "label")
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    bucket = F.pmod(F.xxhash64("home", low, high), F.lit(n_buckets)).cast("int")
+    return t.select(bucket.alias("bucket"), "key", low.alias("low"), high.alias("high"), "node", "label")
 
 
 def joining_links(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, n_buckets: int) -> DataFrame:
     """(a, b): links between members (key, node) of groups that join their components."""
-    bucket = F.pmod(F.xxhash64("key", "low", "high"), F.lit(n_buckets)).cast("int")
-    rows = meetings(members, labels).join(sets.select("node", "n", "sketch"), "node").select(bucket.alias("bucket"), "key", "low", "high", "node", "n", "label", "sketch")
+    rows = meetings(members, labels, n_buckets).join(sets.select("node", "n", "sketch"), "node").select("bucket", "key", "low", "high", "node", "n", "label", "sketch")
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("key", "ascending"), ("low", "ascending"), ("high", "ascending")])
         key = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("key", "low", "high")])
         edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), len(rows)]
-        sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(-1, WORDS)
+        sketches = Sketches(rows.column("sketch").to_pylist())
         n, labels = rows.column("n").to_numpy().astype(np.int64), np.array(rows.column("label").to_pylist(), object)
         keep, place = np.zeros(len(rows), bool), np.zeros(len(rows), np.int64)
         for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
             place[lo:hi] = k
-            keep[lo:hi] = with_partners(sketches[lo:hi], n[lo:hi], labels[lo:hi], percent)
+            keep[lo:hi] = with_partners(sketches, np.arange(lo, hi), n, labels, percent)
         some = pa.array(np.flatnonzero(keep))
         return pa.table({"bucket": rows.column("bucket").take(some), "place": pa.array(place[keep]), "node": rows.column("node").take(some), "label": rows.column("label").take(some)})
 
@@ -316,7 +360,7 @@ def joining_links(members: DataFrame, sets: DataFrame, labels: DataFrame, percen
         flat = np.array([x for p in places for x in p], np.int64)
         order = np.argsort(flat, kind="stable")
         groups = [row[order[lo:hi]] for lo, hi in stretches(flat[order])]
-        sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(-1, WORDS)
+        sketches = Sketches(rows.column("sketch").to_pylist())
         lists = [np.frombuffer(c, U64) for c in rows.column("codes").to_pylist()]
         found = trie_forest(groups, lists, rows.column("n").to_numpy().astype(np.int64), sketches, np.array(rows.column("label").to_pylist(), object), percent)
         return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.binary()), "b": pa.array([nodes[j] for _, j in found], pa.binary())})
@@ -387,8 +431,8 @@ def join(docs: DataFrame, k: int = 5, percent: int = 75, id_column: str = "doc_i
         pivots = members.groupBy("key").agg(F.max(F.struct("share", "node", "n")).alias("best"), F.min(F.struct("node", "n")).alias("low"), F.count("*").alias("_n")).filter("_n > 1")
         m = members.join(pivots, "key")
         pivot = F.explode(F.array(*[F.struct(F.col(f"{p}.node").alias("node"), F.col(f"{p}.n").alias("n")) for p in ("best", "low")]))
-        stars = m.select(pivot.alias("p"), "node", "n").filter((F.col("p.node") != F.col("node")) & close(F.col("p.n"), F.col("n")))
-        compared = stored(stars.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct(), "join-stars")
+        stars = m.select(pivot.alias("p"), "node", "n", "_n").filter((F.col("p.node") != F.col("node")) & close(F.col("p.n"), F.col("n")))
+        compared = stored(stars.groupBy(F.col("p.node").alias("a"), F.col("node").alias("b")).agg(F.max("_n").alias("held")), "join-stars")
         labels = relabelled(sets.select("node", F.col("node").alias("label")), linked(compared, sets, percent, n_buckets))
         links = stored(joining_links(members.select("key", "node"), sets, labels, percent, n_buckets), "join-forest")
         labels = relabelled(labels, links)

@@ -224,7 +224,7 @@ def test_trie(pivot, sets, percent):
 def test_forest_connects_what_links(sets, percent, rng):
     """Groups of one element each: all rows that hold it."""
     hashes = [np.array(sorted(s), U64) * U64(0x9E3779B97F4A7C15) for s in sets]
-    sketches = np.frombuffer(b"".join(map(ngram_join.sketch, hashes)), np.uint64).reshape(-1, ngram_join.WORDS)
+    sketches = ngram_join.Sketches(list(map(ngram_join.sketch, hashes)))
     n, lists = np.array([len(s) for s in sets]), [np.array(sorted(s), U64) for s in sets]
     links = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
 
@@ -236,7 +236,7 @@ def test_forest_connects_what_links(sets, percent, rng):
 
     some = [p for p in sorted(links) if rng.random() < 0.3]
     before = np.array([f"l{x}" for x in components(some)], object)
-    keep = ngram_join.with_partners(sketches, n, before, percent)
+    keep = ngram_join.with_partners(sketches, np.arange(len(sets)), n, before, percent)
     assert all(keep[i] and keep[j] for i, j in links if before[i] != before[j])
     groups = [np.array([i for i, s in enumerate(sets) if e in s and keep[i]], np.int64) for e in range(26)]
     found = ngram_join.trie_forest([g for g in groups if len(g) > 1], lists, n, sketches, before, percent)
@@ -244,6 +244,23 @@ def test_forest_connects_what_links(sets, percent, rng):
     assert components([*some, *found]) == components(links)
 
 
+def test_sketches_of_different_sizes():
+    """The bits in which two sketches differ are at most the elements in which the sets do, also across sizes."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(1, 2**63, 5000).astype(U64)
+    sets = [np.unique(base[: n]) for n in (900, 1000, 1024, 1025, 1100, 1400, 2048, 2049, 2700, 4096, 4097, 5000)]
+    sets += [np.unique(np.r_[base[:1500], rng.integers(1, 2**63, 300).astype(U64)]), np.unique(base[700:2000])]
+    sketches, n = ngram_join.Sketches(list(map(ngram_join.sketch, sets))), np.array([len(s) for s in sets])
+    assert len(set(sketches.level.tolist())) > 2
+    for i in range(len(sets)):
+        near = np.flatnonzero(np.abs(sketches.level - sketches.level[i]) <= 1)
+        true = np.array([len(np.setxor1d(sets[i], sets[j])) for j in near])
+        found = sketches.apart(i, near)
+        assert (found <= true).all() and (found >= 0.5 * np.minimum(true, n[i])).all()
+        linked = [j for j in range(len(sets)) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))]
+        assert set(linked) <= set(ngram_join.may_link(sketches, n, i, np.arange(len(sets)), 75).tolist())
+
+
 @pytest.mark.parametrize("rows_in_group", [7, 8192])
 def test_ngram_join_of_large_groups(make, monkeypatch, rows_in_group):
     """Blocks of one group: several components that share a passage, so that groups hold many of them."""
