@@ -6,8 +6,6 @@ the stage had stored and the result before it, and reads the new one for the nex
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F

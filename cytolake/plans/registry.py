@@ -226,6 +226,22 @@ def _contigs(r: DataFrame) -> DataFrame:
     return r.select("region_id", scalar.contig_text(c).alias("text"), scalar.contig_length(c).alias("length"), scalar.extend_upstream(c, 500)["start"].alias("up"), scalar.extend_downstream(c, 500)["end"].alias("down"), scalar.is_in(c, outer).alias("inside"))
 
 
+_add("contig_bounds", lambda spark, d: _bounds(adapter.regions(spark, d)), "SELECT region_id, start + 7 AS moved, \"end\" - 7 AS cut, start = 0 AND \"end\" = 0 AS nothing, CASE WHEN chr <> 'chr1' THEN NULL WHEN start = 1000 AND \"end\" = 50000 THEN 0 WHEN \"end\" <= 1000 THEN -1 WHEN start >= 50000 THEN 1 END AS side FROM regions", REGIONS)
+_add("position_functions", lambda spark, d: _positions(adapter.sites(spark, d)), "SELECT chr, position, chr || ':' || position AS text, CASE WHEN position >= 500 THEN position - 500 END AS back, position + 30 AS ahead, CASE WHEN chr = 'chr1' THEN position + 100 END AS added, CASE WHEN chr = 'chr1' AND position >= 100 THEN position - 100 END AS taken, chr = '' AND position = 0 AS nothing FROM sites", SITES)
+
+
+def _bounds(r: DataFrame) -> DataFrame:
+    c = scalar.contig(F.col("chr"), F.col("start"), F.col("end"))
+    other = scalar.contig(F.lit("chr1"), F.lit(1000), F.lit(50_000))
+    return r.select("region_id", scalar.set_start(c, F.col("start") + 7)["start"].alias("moved"), scalar.set_end(c, F.col("end") - 7)["end"].alias("cut"), scalar.is_empty(c).alias("nothing"), scalar.contig_order(c, other).alias("side"))
+
+
+def _positions(s: DataFrame) -> DataFrame:
+    at = lambda c, p: F.struct(c.alias("seqname"), p.cast("long").alias("position"))
+    p, other = at(F.col("chr"), F.col("position")), at(F.lit("chr1"), F.lit(100))
+    return s.select("chr", "position", scalar.position_text(F.col("chr"), F.col("position")).alias("text"), scalar.shift_position(p, -500)["position"].alias("back"), scalar.shift_position(p, 30)["position"].alias("ahead"), scalar.add_positions(p, other)["position"].alias("added"), scalar.subtract_positions(p, other)["position"].alias("taken"), scalar.is_zero(p).alias("nothing"))
+
+
 _add("pearson", lambda spark, d: _r(pvalues.pearson(adapter.table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag"), "r"), "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY 1")
 
 # ---------------------------------------------------------------- tests

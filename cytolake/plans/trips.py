@@ -156,6 +156,7 @@ def register(add: Callable) -> None:
     for kind, codec in (("bismark", None), ("cgmap", "gzip"), ("coverage", "bzip2"), ("bedgraph", None)):
         add(f"file_{kind}", lambda spark, d, k=kind, c=codec: report(spark, d, k, c), f"SELECT {known[kind]} FROM sites", SITES)
     add("file_fasta", fasta, f"SELECT chr, length({_BASES}) AS length, md5({_BASES}) AS digest FROM genome", GENOME)
+    add("fasta_lengths", lambda spark, d: genome.fasta_order(adapter.genome(spark, d)), "SELECT chr, length(sequence) AS length FROM genome", GENOME)
     add("file_fai", fai, "SELECT chr, length(sequence) AS length, row_number() OVER (ORDER BY CAST(chr AS BIGINT)) - 1 AS ord FROM genome", GENOME)
     add("file_arrow_ipc", arrow, f"SELECT {COLUMNS} FROM sites", SITES)
     add("store_in_order", ordered_store, f"SELECT {COLUMNS}, batch, {_RANK}::BIGINT AS ord FROM batched", SITES, _BATCHED)
