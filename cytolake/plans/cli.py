@@ -13,6 +13,7 @@ from cytolake.operators.replicates import sampled
 from cytolake.plans import convert, dimred, dmr, validate
 from cytolake.sources import native
 from cytolake.sources.annot import read_segments, write_intervals
+from cytolake.sources.shared import existing
 
 
 def parser() -> argparse.ArgumentParser:
@@ -44,6 +45,8 @@ def parser() -> argparse.ArgumentParser:
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(args)
     spark = spark or SparkSession.builder.appName("cytolake").getOrCreate()
+    given = {"to-native": lambda: [a.report, *filter(None, (a.fasta, a.fai))], "from-native": lambda: [a.store], "report-to-report": lambda: [a.source, a.fasta], "dmr": lambda: a.a + a.b, "shrink": lambda: a.stores, "merge": lambda: a.beds, "validate": lambda: a.stores, "sort": lambda: [a.source]}
+    existing(spark, *given[a.command]())
     stores = lambda paths: sampled({p: native.read(spark, p) for p in paths})
     if a.command == "to-native":
         convert.to_native(spark, a.report, a.kind, a.store, a.fasta, a.fai, a.chunk)

@@ -27,3 +27,14 @@ def scratch(spark: SparkSession, label: str) -> str:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return path
+
+
+def existing(spark: SparkSession, *paths: str) -> None:
+    """An error unless every path or glob names something, and there is one at all."""
+    if not paths:
+        raise ValueError("no paths")
+    for p in paths:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(p)
+        found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop)
+        if found is None or not len(found):
+            raise FileNotFoundError(p)

@@ -202,3 +202,87 @@ def test_tolerance_runs():
                 runs.append((start, k))
                 start = k
         assert tolerance_runs(values, 1.0) == (runs if len(values) else [])
+
+
+def plain_rank_test(a, b, tolerance=1e-6):
+    """(U, p): ranks by counting, ties by walking the sorted values."""
+    import math
+
+    pooled = sorted([*a, *b])
+    if not len(a) or not len(b):
+        return 0.0, 1.0
+    rank, ties, k = {}, 0, 0
+    while k < len(pooled):
+        m = k
+        while m < len(pooled) and pooled[m] - pooled[k] <= tolerance:
+            m += 1
+        for x in pooled[k:m]:
+            rank[x] = (k + 1 + m) / 2
+        ties += (m - k) ** 3 - (m - k)
+        k = m
+    n1, n2 = len(a), len(b)
+    u = sum(rank[x] for x in a) - n1 * (n1 + 1) / 2
+    u, n = min(u, n1 * n2 - u), n1 + n2
+    var = n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))
+    return u, min(1.0, math.erfc(abs((u - n1 * n2 / 2 + 0.5) / math.sqrt(var)) / math.sqrt(2))) if var > 0 else 1.0
+
+
+def plain_segments(a, b, weight, least, coef, threshold, few, tolerance, alike):
+    """Segments as sets of rows, level by level, from the description: smooth, cut, keep what is short, go on with what
+    is clearer than its parent, then fill and join."""
+    from cytolake.functions.algorithms import tv_denoise
+
+    test = lambda rows: plain_rank_test([a[r] for r in rows], [b[r] for r in rows])[1]
+    everything = range(len(a))
+    stack, kept = [(everything, test(everything))], []
+    while stack and weight >= least:
+        rows, p = stack.pop()
+        d = [x - y if abs(x - y) > threshold else 0.0 for x, y in zip(tv_denoise([a[r] for r in rows], weight), tv_denoise([b[r] for r in rows], weight))]
+        cuts = [0]
+        for k in range(1, len(d)):
+            if abs(d[k] - d[cuts[-1]]) > tolerance:
+                cuts.append(k)
+        parts = [rows[s:e] for s, e in zip(cuts, [*cuts[1:], len(d)])]
+        short = [(part, test(part)) for part in parts if len(part) <= few]
+        clearer = [(part, q) for part in parts if len(part) > few and (q := test(part)) < p]
+        if clearer:
+            kept += short
+            stack += clearer
+        else:
+            kept = [k for k in kept if k[0][0] not in rows] + [(rows, p)]
+        weight /= coef
+    owner, tiles = {r: (part, p) for part, p in kept for r in part}, []
+    for r in everything:
+        if r in owner:
+            if owner[r][0][0] == r:
+                tiles.append((list(owner[r][0]), owner[r][1]))
+        elif r and r - 1 not in owner:
+            tiles[-1][0].append(r)
+        else:
+            tiles.append(([r], None))
+    tiles = [(rows, test(rows) if p is None else p) for rows, p in tiles]
+    while True:
+        joined = [tiles[0]]
+        for rows, p in tiles[1:]:
+            last = joined[-1][0]
+            if plain_rank_test([a[r] - b[r] for r in last], [a[r] - b[r] for r in rows])[1] > alike:
+                joined[-1] = (last + rows, test(last + rows))
+            else:
+                joined.append((rows, p))
+        if len(joined) == len(tiles):
+            return [(rows[0], rows[-1] + 1, p) for rows, p in joined]
+        tiles = joined
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_segments_against_a_plain_version(seed):
+    from cytolake.functions.algorithms import segment_differences
+
+    rng = np.random.default_rng(seed)
+    steps = rng.integers(5, 30, 6)
+    a = np.clip(np.repeat(rng.random(6), steps) + rng.normal(0, 0.05, steps.sum()), 0, 1).round(rng.integers(1, 6))
+    b = np.clip(np.repeat(rng.random(6), steps) + rng.normal(0, 0.05, steps.sum()), 0, 1).round(rng.integers(1, 6))
+    got = segment_differences(a, b, 2.0, 1e-3, 1.5, 0.05, 5, 1e-6, 0.01)
+    expected = plain_segments(a.tolist(), b.tolist(), 2.0, 1e-3, 1.5, 0.05, 5, 1e-6, 0.01)
+    assert [(s, e) for s, e, _ in got] == [(s, e) for s, e, _ in expected]
+    assert [p for *_, p in got] == pytest.approx([p for *_, p in expected])

@@ -206,3 +206,9 @@ def test_stream(spark, tmp_path):
     run()
     assert sorted(r["chr"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["chr1", "chr1", "chr9", "chr9"]
     assert {r["batch"] for r in native.read(spark, str(tmp_path / "out")).collect()} == {0}
+
+
+@pytest.mark.parametrize("args", [["sort", "/none/x", "/none/y"], ["merge", "/none/*.bed", "--output", "o"], ["validate", "/none/s"], ["to-native", "/none/r", "/none/s", "--fai", "/none/f"]])
+def test_commands_ask_for_their_inputs(spark, args):
+    with pytest.raises(FileNotFoundError, match="/none"):
+        cli.main(args, spark)
