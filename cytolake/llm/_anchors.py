@@ -26,7 +26,7 @@ NO_ID = 2**63 - 1
 #: Keys that a task gathers before it sends them on.
 BLOCK_KEYS = 1_000_000
 #: The anchors that are dealt finer: those in the most blocks, in HOT_BLOCKS at least.
-HOT_KEYS, HOT_OF_SHARD, HOT_BLOCKS = 4096, 16, 16
+HOT_KEYS, HOT_OF_SHARD, HOT_BLOCKS = 1 << 16, 64, 8
 LOW40 = U64((1 << 40) - 1)
 
 _SENT = pa.schema([("shard", pa.int32()), ("done", pa.bool_()), ("ids", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])

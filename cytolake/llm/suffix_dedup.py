@@ -26,6 +26,8 @@ from cytolake.llm._common import U64, batch, collected, dealt, from40, mix, pack
 #: ``n`` windows from byte ``start`` on.
 RUN = np.dtype([("start", "<u4"), ("n", "<u4")])
 _PIECE = np.dtype([("doc", "<u4"), ("start", "<u4"), ("n", "<u4"), ("size", "<u4"), ("anchor", "<u4"), ("hot", "u1")])
+#: Text that one shard serves: its pieces are Python's objects, and take several times as much.
+SHARD_BYTES = 8 << 20
 #: Windows of one run at a hot anchor.
 HOT_RUN = 16
 BLOCK_BYTES = 24 << 20
@@ -175,7 +177,7 @@ def duplicate_runs(docs: DataFrame, window: int = 100, id_column: str = "doc_id"
     """(id, mark, found): for each document its windows that also start earlier, as packed RUNs; mark (xxhash64 of the
     text) tells apart texts under the same id."""
     unit = Bytes(window, min(32, window))
-    n_shards = shards_for(docs, text)
+    n_shards = shards_for(docs, text, SHARD_BYTES)
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
     shared, hot = shared_keys(docs, doc_keys(unit, within=True), n_shards)
     suspects = joined(docs, shared, "inner")
