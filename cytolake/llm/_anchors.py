@@ -156,7 +156,8 @@ def shared_keys(docs: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], n_
             if many.any():  # known here already
                 place = (doc[many] + block) % n_shards
                 yield from packed_by_doc(place, doc[many], every[many], own, True)
-            yield from packed_by_doc(shard_of(every[heads], n_shards), doc[heads], every[heads], own, False)
+            # anchors and prefixes are small hashes: mixed, or the first shards would get most of them
+            yield from packed_by_doc(shard_of(mix(every[heads]), n_shards), doc[heads], every[heads], own, False)
 
         for part in batches:
             for i, data in zip(ids_of(part.column(0)), texts_of(part.column(1)), strict=True):
