@@ -41,8 +41,8 @@ BLOCK_KEYS = 1_000_000
 PART = 8
 #: Members of a group that meet in one task; larger groups meet block by block.
 GROUP_ROWS = 8192
-#: Members, in groups of that size, that one slot of a component's groups holds, about.
-SLOT_GROUPS = 4
+#: Members that one slot of a component's groups holds, about.
+SLOT_ROWS = 2048
 LEAST_BITS = 11  # of a sketch, as a power of two
 #: Codes of sets that one task compares, about, if each set went to one.
 BUCKET_BYTES = 4 << 20
@@ -318,7 +318,7 @@ def meetings(members: DataFrame, labels: DataFrame, n_buckets: int) -> DataFrame
     groups = counts.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("major"), F.min("label").alias("home"), F.count("*").alias("kinds")).filter("kinds > 1")
     small = F.col("n") <= GROUP_ROWS
     blocks = lambda x: F.when(small, 1).otherwise(F.ceil(x / GROUP_ROWS)).cast("int")
-    slots = groups.groupBy("home").agg(F.ceil(F.sum("n") / (SLOT_GROUPS * GROUP_ROWS)).alias("slots"))
+    slots = groups.groupBy("home").agg(F.ceil(F.sum("n") / SLOT_ROWS).alias("slots"))
     groups = groups.join(slots, "home").withColumn("home", F.xxhash64("home", F.pmod(F.xxhash64("key"), F.col("slots"))))
     groups = groups.select("key", "home", "major", blocks(F.col("n") - F.col("most")).alias("minor_blocks"), F.when(small, 0).otherwise(blocks(F.col("most"))).alias("major_blocks"))
     t = t.join(groups, "key")
