@@ -462,6 +462,20 @@ def test_kneser_ney(make, corpus):
         assert sum(p(w, v, u) for w in c) + p("unknown word", v, u) == pytest.approx(1)
 
 
+def test_other_texts_under_a_kept_model(make, corpus, tmp_path):
+    """Arrays that were kept score texts as the run that counted them did, and texts that it never saw."""
+    held = F.coalesce(F.col("doc_id") % 3 == 0, F.lit(False))
+    near = lambda rows: sorted((repr(r["doc_id"]), r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in rows)
+    first = kneser_ney.score(make(corpus), ~held, model=str(tmp_path / "m")).collect()
+    assert near(kneser_ney.perplexity(make(corpus), str(tmp_path / "m")).collect()) == near(first)
+    others = [(1, "go go go never seen", None), (2, None, None), (3, "", None)]
+    p, _ = plain_model([[*WORD.findall((t or "").translate(LOWER)), 0] for i, t, _ in corpus if i is None or i % 3])
+    for r in kneser_ney.perplexity(make(others), str(tmp_path / "m")).collect():
+        ws = [*WORD.findall(others[r["doc_id"] - 1][1] or ""), 0]
+        assert r["score"] == pytest.approx(sum(math.log10(p(w, a, b)) for w, a, b in zip(ws, [1, *ws], [None, 1, *ws])))
+    assert kneser_ney.perplexity(make([]).limit(0), str(tmp_path / "m")).count() == 0
+
+
 def test_small_blocks_of_the_model_give_the_same(make, corpus, monkeypatch):
     train = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(True))
     near = lambda rows: sorted((repr(r["doc_id"]), r["n_known"], round(r["score"], 6)) for r in rows)
@@ -482,6 +496,13 @@ def test_lm_beats_unigrams_on_held_out_text(spark):
     assert r[0] > 0.95 * r[1]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**63 - 1), max_size=30))
+def test_sorted_numbers_packed(values):
+    values = np.array(sorted(values), np.int64)
+    assert (kneser_ney.unpacked_sorted(kneser_ney.packed_sorted(values)) == values).all()
+
+
 def test_mapped_arrays():
     m = kneser_ney.MappedArrays(np.array([3, 9, 2**62]), [np.array([1, 5, 2**40]), np.array([7, 8, 9])])
     assert isinstance(m.keys.base, np.memmap) or isinstance(m.keys, np.memmap)
