@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cytolake.sources.shared import shared_dir
 
@@ -29,17 +30,19 @@ _collecting: list[list[str]] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage and survives lost executors.
 
     The files go when the application ends, or when the caller says so (see collected and removed). Shuffle files of the
-    write go as soon as it has succeeded: what comes after reads the table."""
+    write go as soon as it has succeeded: what comes after reads the table. by: a column whose values get folders of
+    their own, which part() reads."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        w = df.write.option("compression", "zstd")
+        (w.partitionBy(by) if by else w).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     for paths in _collecting:
@@ -49,6 +52,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def part(table: DataFrame, path: str, by: str, value: str) -> tuple[DataFrame, str]:
+    """One value's rows of a table stored by a column, without that column, and the folder that holds them."""
+    kinds = [f for f in table.schema if f.name != by]
+    folder = f"{path}/{by}={value}"
+    spark = table.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):  # no rows
+        return spark.createDataFrame([], StructType(kinds)), folder
+    return spark.read.schema(StructType(kinds)).parquet(folder), folder
+
+
 @contextlib.contextmanager
 def collected() -> Iterator[list[str]]:
     """The paths of the tables stored inside."""

@@ -22,10 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytolake.llm._common import dealt, packed, packed_bytes, shards_for, stored, stretches, unpacked, unpacked_bytes
+from cytolake.llm._common import collected, dealt, packed, packed_bytes, part, removed, shards_for, stored, stretches, unpacked, unpacked_bytes
 
 #: A block ends at so many distinct words or characters of text. Large blocks send fewer words in all.
-BLOCK_WORDS, BLOCK_BYTES = 500_000, 28 << 20
+BLOCK_WORDS, BLOCK_BYTES = 400_000, 20 << 20
 
 _BLOCK_DDL = "block long, shard int, data binary, sizes binary"
 
@@ -129,13 +129,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc
         block, size, codes, out, ids = TaskContext.get().partitionId() << 32, 0, _Codes(), [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
+            # what is held is given up as soon as it has been put into another form
             sizes = np.array([len(x) for x in out], np.int64)
             every = np.concatenate(out)
+            out.clear()
             order = np.argsort(-np.bincount(every, minlength=len(codes)), kind="stable")  # frequent words get short codes
             rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order))
             words = list(codes)
+            codes.clear()
             raw = [words[k].encode() for k in order.tolist()]
+            del words
             lengths = np.array([len(w) for w in raw], np.int64)
             shard = np.array([zlib.crc32(w) % n_shards for w in raw], np.int64)  # Python's own hash differs between processes
             by = np.argsort(shard, kind="stable")
@@ -143,8 +147,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc
             for lo, hi in stretches(shard[by]):
                 own = by[lo:hi]
                 rows.append((block, int(shard[own[0]]), packed_bytes(b"".join([raw[k] for k in own.tolist()]), 9), packed(np.r_[np.diff(own, prepend=0), lengths[own]]), None))
+            del raw, every
             columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(id_arrow)), strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=["block", "shard", "data", "sizes", "ids"])
+            kind = pa.array(["documents", *["words"] * (len(rows) - 1)])
+            del rows
+            yield pa.RecordBatch.from_arrays([*columns, kind], names=["block", "shard", "data", "sizes", "ids", "kind"])
+            pa.default_memory_pool().release_unused()
 
         id_arrow = None
         for part in batches:
@@ -161,7 +169,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc
         if out:
             yield from flush()
 
-    blocks = stored(rows.mapInArrow(split, f"{_BLOCK_DDL}, ids array<{id_type}>"), "bpe-blocks")
+    with collected() as tables:
+        blocks = stored(rows.mapInArrow(split, f"{_BLOCK_DDL}, ids array<{id_type}>, kind string"), "bpe-blocks", by="kind")
+    words, words_folder = part(blocks, tables[0], "kind", "words")
+    documents, _ = part(blocks, tables[0], "kind", "documents")
 
     def encode_words(rows: pa.Table) -> pa.Table:
         table, known, out = ranks.value, {}, []
@@ -179,7 +190,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc
             out.append((r["block"], packed_bytes(np.concatenate(ids).tobytes(), 9), packed(np.r_[own, [len(x) for x in ids]])))
         return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "data": pa.array([x[1] for x in out], pa.binary()), "sizes": pa.array([x[2] for x in out], pa.binary())})
 
-    answers = dealt(blocks.filter("shard >= 0").select("shard", "block", "data", "sizes"), n_shards, "shard").groupBy("shard").applyInArrow(encode_words, "block long, data binary, sizes binary")
+    # the words' part goes once they are encoded
+    answers = stored(dealt(words.select("shard", "block", "data", "sizes"), n_shards, "shard").groupBy("shard").applyInArrow(encode_words, "block long, data binary, sizes binary"), "bpe-words")
+    removed(spark, [words_folder])
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         owns, sizes, flats = [], [], []
@@ -208,8 +221,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc
             tables.append(pa.table({"doc_id": left.column("ids")[row].values, "ids": pa.ListArray.from_arrays(pa.array(edges), pa.array(tokens))}))
         return pa.concat_tables(tables)
 
-    documents = blocks.filter("shard < 0").select("block", "data", "sizes", "ids")
-    return documents.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, f"doc_id {id_type}, ids array<int>")
+    return documents.select("block", "data", "sizes", "ids").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assemble, f"doc_id {id_type}, ids array<int>")
 
 
 def token_bytes(ranks: dict[bytes, int]) -> pa.LargeBinaryArray:
