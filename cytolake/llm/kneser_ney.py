@@ -39,7 +39,7 @@ from cytolake.llm._anchors import NO_ID, ids_of
 from cytolake.llm._common import U64, dealt, lowered, mix, packed, packed_bytes, shard_of, shards_for, stored, stretches, texts_of, unpacked, unpacked_bytes, word_hashes
 
 #: Text of a block, and text that one shard serves.
-BLOCK_BYTES, SHARD_BYTES = 6 << 20, 16 << 20
+BLOCK_BYTES, SHARD_BYTES = 10 << 20, 16 << 20
 END, START = U64(0xE0D), U64(0x57A27)  # hashes of the end token and of the mark before a text
 _BLOCK = ["block", "ids", "train", "sizes", "codes", "words"]
 _BLOCK_DDL = "block long, ids binary, train binary, sizes binary, codes binary, words binary"
