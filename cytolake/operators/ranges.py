@@ -39,12 +39,14 @@ def ordinal(df: DataFrame, name: str = "ordinal", keys: tuple[str, ...] = ("chr"
 
 
 def previous(df: DataFrame, name: str = "previous", keys: tuple[str, ...] = ("chr",), position: str = "position", width: int = WIDTH, value: str | None = None) -> DataFrame:
-    """df with the position (or another value) of the row before each along its chromosome; null for the first."""
+    """df with the position (or another value) of the row before each along its chromosome; null for the first. Rows of
+    one position stand by value, so neither their order in the input nor the ranges decide."""
     value = value or position
     cut = df.withColumn("_range", _range(position, width))
-    last = cut.groupBy(*keys, "_range").agg(F.max_by(value, position).alias("_last"))
+    end = F.max(position) if value == position else F.max_by(value, F.struct(position, value))
+    last = cut.groupBy(*keys, "_range").agg(end.alias("_last"))
     last = last.withColumn("_before", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_range"))).drop("_last")
-    inside = Window.partitionBy(*keys, "_range").orderBy(position)
+    inside = Window.partitionBy(*keys, "_range").orderBy(position, value)
     return cut.join(last, [*keys, "_range"]).select(*df.columns, F.when(F.row_number().over(inside) > 1, F.lag(value).over(inside)).otherwise(F.col("_before")).alias(name))
 
 

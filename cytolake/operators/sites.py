@@ -157,7 +157,8 @@ def require(sites: DataFrame, **toggles) -> DataFrame:
 
 def order_violations(rows: DataFrame, order: str, width: int = WIDTH) -> DataFrame:
     """Per chromosome: in the order of column order (a number), how often a position is smaller than (unsorted) or
-    equal to (repeated) the one before. width: of the ranges of order that a task holds."""
+    equal to (repeated) the one before. Rows that order does not tell apart stand by position, so there is one answer.
+    width: of the ranges of order that a task holds."""
     rows, before = previous(rows, "_before", position=order, width=width, value="position"), F.col("_before")
     flagged = rows.select("chr", (F.col("position") < before).cast("long").alias("u"), (F.col("position") == before).cast("long").alias("r"))
     return flagged.groupBy("chr").agg(F.coalesce(F.sum("u"), F.lit(0)).alias("unsorted"), F.coalesce(F.sum("r"), F.lit(0)).alias("repeated"))

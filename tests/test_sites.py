@@ -109,6 +109,15 @@ def test_checks(spark):
     assert (v["unsorted"], v["repeated"]) == (1, 1)
 
 
+@pytest.mark.parametrize("width", [1, 2, 1 << 20])
+def test_order_violations_of_ties(spark, width):
+    """Rows of one order stand by position, whatever their order in the input and the ranges."""
+    rows = [("a", 9, 0), ("a", 3, 0), ("a", 3, 0), ("a", 5, 1), ("a", 7, 2), ("a", 6, 2), ("a", 8, 3), ("b", 4, 0), ("b", 2, 0), ("b", 4, 1)]
+    for given in (rows, rows[::-1], sorted(rows)):
+        found = sites.order_violations(spark.createDataFrame(given, "chr string, position long, o int").coalesce(1), "o", width=width)
+        assert sorted(map(tuple, found.collect())) == [("a", 1, 1), ("b", 0, 1)]
+
+
 def test_concatenated(spark, five):
     shifted = five.withColumn("position", F.col("position") + 100)
     assert sites.concatenated([five, shifted]).count() == 10
